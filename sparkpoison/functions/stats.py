@@ -29,7 +29,8 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles per group, one column per name in ``probs``.
 
-    ``method`` is ``"linear"`` (interpolated) or ``"nearest"`` (rank ceil(p·n)).
+    ``method`` is ``"linear"`` (interpolated), ``"nearest"`` (rank ceil(p·n)) or ``"straddle"``
+    (the values at ranks floor(p·n) and floor(p·n)+1, the second as ``<name>_next``).
 
     A sketch brackets each wanted rank; equal values are counted together (map-side),
     everything below a bracket only adds to a count, and only the distinct values inside
@@ -53,6 +54,8 @@ def percentiles(
         if method == "linear":
             rank = F.lit(p) * (F.col("_n") - 1)
             first, frac = F.floor(rank), rank - F.floor(rank)
+        elif method == "straddle":
+            first, frac = F.greatest(F.floor(F.lit(p) * F.col("_n")) - 1, F.lit(0)), F.lit(0.0)
         else:
             ceil_rank = F.ceil(F.lit(p) * F.col("_n")) - 1
             first, frac = F.greatest(F.least(ceil_rank, F.col("_n") - 1), F.lit(0)), F.lit(0.0)
@@ -95,9 +98,10 @@ def percentiles(
         "_p",
         F.when(F.col("_f") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).otherwise(F.col("_a")),
     )
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names]
-    )
+    out = [F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names]
+    if method == "straddle":
+        out += [F.max(F.when(F.col("name") == n, F.col("_b"))).alias(f"{n}_next") for n in names]
+    return picked.groupBy(*by).agg(*out)
 
 
 def with_position(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "pos") -> DataFrame:

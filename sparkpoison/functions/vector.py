@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _matrix(column: pa.Array) -> np.ndarray | None:
@@ -18,7 +19,7 @@ def _matrix(column: pa.Array) -> np.ndarray | None:
     return flat.reshape(len(column), lengths[0])
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _dot(left: pa.Array, right: pa.Array) -> pa.Array:
     a, b = _matrix(left), _matrix(right)
     if a is not None and b is not None and a.shape == b.shape:

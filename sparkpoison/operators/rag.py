@@ -33,8 +33,8 @@ def rag_scan(docs: DataFrame, profile: str = "service", deviation: str | None =
     """Risk report per document of ``docs(doc_id, text, …)``.
 
     ``deviation`` names a column with the cosine deviation; without it the deviation is 0.
-    Statistics come from one pass over the text, everything else from column expressions
-    on the same rows; the two meet in a join on doc_id.
+    Column expressions on the text come first and pass through the scan that computes its
+    statistics: one pass over the table, no join and no shuffle.
     """
     dev = F.col(deviation) if deviation else F.lit(0.0)
     return {"service": _service, "edge": _edge, "router": _router}[profile](docs, dev)
@@ -42,8 +42,11 @@ def rag_scan(docs: DataFrame, profile: str = "service", deviation: str | None =
 
 def _service(docs: DataFrame, dev: Column) -> DataFrame:
     hidden, homoglyphs = service_counts("text")
-    local = docs.select("doc_id", dev.alias("cosine_deviation"), hidden.alias("hidden"), homoglyphs.alias("homoglyphs"))
-    stats = tx.text_stats(docs, ["perplexity", "coherence", "entropy_anomalies", "ngram_anomalies"])
+    local = docs.select("doc_id", "text", dev.alias("cosine_deviation"), hidden.alias("hidden"), homoglyphs.alias("homoglyphs"))
+    scanned = tx.text_stats(
+        local, ["perplexity", "coherence", "entropy_anomalies", "ngram_anomalies"],
+        keep=["cosine_deviation", "hidden", "homoglyphs"],
+    )
     d, ppl, coh = F.col("cosine_deviation"), F.col("perplexity"), F.col("coherence")
     signals = F.array_compact(
         F.array(
@@ -66,8 +69,7 @@ def _service(docs: DataFrame, dev: Column) -> DataFrame:
         + 0.15 * cap1(F.col("ngram_anomalies") / 5.0)
     )
     return (
-        local.join(stats, "doc_id")
-        .withColumn("risk_score", risk)
+        scanned.withColumn("risk_score", risk)
         .withColumn("signals", signals)
         .withColumn("is_suspicious", F.size("signals") > 0)
     )
@@ -75,13 +77,13 @@ def _service(docs: DataFrame, dev: Column) -> DataFrame:
 
 def _edge(docs: DataFrame, dev: Column) -> DataFrame:
     local = docs.select(
-        "doc_id",
+        "doc_id", "text",
         tx.count_points("text", cat.EDGE_HOMOGLYPHS).cast("bigint").alias("homoglyph_count"),
         tx.pattern_count("text", cat.EDGE_INJECTION_PATTERNS).alias("hidden_instruction_count"),
         F.regexp_count("text", F.lit(tx.EDGE_BASE64_RUN)).cast("bigint").alias("base64_count"),
     )
-    stats = tx.text_stats(docs, ["char_entropy", "perplexity_edge"])
-    out = local.join(stats, "doc_id").select(
+    kept = ["homoglyph_count", "hidden_instruction_count", "base64_count"]
+    out = tx.text_stats(local, ["char_entropy", "perplexity_edge"], keep=kept).select(
         "doc_id", F.col("char_entropy").alias("entropy"), F.col("perplexity_edge").alias("perplexity"),
         tx.entropy_band(F.col("char_entropy")).alias("entropy_anomaly"),
         tx.perplexity_band(F.col("perplexity_edge")).alias("perplexity_anomaly"),
@@ -100,8 +102,8 @@ def _edge(docs: DataFrame, dev: Column) -> DataFrame:
 
 
 def _router(docs: DataFrame, dev: Column) -> DataFrame:
-    local = docs.select("doc_id", dev.alias("cosine_deviation"), tx.attack_type("text", dev).alias("attack_type"))
-    out = local.join(tx.bigram_entropy(docs), "doc_id")
+    local = docs.select("doc_id", "text", dev.alias("cosine_deviation"), tx.attack_type("text", dev).alias("attack_type"))
+    out = tx.bigram_entropy(local, keep=["cosine_deviation", "attack_type"])
     d, ppl, attack = F.col("cosine_deviation"), F.col("perplexity_score"), F.col("attack_type").isNotNull()
     risk = cap1(0.5 * d + 0.3 * (1.0 - ppl) + F.when(attack, 0.2).otherwise(0.0))
     return (

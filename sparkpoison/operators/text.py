@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkpoison.functions import catalogue as cat, textstats as ts
 from sparkpoison.functions.numeric import cap1, round_to
-from sparkpoison.session import broadcast_if_small, spread
 
 # --------------------------------------------------------------------------- statistics
 
@@ -29,19 +28,25 @@ def _id_type(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 
 
-def _source(docs: DataFrame, text: str, doc_id: str, lower: bool, raw: bool = True) -> DataFrame:
-    cols = [F.col(doc_id)]
+def _source(
+    docs: DataFrame, text: str, doc_id: str, lower: bool, raw: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
+    cols = [F.col(c) for c in (doc_id, *keep)]
     if raw:
         cols.append(F.col(text).alias("raw"))
     if lower:
         cols.append(F.lower(text).alias("lower"))
-    return spread(docs.select(doc_id, text)).select(*cols)
+    return docs.select(*cols)
 
 
 def text_stats(
-    docs: DataFrame, features: Sequence[str] = tuple(_STATS), text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, features: Sequence[str] = tuple(_STATS), text: str = "text", doc_id: str = "doc_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The named statistics of each document, computed in one pass over its text."""
+    """The named statistics of each document, computed in one pass over its text.
+
+    Columns named in ``keep`` pass through, so a report needs no join to bring them back.
+    """
     unknown = set(features) - set(_STATS)
     if unknown:
         raise ValueError(f"unknown features: {sorted(unknown)}")
@@ -53,16 +58,16 @@ def text_stats(
             for lo, hi in ts.chunks(sizer):
                 part = batch.slice(lo, hi - lo)
                 pieces = {k: ts.Chunk(part.column(k)) for k in kinds}
-                columns = [part.column(0)]
+                columns = [part.column(i) for i in range(1 + len(keep))]
                 for f in features:
                     kind, fn = _STATS[f]
                     columns.append(pa.array(fn(pieces[kind]), pa.int64() if f in _COUNTS else pa.float64()))
-                yield pa.RecordBatch.from_arrays(columns, [doc_id, *features])
+                yield pa.RecordBatch.from_arrays(columns, [doc_id, *keep, *features])
 
     schema = ", ".join(
-        [f"{doc_id} {_id_type(docs, doc_id)}"] + [f"{f} {'bigint' if f in _COUNTS else 'double'}" for f in features]
+        [f"{c} {_id_type(docs, c)}" for c in (doc_id, *keep)] + [f"{f} {'bigint' if f in _COUNTS else 'double'}" for f in features]
     )
-    return _source(docs, text, doc_id, "lower" in kinds, "raw" in kinds).mapInArrow(scan, schema)
+    return _source(docs, text, doc_id, "lower" in kinds, "raw" in kinds, keep).mapInArrow(scan, schema)
 
 
 def char_entropy(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -74,11 +79,13 @@ def bigram_perplexity(docs: DataFrame, profile: str = "service", text: str = "te
     return text_stats(docs, [name], text, doc_id).withColumnRenamed(name, "perplexity")
 
 
-def bigram_entropy(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def bigram_entropy(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] = ()
+) -> DataFrame:
     """Bigram entropy scaled to [0, 1]; below 0.15 is suspiciously repetitive."""
-    out = text_stats(docs, ["bigram_entropy"], text, doc_id)
+    out = text_stats(docs, ["bigram_entropy"], text, doc_id, keep)
     score = cap1(F.col("bigram_entropy") / 6.0)
-    return out.select(doc_id, score.alias("perplexity_score"), (score < 0.15).alias("is_low"))
+    return out.select(doc_id, *keep, score.alias("perplexity_score"), (score < 0.15).alias("is_low"))
 
 
 def coherence(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -426,7 +433,7 @@ def shingles(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str =
         lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")),
     )
     return (
-        spread(docs.select(doc_id, text)).select(doc_id, tokens.alias("w"))
+        docs.select(doc_id, tokens.alias("w"))
         .where(F.size("w") > 0)
         .select(doc_id, F.explode(F.array_distinct(grams)).alias("shingle"))
     )

@@ -58,13 +58,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Broadcast hint only after counting; a larger side is left to a shuffle join."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin rows over the cores when the files give fewer splits than cores.
-
-    Used ahead of CPU-heavy row work (text scans). On a large table the scan already
-    has more splits than cores and the data is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
