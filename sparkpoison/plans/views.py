@@ -109,6 +109,16 @@ SELECT * FROM (
          ('app_1','f_speed',10.0,28.0,0.1,0.2,1), ('app_2','f_amount',10.0,0.0,0.1,0.2,1),
          ('app_9','f_amount',1.0,1.0,0.1,0.2,1)
 ) AS t(application_id, feature_name, mean_value, std_dev, psi_warning, psi_critical, version)"""),
+    "policies": ([], """
+SELECT * FROM (VALUES
+  (0, CAST(NULL AS VARCHAR(10)), 'quality', 'tenant default', 1, true, 'poisoning_risk', 0.3),
+  (0, CAST(NULL AS VARCHAR(10)), 'quality', 'tenant default', 1, true, 'hallucination_risk', 0.6),
+  (0, 'app_1', 'quality', 'app_1 strict', 2, true, 'poisoning_risk', 0.1),
+  (0, 'app_1', 'quality', 'app_1 retired', 1, true, 'poisoning_risk', 0.9),
+  (1, 'app_0', 'quality', 'app_0 inactive', 3, false, 'poisoning_risk', 0.1),
+  (1, CAST(NULL AS VARCHAR(10)), 'quality', 'tenant default', 1, true, 'anomaly_rate', 0.2),
+  (2, 'app_2', 'quality', 'app_2 only', 1, true, 'hallucination_risk', 0.4)
+) AS t(tenant_id, application_id, policy_type, name, version, is_active, metric, threshold)"""),
     "nodes": (["part"], """
 SELECT p_partkey AS node_id,
   CASE WHEN p_partkey % 4 = 0 THEN 'dataset' WHEN p_partkey % 4 = 1 THEN 'transform'
