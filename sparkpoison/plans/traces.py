@@ -138,12 +138,12 @@ def trace_timeline(spans: DataFrame) -> DataFrame:
 
 
 @query("T-14", "spans", f"""
-WITH {_ANN}, g AS (SELECT count(DISTINCT trace_id) AS t, count(*) AS n, count_if(is_anomalous) AS a, avg(risk_score) AS m, stddev_pop(risk_score) AS sd,
+WITH {_ANN}, gg AS (SELECT count(DISTINCT trace_id) AS t, count(*) AS n, count_if(is_anomalous) AS a, avg(risk_score) AS m, stddev_pop(risk_score) AS sd,
   count_if(event_type = 'tool_call' AND risk_score > 0.5) / count_if(event_type = 'tool_call') AS d, avg(duration_ms) AS lm,
   quantile_disc(risk_score, 0.95) AS r95, quantile_disc(risk_score, 0.99) AS r99, quantile_disc(duration_ms, 0.95) AS l95, quantile_disc(duration_ms, 0.99) AS l99 FROM ann)
 SELECT t AS total_traces, n AS total_spans, a AS anomalous_spans, {r("m", 4)} AS risk_mean, {r("sd", 4)} AS risk_std, {r("d", 4)} AS tool_denial_rate, {r("lm", 1)} AS latency_mean,
   {r("r95", 4)} AS risk_p95, {r("r99", 4)} AS risk_p99, l95 AS latency_p95, l99 AS latency_p99, {r("a / n", 4)} AS anomalous_rate,
-  CASE WHEN a / n < 0.05 THEN 'clean' WHEN a / n < 0.15 THEN 'suspicious' ELSE 'poisoned' END AS verdict FROM g""")
+  CASE WHEN a / n < 0.05 THEN 'clean' WHEN a / n < 0.15 THEN 'suspicious' ELSE 'poisoned' END AS verdict FROM gg""")
 def trace_report_edge(spans: DataFrame) -> DataFrame:
     return tr.span_report_edge(tr.annotate_spans(spans))
 
