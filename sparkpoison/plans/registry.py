@@ -23,18 +23,20 @@ class Query:
 _QUERIES: dict[str, Query] = {}
 
 
-def query(covers: str, views: str = "", check: str | None = None, inputs: str | None = None):
+def query(covers: str, views: str = "", check: str | None = None, inputs: str | None = None, stream: bool = False):
     """Register ``fn(*tables)``: it receives the named tables and views as DataFrames.
 
     ``covers`` lists the inventory IDs; ``views`` are the derived views the check SQL uses
     (and, unless ``inputs`` says otherwise, the DataFrames passed to the function).
+    ``stream`` passes streaming DataFrames.
     """
 
     def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         names = (inputs if inputs is not None else views).split()
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(*[table(spark, sf_dir, n) for n in names])
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(*[table(spark, sf_dir, n, stream) for n in names])
 
         run.__doc__ = fn.__doc__
         derived = " ".join(v for v in views.split() if _is_view(v))
@@ -52,9 +54,5 @@ def _is_view(name: str) -> bool:
 
 def load() -> dict[str, Query]:
     for module in MODULES:
-        try:
-            importlib.import_module(f"sparkpoison.plans.{module}")
-        except ModuleNotFoundError as e:
-            if e.name != f"sparkpoison.plans.{module}":
-                raise
+        importlib.import_module(f"sparkpoison.plans.{module}")
     return dict(_QUERIES)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkpoison.sources.streams import file_stream
 from sparkpoison.sources.tables import load_table
 
 #: a planted base64 payload, invisible characters and a Cyrillic lookalike
@@ -183,16 +184,19 @@ def _text(name: str) -> str:
 _HEAVY = ("documents", "pages", "embeddings")
 
 
-def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _load(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    if stream:
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
     return load_table(spark, f"{sf_dir}/{name}.parquet", all_cores=name in _HEAVY)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table or a derived view of it."""
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A test table or a derived view of it, read as a batch or as a stream."""
     if name not in _VIEWS:
-        return _load(spark, sf_dir, name)
+        return _load(spark, sf_dir, name, stream)
     for base in _VIEWS[name][0]:
-        _load(spark, sf_dir, base).createOrReplaceTempView(base)
+        _load(spark, sf_dir, base, stream).createOrReplaceTempView(base)
     return spark.sql(_text(name))
 
 
