@@ -90,6 +90,11 @@ def _blocks(points: DataFrame, theta: float) -> tuple[DataFrame, DataFrame]:
     """(points with their block, comparable block pairs) of ``points(batch_id, vec_id, embedding, weight)``."""
     from pyspark.sql import Window
 
+    largest = points.groupBy("batch_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= _BLOCK:
+        one = points.withColumns({"cell": F.lit(1), "part": F.lit(0), "distance": F.lit(0.0)})
+        whole = points.select("batch_id").distinct()
+        return one, whole.select("batch_id", *[F.lit(n).alias(c) for c, n in (("ca", 1), ("pa", 0), ("cb", 1), ("pb", 0))])
     w = Window.partitionBy("batch_id").orderBy(F.xxhash64("vec_id"), "vec_id")
     ranked = points.withColumn("label", F.row_number().over(w)).where(F.col("label") <= _PIVOTS)
     sizes = points.groupBy("batch_id").agg(F.ceil(F.count("*") / _BLOCK).alias("_pivots"))
@@ -194,31 +199,78 @@ def _local_links(points: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
     return _per_pair(points, pairs, ["is_core"], link, "vec_id bigint, rep bigint").distinct()
 
 
+#: edges one task contracts at a time
+_EDGES = 1_000_000
+
+
+def _contracted(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (u, v) replaced, a million at a time, by stars around their local minima."""
+    kind = dict(edges.dtypes)["u"]
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ends = pa.concat_arrays([table.column(i).combine_chunks() for i in (0, 1)])
+        names, at = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
+        u, v = at[: table.num_rows], at[table.num_rows :]
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[u], label[v])
+            after = label.copy()
+            np.minimum.at(after, u, low)
+            np.minimum.at(after, v, low)
+            after = after[after]
+            if np.array_equal(after, label):
+                break
+            label = after
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        columns = [pa.array(names[moved], ends.type), pa.array(names[label[moved]], ends.type)]
+        return pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+    def contract(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= _EDGES:
+                yield stars(held)
+                held, rows = [], 0
+        if rows:
+            yield stars(held)
+
+    tasks = max(1, -(-count // _EDGES))
+    return edges.repartition(tasks, "v").mapInArrow(contract, f"u {kind}, v {kind}")
+
+
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """(node, component) where a component is named by its smallest node.
 
-    Alternating large and small stars: each round every node meets the minimum of its
+    Each round, tasks first contract the edges they hold to stars; then alternating large and
+    small stars join what different tasks hold: every node meets the minimum of its
     neighbourhood through a map-side combined aggregate, until all that remains are stars.
     """
     high, low = F.greatest(left, right), F.least(left, right)
-    stars = checkpoint(edges.select(high.alias("u"), low.alias("v")).where(F.col("u") != F.col("v")).distinct())
+    edges = checkpoint(edges.select(left, right).distinct())
     nodes = edges.select(F.col(left).alias("node")).union(edges.select(F.col(right))).distinct()
-    seen = None
-    while True:
-        mark = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+    stars = edges.select(high.alias("u"), low.alias("v")).where(F.col("u") != F.col("v"))
+    mark = lambda: stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark()
+    stars = checkpoint(_contracted(stars, seen[0]))
+    # Up to a million edges were contracted together, which leaves nothing to join.
+    while seen[0] > _EDGES:
+        before, seen = seen, mark()
+        if before == seen:
             break
-        seen = mark
-        both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).union(stars.select("v", "u"))
+        ends = F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))
+        both = stars.select(F.inline(ends))
         smallest = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = (
+        large = checkpoint(
             both.where(F.col("y") > F.col("x")).join(smallest, "x")
             .select(F.col("y").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(lowest, "u")
-        small = met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), "m"))
-        stars = checkpoint(small.where(F.col("u") != F.col("v")).distinct())
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(lowest, "u").select(F.inline(ends)).where(F.col("u") != F.col("v")).distinct()
+        stars = checkpoint(_contracted(small, seen[0]))
     return nodes.join(stars, nodes["node"] == stars["u"], "left").select(
         "node", F.coalesce("v", "node").alias("component")
     )

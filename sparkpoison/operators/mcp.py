@@ -125,7 +125,7 @@ def with_nodes(tools: DataFrame, column: str = "schema_json") -> DataFrame:
 
 def flatten_schema(tools: DataFrame) -> DataFrame:
     """One row per schema node: path, parent, key, level, depths, kind, string value."""
-    return with_nodes(tools).select("tool_id", F.explode("nodes").alias("n")).select("tool_id", "n.*").drop("top")
+    return tx.each(with_nodes(tools), ["tool_id"], F.col("nodes"), "n").select("tool_id", "n.*").drop("top")
 
 
 def _leaves() -> Column:
@@ -318,7 +318,7 @@ def with_findings(tools: DataFrame) -> DataFrame:
 
 def audit_findings(tools: DataFrame) -> DataFrame:
     """One row per finding of every tool."""
-    return with_findings(tools).select("tool_id", "name", F.explode("findings").alias("f")).select("tool_id", "name", "f.*")
+    return tx.each(with_findings(tools), ["tool_id", "name"], F.col("findings"), "f").select("tool_id", "name", "f.*")
 
 
 # --------------------------------------------------------------------------- reports

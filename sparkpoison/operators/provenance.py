@@ -304,11 +304,9 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     found = [left.where(F.col("here") == F.col("there")).select(F.col("here").alias("node_id"), F.col("here").alias("cycle_id"))]
     while True:
         before = left.count()
-        for _ in range(3):
-            heads = left.select(F.col("there").alias("here")).distinct()
-            tails = left.select(F.col("here").alias("there")).distinct()
-            left = left.join(heads, "here", "left_semi").join(tails, "there", "left_semi").select("here", "there")
-        left = checkpoint(left)
+        heads = left.select(F.col("there").alias("here")).distinct()
+        tails = left.select(F.col("here").alias("there")).distinct()
+        left = checkpoint(left.join(heads, "here", "left_semi").join(tails, "there", "left_semi").select("here", "there"))
         if left.count() == before:
             break
     while not left.isEmpty():
@@ -334,7 +332,7 @@ def _flow(hops: DataFrame, values: DataFrame) -> DataFrame:
     """Spread the smallest value along ``hops(here, there)`` until nothing changes; ``values(n, c)``."""
     while True:
         total = values.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
-        for _ in range(3):
+        for _ in range(2):
             sent = hops.join(values, hops["here"] == values["n"]).select(F.col("there").alias("n"), "c")
             values = values.unionByName(sent).groupBy("n").agg(F.min("c").alias("c"))
         values = checkpoint(values)

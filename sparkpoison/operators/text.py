@@ -154,6 +154,12 @@ def perplexity_band(perplexity: Column, profile: str = "edge") -> Column:
     return F.when(perplexity <= 100, 0.0).when(perplexity >= 600, 1.0).otherwise((perplexity - 100.0) / 500.0)
 
 
+def each(df: DataFrame, keep: Sequence[str], items: Column, name: str) -> DataFrame:
+    """One row per item. The outer form keeps the optimizer from testing the array's size first,
+    which would compute a costly array twice; documents without items are dropped afterwards."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 # --------------------------------------------------------------------------- characters
 
 def count_points(text: Column | str, points: Iterable[int]) -> Column:
@@ -164,7 +170,7 @@ def _char_rows(docs: DataFrame, points: Iterable[int], text: str, doc_id: str) -
     """(doc, position, character) of the given code points; documents without any are never exploded."""
     points = list(points)
     hit = docs.select(doc_id, text).where(F.col(text).rlike(cat.char_class(points)))
-    chars = hit.select(doc_id, F.posexplode(F.split(text, "")).alias("position", "character"))
+    chars = hit.select(doc_id, F.posexplode_outer(F.split(text, "")).alias("position", "character"))
     return chars.where(F.col("character").isin([chr(p) for p in points]))
 
 
@@ -258,7 +264,7 @@ def base64_payloads(docs: DataFrame, profile: str = "service", text: str = "text
             lambda m: F.concat(F.substring(m, 1, 60), F.when(F.length(m) > 60, "…").otherwise("")),
         )
         return docs.select(doc_id, F.size(runs).cast("bigint").alias("base64_count"), sample.alias("samples"))
-    found = docs.where(F.col(text).rlike(BASE64_RUN)).select(doc_id, F.explode(payload_list(text)).alias("p"))
+    found = each(docs.where(F.col(text).rlike(BASE64_RUN)), [doc_id], payload_list(text), "p")
     shown = F.concat(
         F.substring("p.candidate", 1, 80), F.when(F.length("p.candidate") > 80, "...").otherwise("")
     )
@@ -296,7 +302,7 @@ def pattern_hits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                          F.lit(severity).alias("severity"), spans.alias("spans")),
             )
         )
-    per_pattern = docs.select(doc_id, F.explode(F.array_compact(F.array(*found))).alias("hit"))
+    per_pattern = each(docs, [doc_id], F.array_compact(F.array(*found)), "hit")
     ends = F.transform(
         F.col("hit.spans"),
         lambda _, i: F.aggregate(
@@ -305,7 +311,7 @@ def pattern_hits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
     flat = per_pattern.select(
         doc_id, "hit.pattern", "hit.instruction_type", "hit.severity",
-        F.posexplode(F.arrays_zip(F.col("hit.spans").alias("span"), ends.alias("end"))).alias("nth", "m"),
+        F.posexplode_outer(F.arrays_zip(F.col("hit.spans").alias("span"), ends.alias("end"))).alias("nth", "m"),
     )
     return flat.select(
         doc_id, "pattern", "instruction_type", "severity", (F.col("nth") + 1).cast("bigint").alias("nth"),
@@ -363,7 +369,7 @@ def heuristics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         for other in tests[1:]:
             test = (test & other) if need_all else (test | other)
         found.append(F.when(test, F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"))))
-    return docs.select(doc_id, F.explode(F.array_compact(F.array(*found))).alias("h")).select(doc_id, "h.*")
+    return each(docs, [doc_id], F.array_compact(F.array(*found)), "h").select(doc_id, "h.*")
 
 
 # --------------------------------------------------------------------------- encodings and lexicons
@@ -374,7 +380,7 @@ def tag_smuggling(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     source = "".join(chr(0xE0000 + c) for c in range(0x20, 0x7F))
     target = "".join(chr(c) for c in range(0x20, 0x7F))
     runs = docs.where(F.col(text).rlike(tags)).select(
-        doc_id, F.posexplode(F.regexp_extract_all(text, F.lit(tags), F.lit(0))).alias("nth", "run")
+        doc_id, F.posexplode_outer(F.regexp_extract_all(text, F.lit(tags), F.lit(0))).alias("nth", "run")
     )
     return runs.select(
         doc_id, (F.col("nth") + 1).cast("bigint").alias("nth"), F.length("run").cast("bigint").alias("length"),
@@ -421,7 +427,7 @@ def pattern_recurrence(docs: DataFrame, group: str = "source", text: str = "text
     tests = [
         F.when(F.col(text).rlike(java_regex(p, fold)), F.lit(name)) for name, _, _, p, fold in cat.INJECTION_PATTERNS
     ]
-    hits = docs.select(group, F.explode(F.array_compact(F.array(*tests))).alias("pattern"))
+    hits = each(docs, [group], F.array_compact(F.array(*tests)), "pattern")
     return hits.groupBy(group, "pattern").agg(F.count("*").alias("documents"))
 
 
@@ -432,11 +438,8 @@ def shingles(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str =
         F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))),
         lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")),
     )
-    return (
-        docs.select(doc_id, tokens.alias("w"))
-        .where(F.size("w") > 0)
-        .select(doc_id, F.explode(F.array_distinct(grams)).alias("shingle"))
-    )
+    worded = docs.select(doc_id, tokens.alias("w"))
+    return each(worded, [doc_id], F.when(F.size("w") > 0, F.array_distinct(grams)), "shingle")
 
 
 def copy_recurrence(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

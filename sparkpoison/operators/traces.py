@@ -270,7 +270,10 @@ def distribution_shift(base: DataFrame, current: DataFrame) -> DataFrame:
 
 def dataset_risk(annotated: DataFrame) -> DataFrame:
     """One row: anomalous traces, rates, shift, risk and verdict of the whole set of spans."""
-    annotated = annotated.select("trace_id", "event_type", "risk_score", "denied", "duration_ms", "is_anomalous")
+    # Read six times below; written once so the annotation is not repeated.
+    annotated = checkpoint(
+        annotated.select("trace_id", "event_type", "risk_score", "denied", "duration_ms", "is_anomalous")
+    )
     traces = trace_counts(annotated)
     spans = annotated.agg(
         F.count("*").alias("total_spans"), denial_rate(annotated).alias("denial"), F.avg("duration_ms").alias("avg_ms"),

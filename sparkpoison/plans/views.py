@@ -180,15 +180,15 @@ def _text(name: str) -> str:
     return sql
 
 
-#: tables whose rows take long to process
-_HEAVY = ("documents", "pages", "embeddings")
+#: tables and views whose rows take long to process
+_HEAVY = ("documents", "pages", "embeddings", "tools")
 
 
-def _load(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+def _load(spark: SparkSession, sf_dir: str, name: str, stream: bool = False, heavy: bool = False) -> DataFrame:
     if stream:
         schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
         return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
-    return load_table(spark, f"{sf_dir}/{name}.parquet", all_cores=name in _HEAVY)
+    return load_table(spark, f"{sf_dir}/{name}.parquet", all_cores=heavy or name in _HEAVY)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
@@ -196,7 +196,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) ->
     if name not in _VIEWS:
         return _load(spark, sf_dir, name, stream)
     for base in _VIEWS[name][0]:
-        _load(spark, sf_dir, base, stream).createOrReplaceTempView(base)
+        _load(spark, sf_dir, base, stream, name in _HEAVY).createOrReplaceTempView(base)
     return spark.sql(_text(name))
 
 
