@@ -17,9 +17,9 @@ def unified_timeline(*findings: DataFrame) -> DataFrame:
 
 
 def classify(findings: DataFrame) -> DataFrame:
-    """Adds the kill-chain ``stage`` of each finding's technique (a fixed table of ten rows)."""
-    rules = findings.sparkSession.createDataFrame(list(cat.KILL_CHAIN.items()), "technique string, stage string")
-    return findings.join(F.broadcast(rules), "technique", "left")
+    """Adds the kill-chain ``stage`` of each finding's technique."""
+    stages = F.create_map(*[F.lit(x) for pair in cat.KILL_CHAIN.items() for x in pair])
+    return findings.withColumn("stage", stages[F.col("technique")])
 
 
 def _cell(at: Column | str, minutes: int) -> Column:

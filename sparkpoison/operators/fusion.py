@@ -197,12 +197,16 @@ def threat_score_edge(report: DataFrame) -> DataFrame:
 
 
 def recommendations_edge(report: DataFrame) -> DataFrame:
-    """Distinct recommendations by engine and score tier, from a rule table of a dozen rows."""
-    rules = report.sparkSession.createDataFrame(
-        cat.EDGE_RECOMMENDATIONS, "engine string, low double, high double, part int, recommendation string"
-    )
-    hit = report.join(F.broadcast(rules), "engine").where((F.col("score") >= F.col("low")) & (F.col("score") < F.col("high")))
-    return hit.select("tenant_id", "engine", "part", "recommendation").distinct()
+    """Distinct recommendations by engine and score tier, from a list of a dozen rules."""
+    tiers = [
+        F.when(
+            (F.col("engine") == engine) & (F.col("score") >= low) & (F.col("score") < high),
+            F.struct(F.lit(part).alias("part"), F.lit(text).alias("recommendation")),
+        )
+        for engine, low, high, part, text in cat.EDGE_RECOMMENDATIONS
+    ]
+    hit = report.select("tenant_id", "engine", F.explode(F.array_compact(F.array(*tiers))).alias("r"))
+    return hit.select("tenant_id", "engine", "r.part", "r.recommendation").distinct()
 
 
 def scan_summary(scans: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
