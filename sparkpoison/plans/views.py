@@ -224,15 +224,16 @@ FROM embeddings""", """
 SELECT label % 3 AS batch_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding
 FROM embeddings"""),
     # Every label pulls its vectors along its own axes, more strongly for higher labels, so
-    # low labels stay scattered and high labels form dense clusters.
+    # low labels stay scattered and high labels form dense clusters; one vector in eleven is
+    # pulled towards a second label as well and ends up between two clusters.
     "clustered": (["embeddings"], """
 SELECT label % 3 AS batch_id, vec_id, label,
   transform(embedding, (x, i) -> CAST(x AS DOUBLE) +
-    CASE WHEN i % 10 = label THEN 0.85D + 0.06D * label ELSE 0.0D END) AS embedding
+    CASE WHEN i % 10 = label OR (vec_id % 11 = 0 AND i % 10 = (label + 3) % 10) THEN 0.85D + 0.06D * label ELSE 0.0D END) AS embedding
 FROM embeddings""", """
 SELECT label % 3 AS batch_id, vec_id, label,
   list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) +
-    CASE WHEN (i - 1) % 10 = label THEN CAST(0.85 AS DOUBLE) + CAST(0.06 AS DOUBLE) * label ELSE CAST(0 AS DOUBLE) END) AS embedding
+    CASE WHEN (i - 1) % 10 = label OR (vec_id % 11 = 0 AND (i - 1) % 10 = (label + 3) % 10) THEN CAST(0.85 AS DOUBLE) + CAST(0.06 AS DOUBLE) * label ELSE CAST(0 AS DOUBLE) END) AS embedding
 FROM embeddings"""),
 }
 for _name, (_deps, _spark, _check) in _PAIRED.items():
