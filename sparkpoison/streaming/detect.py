@@ -53,7 +53,8 @@ def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             out.append((row.tenant_id, key[0], row.engine, verdict, row.risk_score, row.created_at))
         last = verdict
     state.update((last,))
-    yield pd.DataFrame(out, columns=["tenant_id", "scan_id", "engine", "verdict", "risk_score", "created_at"])
+    if out:
+        yield pd.DataFrame(out, columns=["tenant_id", "scan_id", "engine", "verdict", "risk_score", "created_at"])
 
 
 def stream_auto_alert(scans: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def _trends(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         out.append((key[0], row.record_id, label))
         seen = (seen + [row.score])[-29:]
     state.update((seen,))
-    yield pd.DataFrame(out, columns=["tenant_id", "record_id", "trend"])
+    if out:
+        yield pd.DataFrame(out, columns=["tenant_id", "record_id", "trend"])
 
 
 def stream_trend(history: DataFrame) -> DataFrame:

@@ -18,10 +18,12 @@ def test_late_rows_are_dropped_and_closed_windows_emitted(spark, tmp_path):
     schema = "agent_id long, ts timestamp, is_anomalous boolean"
     t = dt.datetime(2024, 1, 1)
     early = [(a, t + dt.timedelta(seconds=a), True) for a in range(3)]
+    # A batch filters late rows with the watermark known before the batch ahead of it ended.
     later = [(9, t + dt.timedelta(hours=2), True)]
+    after = [(9, t + dt.timedelta(hours=3), True)]
     late = [(7, t + dt.timedelta(seconds=5), True)]
     last = [(9, t + dt.timedelta(hours=4), True)]
-    for n, rows in enumerate((early, later, late, last)):
+    for n, rows in enumerate((early, later, after, late, last)):
         _write(spark, rows, schema, str(tmp_path / "in"), n)
     stream = file_stream(spark, str(tmp_path / "in/*"), schema, max_files=1)
     out = run_available(stream_collusion(stream), "append", str(tmp_path / "run")).collect()
