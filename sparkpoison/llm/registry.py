@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: module of this subpackage, in the order of the operators
-MODULES = ["url_filter", "secrets", "sharding"]
+MODULES = ["url_filter", "bpe", "token_count", "secrets", "sharding"]
 
 
 def load() -> tuple[dict, dict]:
