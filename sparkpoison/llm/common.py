@@ -30,7 +30,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def in_pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text, at least one row each."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
