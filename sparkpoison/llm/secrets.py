@@ -147,7 +147,7 @@ def with_candidates(docs: DataFrame, text: str = "text", out: tuple[str, str] =
 def fit_cuts(scanned: DataFrame, rate: float = 0.05, cand: str = "_candidates") -> dict[int, int]:
     """{length band: first bin of p-values declared \"not random\"}, by Benjamini-Hochberg over all candidates of the band."""
     counts = (
-        scanned.select(F.explode(cand).alias("c")).groupBy(_band(F.col("c.n")).alias("band"), _bin(F.col("c.p")).alias("bin"))
+        scanned.select(F.explode_outer(cand).alias("c")).where(F.col("c.n").isNotNull()).groupBy(_band(F.col("c.n")).alias("band"), _bin(F.col("c.p")).alias("bin"))
         .agg(F.count("*").alias("n")).collect()  # bands times bins at most
     )
     cuts = {}
