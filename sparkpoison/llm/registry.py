@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: module of this subpackage, in the order of the operators
-MODULES = ["url_filter", "license_scan", "bpe", "token_count", "quality", "decontaminate", "secrets", "sharding"]
+MODULES = ["url_filter", "license_scan", "bpe", "token_count", "quality", "jaccard_join", "decontaminate", "secrets", "sharding"]
 
 
 def load() -> tuple[dict, dict]:
