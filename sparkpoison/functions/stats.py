@@ -91,9 +91,13 @@ def percentiles(
     w = Window.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first())
     ranked = banded.withColumn("_upto", F.sum("_c").over(w))
     at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    # A rank below the bracket would pass unnoticed as the bracket's first value.
+    below = F.max(F.when(F.col("_v").isNull(), F.col("_upto") > F.col("k")))
     picked = ranked.groupBy(*by, "name").agg(
-        at(F.col("k")).alias("_a"), at(F.col("k") + 1).alias("_b"), F.first("frac").alias("_f")
+        at(F.col("k")).alias("_a"), at(F.col("k") + 1).alias("_b"), F.first("frac").alias("_f"), below.alias("_miss")
     )
+    failed = F.raise_error(F.lit("a percentile's rank lies outside its bracket")).cast("double")
+    picked = picked.withColumn("_a", F.when(F.coalesce("_miss", F.lit(False)) | F.col("_a").isNull(), failed).otherwise(F.col("_a")))
     picked = picked.withColumn(
         "_p",
         F.when(F.col("_f") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).otherwise(F.col("_a")),

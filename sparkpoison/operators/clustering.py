@@ -229,16 +229,17 @@ def _contracted(edges: DataFrame, count: int) -> DataFrame:
     def contract(batches):
         held, rows = [], 0
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= _EDGES:
+            if rows and rows + batch.num_rows > _EDGES:
                 yield stars(held)
                 held, rows = [], 0
+            held.append(batch)
+            rows += batch.num_rows
         if rows:
             yield stars(held)
 
-    tasks = max(1, -(-count // _EDGES))
-    return edges.repartition(tasks, "v").mapInArrow(contract, f"u {kind}, v {kind}")
+    # coalesce(1) is one task whatever the session's settings; more edges are dealt by their smaller end.
+    dealt = edges.coalesce(1) if count <= _EDGES else edges.repartition(-(-count // _EDGES), "v")
+    return dealt.mapInArrow(contract, f"u {kind}, v {kind}")
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -254,9 +255,11 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     stars = edges.select(high.alias("u"), low.alias("v")).where(F.col("u") != F.col("v"))
     mark = lambda: stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark()
-    stars = checkpoint(_contracted(stars, seen[0]))
-    # Up to a million edges were contracted together, which leaves nothing to join.
-    while seen[0] > _EDGES:
+    count = seen[0]
+    while True:
+        stars = checkpoint(_contracted(stars, count))
+        if count <= _EDGES:
+            break  # one task held all edges at once: only stars are left
         before, seen = seen, mark()
         if before == seen:
             break
@@ -269,8 +272,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = large.join(lowest, "u").select(F.inline(ends)).where(F.col("u") != F.col("v")).distinct()
-        stars = checkpoint(_contracted(small, seen[0]))
+        stars = checkpoint(large.join(lowest, "u").select(F.inline(ends)).where(F.col("u") != F.col("v")).distinct())
+        count = stars.count()
     return nodes.join(stars, nodes["node"] == stars["u"], "left").select(
         "node", F.coalesce("v", "node").alias("component")
     )

@@ -37,23 +37,30 @@ def clusters(findings: DataFrame, minutes: int = 60, smallest: int = 2) -> DataF
     most events costs no more rows than there are cells.
     """
     events = findings.where(F.col("stage").isNotNull()).withColumn("_cell", _cell("ts", minutes))
-    node = lambda kind, key: F.concat_ws(":", F.lit(kind), F.col(key).cast("string"), F.col("_cell").cast("string"))
-    events = events.withColumns({"_e": node("e", "entity_id"), "_s": node("s", "stage")})
-    links = events.select(F.col("_e").alias("u"), F.col("_s").alias("v")).distinct()
+
+    def node(kind: str, key: Column, cell: Column) -> Column:
+        """A key and cell as one text; keys are quoted, so no two of them read the same. Null for a null key."""
+        return F.when(key.isNotNull(), F.to_json(F.struct(F.lit(kind).alias("k"), key.cast("string").alias("v"), cell.alias("c"))))
+
+    own = lambda kind, key: node(kind, F.col(key), F.col("_cell"))
+    events = events.withColumns({"_e": own("e", "entity_id"), "_s": own("s", "stage")})
+    # Every event has a stage; one without an entity correlates through its stage alone.
+    links = events.select(F.coalesce("_e", "_s").alias("u"), F.col("_s").alias("v")).distinct()
     parts = [links]
     for kind, key in (("e", "entity_id"), ("s", "stage")):
         held = checkpoint(
-            events.groupBy(F.col(key).cast("string").alias("k"), "_cell").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+            events.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k"), "_cell")
+            .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
         )
         a, b = held.alias("a"), held.alias("b")
         close = F.unix_micros("b.lo") - F.unix_micros("a.hi") < minutes * 60_000_000
-        name = lambda side: F.concat_ws(":", F.lit(kind), F.col(f"{side}.k"), F.col(f"{side}._cell").cast("string"))
+        name = lambda side: node(kind, F.col(f"{side}.k"), F.col(f"{side}._cell"))
         parts.append(
             a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("b._cell") == F.col("a._cell") + 1))
             .where(close).select(name("a").alias("u"), name("b").alias("v"))
         )
     component = connected_components(reduce(DataFrame.union, parts))
-    placed = checkpoint(events.join(component, events["_e"] == component["node"]).drop("node"))
+    placed = checkpoint(events.join(component, events["_s"] == component["node"]).drop("node"))
     names = placed.groupBy("component").agg(F.min("event_id").alias("cluster_id"), F.count("*").alias("_n"))
     return (
         placed.join(names.where(F.col("_n") >= smallest), "component")

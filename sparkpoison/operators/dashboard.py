@@ -154,13 +154,13 @@ def auto_alerts(history: DataFrame, order: str = "created_at") -> DataFrame:
 
 
 def recent_alerts(alerts: DataFrame, limit: int | None = 8, severity: str | None = None, status: str | None = None) -> DataFrame:
-    """The most severe, then newest alerts, optionally of one severity or status."""
+    """The most severe, then newest alerts, optionally of one severity or status; ties go by ``alert_id``."""
     if severity:
         alerts = alerts.where(F.col("severity") == severity)
     if status:
         alerts = alerts.where(F.col("status") == status)
     rank = F.coalesce(F.create_map(*[F.lit(x) for p in cat.SEVERITY_RANK.items() for x in p])[F.col("severity")], F.lit(9))
-    ranked = alerts.orderBy(rank, F.col("created_at").desc())
+    ranked = alerts.orderBy(rank, F.col("created_at").desc(), "alert_id")
     return ranked if limit is None else ranked.limit(limit)
 
 

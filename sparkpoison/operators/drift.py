@@ -157,32 +157,27 @@ def ground_truth_report(telemetry: DataFrame, truth: DataFrame, positive: str, b
 
 
 def evaluate_policies(metrics: DataFrame, policies: DataFrame) -> DataFrame:
-    """Compare each application's metrics with its active policy, or its tenant's default.
+    """Compare each application's metrics with its active policies: of each type its own, else its tenant's default.
 
     ``metrics(tenant_id, application_id, metrics MAP)``; ``policies(tenant_id, application_id,
     policy_type, name, version, is_active, thresholds MAP)``, application null for a default.
     """
     latest = (
         policies.where("is_active").groupBy("tenant_id", "application_id", "policy_type")
-        .agg(F.max_by(F.struct("name", "version", "thresholds"), "version").alias("p"))
-    )
-    own = latest.where(F.col("application_id").isNotNull()).withColumnRenamed("p", "own")
-    default = latest.where(F.col("application_id").isNull()).select(
-        "tenant_id", F.col("policy_type").alias("default_type"), F.col("p").alias("fallback")
-    )
-    chosen = (
-        metrics.join(own, ["tenant_id", "application_id"], "left").join(default, "tenant_id", "left")
-        .where(F.col("own").isNotNull() | F.col("fallback").isNotNull())
-        .where(F.col("policy_type").isNull() | F.col("default_type").isNull() | (F.col("policy_type") == F.col("default_type")))
-        .withColumn("policy", F.coalesce("own", "fallback"))
+        .agg(F.max_by(F.struct("name", "version", "thresholds"), "version").alias("policy"))
     )
+    apps = metrics.select("tenant_id", "application_id").distinct()
+    own = latest.where(F.col("application_id").isNotNull()).join(apps, ["tenant_id", "application_id"], "left_semi")
+    default = latest.where(F.col("application_id").isNull()).drop("application_id").join(apps, "tenant_id")
+    inherited = default.join(own, ["tenant_id", "application_id", "policy_type"], "left_anti")
+    chosen = metrics.join(own.unionByName(inherited), ["tenant_id", "application_id"])
     checks = chosen.select(
-        "tenant_id", "application_id", F.col("policy.name").alias("policy"), F.col("policy.version").alias("version"),
+        "tenant_id", "application_id", "policy_type", F.col("policy.name").alias("policy"), F.col("policy.version").alias("version"),
         F.explode("policy.thresholds").alias("metric", "threshold"), "metrics",
     )
     value = F.element_at("metrics", F.col("metric"))
     return checks.select(
-        "tenant_id", "application_id", "policy", "version", "metric", "threshold", value.alias("value"),
+        "tenant_id", "application_id", "policy_type", "policy", "version", "metric", "threshold", value.alias("value"),
         F.coalesce(value >= F.col("threshold"), F.lit(False)).alias("breached"),
     )
 

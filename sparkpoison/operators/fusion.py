@@ -154,17 +154,18 @@ def recommendations(threats: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- edge profile
 
-def threat_report_edge(records: DataFrame, contaminated: DataFrame, as_of: str, hours: int = 24, include_clean: bool = False) -> DataFrame:
-    """Per tenant and engine the mean of the window's top-50 scores, verdicts and counts.
+def threat_report_edge(records: DataFrame, contaminated: DataFrame, as_of: str, hours: int = 24, include_clean: bool = False, limit: int | None = 50) -> DataFrame:
+    """Per tenant and engine the mean of the window's ``limit`` highest scores, verdicts and counts.
+
+    50 is the published rule; None takes all. Of equal scores the newer, then the smaller verdict counts first.
 
     ``records(tenant_id, engine, risk_score, verdict, created_at)`` with engine vector, rag or mcp;
     ``contaminated(tenant_id, severity, created_at)``.
     """
     since = ago(as_of, hours, "HOURS")
-    w = Window.partitionBy("tenant_id", "engine").orderBy(F.col("risk_score").desc())
-    top = (
-        records.where(F.col("created_at") >= since).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 50)
-    )
+    w = Window.partitionBy("tenant_id", "engine").orderBy(F.col("risk_score").desc(), F.col("created_at").desc(), "verdict")
+    first = lambda df, order: df if limit is None else df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= limit)
+    top = first(records.where(F.col("created_at") >= since), w)
     counted = F.lit(True) if include_clean else F.col("risk_score") >= 0.3
     engines = top.groupBy("tenant_id", "engine").agg(
         F.coalesce(F.avg(F.when(counted, F.col("risk_score"))), F.lit(0.0)).alias("score"),
@@ -173,8 +174,7 @@ def threat_report_edge(records: DataFrame, contaminated: DataFrame, as_of: str,
     weight = F.create_map(*[F.lit(x) for pair in cat.CONTAMINATION_SEVERITY.items() for x in pair])
     wp = Window.partitionBy("tenant_id").orderBy(F.col("created_at").desc(), "severity")
     nodes = (
-        contaminated.where((F.col("created_at") >= since)).withColumn("_k", F.row_number().over(wp)).where(F.col("_k") <= 50)
-        .groupBy("tenant_id").agg(
+        first(contaminated.where(F.col("created_at") >= since), wp).groupBy("tenant_id").agg(
             F.avg(F.coalesce(weight[F.col("severity")], F.lit(0.2))).alias("score"), F.count("*").alias("record_count"),
             F.count_if(F.col("severity").isin("critical", "high")).alias("flagged_count"),
         ).withColumn("engine", F.lit("provenance"))

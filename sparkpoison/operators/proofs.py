@@ -9,6 +9,7 @@ record's predecessor and is fully parallel.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -41,12 +42,22 @@ def build_chain(log: DataFrame, genesis: str = "") -> DataFrame:
 
 
 def chain_roots(chain: DataFrame, genesis: str = "") -> DataFrame:
-    """One root hash per tenant, from the heads of its segments."""
-    heads = lambda c: c.groupBy("tenant_id", "segment").agg(F.max_by("chain_hash", "idx").alias("result"))
+    """One root hash per tenant, from the heads of its segments.
+
+    A tenant is done when one head is left, whatever the other tenants still need, so a root
+    depends on the tenant's own records alone.
+    """
+    heads = lambda c: c.groupBy("tenant_id", "segment").agg(F.max_by("chain_hash", "idx").alias("result"))
     level = checkpoint(heads(chain).withColumnRenamed("segment", "idx"))
-    while level.agg(F.max("idx")).first()[0] not in (None, 0):
+    roots = []
+    while True:
+        left = level.groupBy("tenant_id").agg(F.count("*").alias("_heads"))
+        counted = checkpoint(level.join(left, "tenant_id"))
+        roots.append(counted.where("_heads = 1").select("tenant_id", F.col("result").alias("root_hash")))
+        level = counted.where("_heads > 1").drop("_heads")
+        if level.isEmpty():
+            return reduce(DataFrame.union, roots)
         level = checkpoint(heads(build_chain(level, genesis)).withColumnRenamed("segment", "idx"))
-    return level.select("tenant_id", F.col("result").alias("root_hash"))
 
 
 def link_hash(previous: Column, result: Column, genesis: str = "") -> Column:
@@ -61,10 +72,21 @@ def checked_links(chain: DataFrame, genesis: str = "") -> DataFrame:
     )
 
 
-def verify_chain(chain: DataFrame, genesis: str = "") -> DataFrame:
-    """Per tenant: records, verified and failed links, first invalid record."""
+def verify_chain(chain: DataFrame, genesis: str = "", roots: DataFrame | None = None) -> DataFrame:
+    """Per tenant: records, verified and failed links, first invalid record.
+
+    With the stored ``roots(tenant_id, root_hash)`` also ``root_valid``: whether the records still lead to the root,
+    which finds missing records at the end. A tenant with a root and no records is reported with 0 records.
+    """
     ok = F.col("is_valid")
-    return checked_links(chain, genesis).groupBy("tenant_id").agg(
+    out = checked_links(chain, genesis).groupBy("tenant_id").agg(
         F.count("*").alias("records"), F.count_if(ok).alias("verified"), F.count_if(~ok).alias("failed"),
         F.min(F.when(~ok, F.col("idx"))).alias("invalid_at"),
     )
+    if roots is None:
+        return out
+    now = chain_roots(chain, genesis).withColumnRenamed("root_hash", "_now")
+    both = out.join(now, "tenant_id").join(roots.select("tenant_id", "root_hash"), "tenant_id", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    same = F.coalesce(F.col("_now") == F.col("root_hash"), F.lit(False)).alias("root_valid")
+    return both.select("tenant_id", zero("records"), zero("verified"), zero("failed"), "invalid_at", same)

@@ -43,7 +43,10 @@ def register(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFra
     Datasets already stored are merged away; a child's generation is its parent's plus one,
     whether the parent is stored or comes in the same batch; an unknown parent is rejected.
     """
-    fresh = incoming.dropDuplicates(["dataset_id"]).join(stored.select("dataset_id"), "dataset_id", "left_anti")
+    # Of several rows of one dataset the smallest by all other columns counts, whichever task sees it first.
+    others = [c for c in incoming.columns if c != "dataset_id"]
+    single = incoming.groupBy("dataset_id").agg(F.min(F.struct(*others)).alias("_row")).select("dataset_id", "_row.*").select(*incoming.columns)
+    fresh = single.join(stored.select("dataset_id"), "dataset_id", "left_anti")
     known = F.when(F.col("source_type").isin(SOURCE_TYPES), F.col("source_type")).otherwise("unknown")
     fresh = checkpoint(fresh.withColumn("source_type", known))
     levels = [checkpoint(fresh.where(F.col("parent_id").isNull()).withColumn("generation", F.coalesce("generation", F.lit(0)).cast("bigint")))]
@@ -201,9 +204,11 @@ def shortest_path(edges: DataFrame, source: object, target: object, max_hops: in
     return frontier.where(F.lit(False)).select(F.posexplode("path").alias("hop", "node_id"))
 
 
-def lineage_graph(edges: DataFrame, start: object, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within max_depth of a node in both directions."""
-    depth = min(max_depth, MAX_DEPTH)
+def lineage_graph(edges: DataFrame, start: object, max_depth: int = 10, deepest: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) within max_depth of a node in both directions; a depth beyond ``deepest`` is an error, not cut."""
+    if max_depth > deepest:
+        raise ValueError(f"max_depth {max_depth} is beyond {deepest}")
+    depth = max_depth
     kind = dict(edges.dtypes)["source_id"]
     starts = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("start_id"))
     up = reachable(edges, starts, "up", depth).select("node_id", (-F.col("depth")).alias("level"))
@@ -220,12 +225,15 @@ def lineage_graph(edges: DataFrame, start: object, max_depth: int = 10) -> tuple
 
 # --------------------------------------------------------------------------- contamination
 
-def check_contamination(nodes: DataFrame, edges: DataFrame, starts: DataFrame, acyclic: bool = True) -> DataFrame:
-    """Per start: contaminated ancestor paths, highest decayed score, verdict, ancestors checked."""
+def check_contamination(nodes: DataFrame, edges: DataFrame, starts: DataFrame, acyclic: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Per start: contaminated ancestor paths, highest decayed score, verdict, ancestors checked.
+
+    Simple paths count. On a graph known to be ``acyclic`` they are counted without being listed.
+    """
     if acyclic:
-        rows = path_counts(edges, starts, "up", MAX_DEPTH)
+        rows = path_counts(edges, starts, "up", max_depth)
     else:
-        rows = paths(edges, starts, "up", MAX_DEPTH).withColumn("paths", F.lit(1).cast("bigint"))
+        rows = paths(edges, starts, "up", max_depth).withColumn("paths", F.lit(1).cast("bigint"))
     scored = rows.where(F.col("depth") > 0).join(nodes.select("node_id", "contamination_score"), "node_id")
     dirty = F.col("contamination_score") > 0
     decayed = F.col("contamination_score") * F.pow(F.lit(DECAY_FACTOR), F.col("depth"))
@@ -241,9 +249,9 @@ def check_contamination(nodes: DataFrame, edges: DataFrame, starts: DataFrame, a
     )
 
 
-def contamination_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+def contamination_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per path to a contaminated ancestor."""
-    rows = lineage(nodes, edges, starts, MAX_DEPTH).where((F.col("depth") > 0) & (F.col("contamination_score") > 0))
+    rows = lineage(nodes, edges, starts, max_depth).where((F.col("depth") > 0) & (F.col("contamination_score") > 0))
     return rows.select(
         "start_id", F.col("node_id").alias("ancestor_id"), "contamination_score", "path", "depth",
         round_to(F.col("contamination_score") * F.pow(F.lit(DECAY_FACTOR), F.col("depth")), 6).alias("decayed_score"),

@@ -8,14 +8,17 @@ from sparkpoison.functions import catalogue as cat
 from sparkpoison.functions.numeric import banded, cap1, clip01
 from sparkpoison.functions.vector import cosine, norm
 from sparkpoison.operators import text as tx
+from sparkpoison.session import broadcast_if_small
 
 
 def cosine_deviation(docs: DataFrame, baseline: DataFrame, embedding: str = "embedding") -> DataFrame:
     """1 - similarity to the baseline centroid, in [0, 2]. ``baseline`` has one centroid per ``batch_id``.
 
-    Documents without an embedding or a baseline deviate by 0.
+    Documents without an embedding or a baseline deviate by 0. There are few batches, and
+    one may hold most documents: their centroids go to the documents if they are small
+    enough, else the join is left to Spark, which splits hot batches.
     """
-    joined = docs.join(baseline.select("batch_id", "centroid"), "batch_id", "left")
+    joined = docs.join(broadcast_if_small(baseline.select("batch_id", "centroid")), "batch_id", "left")
     ready = F.col(embedding).isNotNull() & F.col("centroid").isNotNull()
     dev = F.greatest(F.least(1.0 - cosine(embedding, "centroid"), F.lit(2.0)), F.lit(0.0))
     return joined.withColumn("cosine_deviation", F.when(ready, dev).otherwise(0.0)).drop("centroid")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkpoison.functions import catalogue as cat, textstats as ts
+from sparkpoison.functions.arrays import running
 from sparkpoison.functions.numeric import cap1, round_to
 
 # --------------------------------------------------------------------------- statistics
@@ -285,38 +286,33 @@ def pattern_hits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """Every match of every injection pattern, with its character position.
 
     Patterns are literals, so each is compiled once; documents matching none are dropped
-    before matches are extracted. The text between matches is captured with them, which
-    gives positions in characters.
+    before matches are extracted. The pieces between matches and the matches themselves come
+    in the same order, so running sums of their lengths are positions: the work per document
+    is proportional to its length and its matches.
     """
     found = []
     for name, kind, severity, pattern, fold in cat.INJECTION_PATTERNS:
         regex = java_regex(pattern, fold)
-        groups = f"((?s:.*?))({regex})"
-        gaps = F.regexp_extract_all(text, F.lit(groups), F.lit(1))
-        matches = F.regexp_extract_all(text, F.lit(groups), F.lit(2))
-        spans = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
         found.append(
             F.when(
                 F.col(text).rlike(regex),
-                F.struct(F.lit(name).alias("pattern"), F.lit(kind).alias("instruction_type"),
-                         F.lit(severity).alias("severity"), spans.alias("spans")),
+                F.struct(
+                    F.lit(name).alias("pattern"), F.lit(kind).alias("instruction_type"), F.lit(severity).alias("severity"),
+                    F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("matches"),
+                    F.transform(F.split(text, regex, -1), lambda piece: F.length(piece)).alias("gaps"),
+                ),
             )
         )
     per_pattern = each(docs, [doc_id], F.array_compact(F.array(*found)), "hit")
-    ends = F.transform(
-        F.col("hit.spans"),
-        lambda _, i: F.aggregate(
-            F.slice(F.col("hit.spans"), 1, i + 1), F.lit(0), lambda acc, s: acc + F.length(s["gap"]) + F.length(s["match"])
-        ),
-    )
+    steps = F.zip_with("hit.matches", F.slice("hit.gaps", F.lit(1), F.size("hit.matches")), lambda m, gap: gap + F.length(m))
+    per_pattern = running(per_pattern.withColumn("_ends", steps), "_ends")
     flat = per_pattern.select(
         doc_id, "hit.pattern", "hit.instruction_type", "hit.severity",
-        F.posexplode_outer(F.arrays_zip(F.col("hit.spans").alias("span"), ends.alias("end"))).alias("nth", "m"),
+        F.posexplode_outer(F.arrays_zip(F.col("hit.matches").alias("match"), F.col("_ends").alias("end"))).alias("nth", "m"),
     )
     return flat.select(
         doc_id, "pattern", "instruction_type", "severity", (F.col("nth") + 1).cast("bigint").alias("nth"),
-        F.col("m.span.match").alias("matched_text"),
-        (F.col("m.end") - F.length("m.span.match")).cast("bigint").alias("position"),
+        F.col("m.match").alias("matched_text"), (F.col("m.end") - F.length("m.match")).cast("bigint").alias("position"),
     )
 
 

@@ -77,7 +77,7 @@ def centroid(vecs: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
 
 def sim_to_centroid(vecs: DataFrame, centroids: DataFrame, floor: float | None = None) -> DataFrame:
     """Adds ``similarity`` to the batch centroid."""
-    mids = broadcast_if_small(checkpoint(centroids.select("batch_id", "centroid")), 20_000)
+    mids = broadcast_if_small(checkpoint(centroids.select("batch_id", "centroid")))
     return vecs.join(mids, "batch_id").withColumn(
         "similarity", cosine("embedding", "centroid", floor)
     ).drop("centroid")

@@ -40,7 +40,7 @@ def listing_top_per_engine(scans: DataFrame) -> DataFrame:
 
 @query("P-4", "alerts", f"""
 SELECT alert_id, severity, strftime(created_at, {_SQLFMT}) AS created_at FROM alerts
-ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, alerts.created_at DESC LIMIT 800""")
+ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, alerts.created_at DESC, alert_id LIMIT 800""")
 def alerts_recent(alerts: DataFrame) -> DataFrame:
     out = db.recent_alerts(alerts, 800).select("alert_id", "severity", "created_at")
     return out.withColumn("created_at", F.date_format("created_at", _FMT))

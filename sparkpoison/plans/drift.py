@@ -195,11 +195,11 @@ WITH {_LLM},
 m AS (SELECT tenant_id, application_id, avg(poisoning_risk) AS pr, avg(hallucination_risk) AS hr, avg(CASE WHEN is_anomalous THEN 1.0 ELSE 0.0 END) AS ar FROM lln GROUP BY ALL),
 lp AS (SELECT *, max(version) OVER (PARTITION BY tenant_id, application_id, policy_type) AS mv FROM policies WHERE is_active),
 ap AS (SELECT * FROM lp WHERE version = mv),
-c AS (SELECT m.*, p.name, p.version, p.metric, p.threshold::DOUBLE AS threshold FROM m JOIN ap p ON p.tenant_id = m.tenant_id AND p.application_id = m.application_id
-  UNION ALL SELECT m.*, p.name, p.version, p.metric, p.threshold::DOUBLE FROM m JOIN ap p ON p.tenant_id = m.tenant_id AND p.application_id IS NULL
-  WHERE NOT EXISTS (SELECT 1 FROM ap q WHERE q.tenant_id = m.tenant_id AND q.application_id = m.application_id)),
+c AS (SELECT m.*, p.policy_type, p.name, p.version, p.metric, p.threshold::DOUBLE AS threshold FROM m JOIN ap p ON p.tenant_id = m.tenant_id AND p.application_id = m.application_id
+  UNION ALL SELECT m.*, p.policy_type, p.name, p.version, p.metric, p.threshold::DOUBLE FROM m JOIN ap p ON p.tenant_id = m.tenant_id AND p.application_id IS NULL
+  WHERE NOT EXISTS (SELECT 1 FROM ap q WHERE q.tenant_id = m.tenant_id AND q.application_id = m.application_id AND q.policy_type = p.policy_type)),
 v AS (SELECT *, CASE metric WHEN 'poisoning_risk' THEN pr WHEN 'hallucination_risk' THEN hr ELSE ar END AS value FROM c)
-SELECT tenant_id, application_id, name AS policy, version, metric, threshold, {r("value")} AS value, value >= threshold AS breached FROM v""")
+SELECT tenant_id, application_id, policy_type, name AS policy, version, metric, threshold, {r("value")} AS value, value >= threshold AS breached FROM v""")
 def drift_policies(llm: DataFrame, policies: DataFrame) -> DataFrame:
     rows = ing.normalise_llm(llm).groupBy("tenant_id", "application_id").agg(
         F.avg("poisoning_risk").alias("p"), F.avg("hallucination_risk").alias("h"), F.avg(F.col("is_anomalous").cast("double")).alias("a"))

@@ -96,9 +96,9 @@ def threat_recommendations(scans: DataFrame) -> DataFrame:
 
 _AS_OF = "2024-01-31 00:00:00"
 _EDGE = f"""
-rec AS (SELECT tenant_id, CASE engine WHEN 'vector_analyzer' THEN 'vector' WHEN 'rag_detector' THEN 'rag' ELSE 'mcp' END AS engine, risk_score, verdict
+rec AS (SELECT tenant_id, CASE engine WHEN 'vector_analyzer' THEN 'vector' WHEN 'rag_detector' THEN 'rag' ELSE 'mcp' END AS engine, risk_score, verdict, created_at
   FROM scans WHERE engine IN ('vector_analyzer', 'rag_detector', 'mcp_auditor') AND created_at >= TIMESTAMP '{_AS_OF}' - INTERVAL 240 HOURS),
-top AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY tenant_id, engine ORDER BY risk_score DESC) <= 50),
+top AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY tenant_id, engine ORDER BY risk_score DESC, created_at DESC, verdict NULLS FIRST) <= 50),
 con AS (SELECT tenant_id, CASE verdict WHEN 'poisoned' THEN 'critical' WHEN 'suspicious' THEN 'medium' ELSE 'low' END AS severity, created_at FROM scans
   WHERE engine = 'provenance_tracker' AND created_at >= TIMESTAMP '{_AS_OF}' - INTERVAL 240 HOURS
   QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, severity) <= 50),

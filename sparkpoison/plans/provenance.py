@@ -72,7 +72,7 @@ g AS (SELECT start_id, count_if(sc > 0) AS cp, max(CASE WHEN sc > 0 THEN de END)
 SELECT n.node_id AS start_id, coalesce(cp, 0) AS contamination_paths, {r("coalesce(mx, 0)")} AS max_decayed_score, coalesce(mx, 0) > 0.3 AS is_contaminated,
   coalesce(ta, 0) AS total_ancestors FROM nodes n LEFT JOIN g ON g.start_id = n.node_id""")
 def graph_contamination(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return pv.check_contamination(nodes, edges, _all(nodes))
+    return pv.check_contamination(nodes, edges, _all(nodes), acyclic=True)  # links go from smaller to larger ids
 
 
 @query("G-5", "nodes edges", f"""

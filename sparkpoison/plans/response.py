@@ -81,7 +81,7 @@ def remediation_matches(findings: DataFrame, rules: DataFrame) -> DataFrame:
 @query("X-3", "findings rules documents", f"""
 WITH {_MATCH}, lg AS (SELECT entity_id, CASE WHEN event_id % 3 = 0 THEN 'rolled_back' ELSE status END AS status, ts FROM ma WHERE action = 'quarantine'),
 la AS (SELECT entity_id, arg_max(status, ts) AS s FROM lg GROUP BY entity_id)
-SELECT doc_id AS entity_id, source FROM documents WHERE doc_id NOT IN (SELECT entity_id FROM la WHERE s = 'executed')""")
+SELECT doc_id AS entity_id, source FROM documents WHERE doc_id NOT IN (SELECT entity_id FROM la WHERE s = 'executed' AND entity_id IS NOT NULL)""")
 def remediation_corpus(findings: DataFrame, rules: DataFrame, documents: DataFrame) -> DataFrame:
     rolled = F.when(F.col("event_id") % 3 == 0, "rolled_back").otherwise(F.col("status"))
     log = rm.match_rules(findings, rules).select("entity_id", "action", rolled.alias("status"), F.col("ts").alias("at"))
@@ -99,7 +99,13 @@ def proof_chain(proof_log: DataFrame) -> DataFrame:
     return pr.build_chain(proof_log)
 
 
-@query("H-1", "proof_log", None)
+@query("H-1", "proof_log", f"""
+WITH RECURSIVE {_CHAIN},
+hd AS (SELECT tenant_id, segment, head, row_number() OVER (PARTITION BY tenant_id ORDER BY segment) AS place, count(*) OVER (PARTITION BY tenant_id) AS heads
+  FROM (SELECT tenant_id, segment, arg_max(c, idx) AS head FROM ch GROUP BY tenant_id, segment)),
+up AS (SELECT tenant_id, place, heads, head, sha256(sha256(head)) AS top FROM hd WHERE place = 1
+  UNION ALL SELECT hd.tenant_id, hd.place, hd.heads, hd.head, sha256(up.top || sha256(hd.head)) FROM up JOIN hd ON hd.tenant_id = up.tenant_id AND hd.place = up.place + 1)
+SELECT tenant_id, CASE WHEN heads = 1 THEN head ELSE top END AS root_hash FROM up WHERE place = heads""")
 def proof_roots(proof_log: DataFrame) -> DataFrame:
     return pr.chain_roots(pr.build_chain(proof_log))
 

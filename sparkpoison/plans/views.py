@@ -118,7 +118,10 @@ SELECT * FROM (VALUES
   (0, 'app_1', 'quality', 'app_1 retired', 1, true, 'poisoning_risk', 0.9),
   (1, 'app_0', 'quality', 'app_0 inactive', 3, false, 'poisoning_risk', 0.1),
   (1, CAST(NULL AS VARCHAR(10)), 'quality', 'tenant default', 1, true, 'anomaly_rate', 0.2),
-  (2, 'app_2', 'quality', 'app_2 only', 1, true, 'hallucination_risk', 0.4)
+  (2, 'app_2', 'quality', 'app_2 only', 1, true, 'hallucination_risk', 0.4),
+  (0, CAST(NULL AS VARCHAR(10)), 'security', 'tenant security', 4, true, 'poisoning_risk', 0.2),
+  (2, CAST(NULL AS VARCHAR(10)), 'security', 'tenant security', 1, true, 'anomaly_rate', 0.05),
+  (2, 'app_0', 'security', 'app_0 security', 2, true, 'anomaly_rate', 0.3)
 ) AS t(tenant_id, application_id, policy_type, name, version, is_active, metric, threshold)"""),
     "nodes": (["part"], """
 SELECT p_partkey AS node_id,
@@ -138,7 +141,7 @@ SELECT p_partkey AS source_id,
   CASE WHEN p_partkey % 10 = 9 AND floor(p_partkey / 10.0) % 2 = 0 THEN p_partkey - 9 ELSE p_partkey + 1 END AS target_id
 FROM part"""),
     "findings": (["events"], """
-SELECT event_id, user_id AS entity_id, ts,
+SELECT event_id, CASE WHEN event_id % 17 <> 4 THEN user_id END AS entity_id, ts,
   CASE event_type WHEN 'click' THEN 'vector_analyzer' WHEN 'view' THEN 'rag_detector'
     WHEN 'purchase' THEN 'mcp_auditor' WHEN 'signup' THEN 'provenance_tracker' ELSE 'telemetry' END AS engine,
   CASE event_type WHEN 'click' THEN 'schema_introspection' WHEN 'view' THEN 'hidden_instruction'
@@ -187,7 +190,8 @@ _HEAVY = ("documents", "pages", "embeddings", "tools")
 def _load(spark: SparkSession, sf_dir: str, name: str, stream: bool = False, heavy: bool = False) -> DataFrame:
     if stream:
         schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-        return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+        # The pattern names the table whether it is one file or a folder of part files.
+        return file_stream(spark, f"{sf_dir}/{name}.parquet*", schema)
     return load_table(spark, f"{sf_dir}/{name}.parquet", all_cores=heavy or name in _HEAVY)
 
 

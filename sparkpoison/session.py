@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows a side may have before it is no longer broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes a side may have, as measured on its rows, before it is no longer broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "sparkpoison", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,6 +27,10 @@ def build_session(app: str = "sparkpoison", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+#: folders of local sessions; they go when the process ends
+_made: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
@@ -41,9 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="sparkpoison-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    _made.append(tempfile.TemporaryDirectory(prefix="sparkpoison-", ignore_cleanup_errors=True))
+    spark.sparkContext.setCheckpointDir(_made[-1].name)
+    return _made[-1].name
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -55,7 +59,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a larger side is left to a shuffle join."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+def _width(name: str, kind: str) -> Column:
+    """About the bytes of a column's value."""
+    if kind == "string" or kind == "binary":
+        return F.coalesce(F.octet_length(name), F.lit(0))
+    if kind in ("array<double>", "array<float>", "array<bigint>", "array<int>"):
+        return F.lit(8) * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.array(name) if kind.startswith("struct") else name)), F.lit(0))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after measuring all rows; a larger side is left to a shuffle join."""
+    row = sum((_width(name, kind) for name, kind in df.dtypes), F.lit(16))
+    measured = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if measured <= max_bytes else df

@@ -52,11 +52,10 @@ def for_tenant(df: DataFrame, tenant: object) -> DataFrame:
 def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append scans or findings, one folder per tenant.
 
-    Rows are spread over (tenant, salt) first: a tenant with a third of the rows is
-    written by many tasks, and a small one still gets few files.
+    Rows are gathered by tenant and the result rebalanced: a large tenant is cut into as many
+    tasks as its bytes need, and a small one gets one file.
     """
-    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(64))
-    df.repartition(F.col("tenant_id"), salt).write.mode(mode).partitionBy("tenant_id").parquet(path)
+    df.hint("rebalance", "tenant_id").write.mode(mode).partitionBy("tenant_id").parquet(path)
 
 
 def write_audit(df: DataFrame, path: str, at: str = "created_at") -> None:
@@ -76,8 +75,11 @@ def read_audit(spark: SparkSession, path: str, since: str, until: str, at: str =
     )
 
 
-def export_columns(df: DataFrame, payload: str = "payload", fmt: str = "jsonl") -> DataFrame:
-    """The payload fields only. CSV fields double their quotes, escape newlines and stop at 500 characters."""
+def export_columns(df: DataFrame, payload: str = "payload", fmt: str = "jsonl", max_chars: int | None = 500) -> DataFrame:
+    """The payload fields only. CSV fields double their quotes, escape newlines and stop at ``max_chars``.
+
+    500 characters is the published format; None keeps whole fields.
+    """
     fields = df.select(f"{payload}.*")
     if fmt != "csv":
         return fields
@@ -85,14 +87,14 @@ def export_columns(df: DataFrame, payload: str = "payload", fmt: str = "jsonl")
     def as_csv(name: str, dtype: str) -> Column:
         text = F.col(name) if dtype == "string" else F.coalesce(F.to_json(F.col(name)) if dtype.startswith(("array", "struct", "map")) else F.col(name).cast("string"), F.lit('""'))
         escaped = F.replace(F.replace(text, F.lit('"'), F.lit('""')), F.lit("\n"), F.lit("\\n"))
-        return F.substring(escaped, 1, 500).alias(name)
+        return (escaped if max_chars is None else F.substring(escaped, 1, max_chars)).alias(name)
 
     return fields.select(*[as_csv(n, t) for n, t in fields.dtypes])
 
 
-def export_labelled(df: DataFrame, path: str, fmt: str = "jsonl", payload: str = "payload") -> None:
+def export_labelled(df: DataFrame, path: str, fmt: str = "jsonl", payload: str = "payload", max_chars: int | None = 500) -> None:
     """Write samples without their labels and detection metadata."""
-    out = export_columns(df, payload, fmt)
+    out = export_columns(df, payload, fmt, max_chars)
     if fmt == "csv":
         names = [F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"')) for c in out.columns]
         out.select(F.concat_ws(",", *names).alias("value")).write.mode("append").text(path)
