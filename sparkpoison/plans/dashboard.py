@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from sparkpoison.functions import catalogue as cat
@@ -180,15 +182,26 @@ def dashboard_histogram(scans: DataFrame) -> DataFrame:
 
 
 @query("B-7", "scans alerts", f"""
-WITH {_TIMELINE}, {_BREAKDOWN}
-SELECT 'summary' AS part, count(DISTINCT tenant_id) AS rows FROM scans UNION ALL SELECT 'timeline', count(*) FROM tl UNION ALL SELECT 'threat_breakdown', count(*) FROM bd
-UNION ALL SELECT 'recent_alerts', least(count(*), 8) FROM alerts""")
+WITH {_SUMMARY}, {_TIMELINE}, {_BREAKDOWN},
+al AS (SELECT * FROM alerts ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, alerts.created_at DESC, alert_id LIMIT 8)
+SELECT 'summary' AS part, tenant_id, 'total_scans' AS item, a::DOUBLE AS value FROM g UNION ALL SELECT 'summary', tenant_id, 'threats_detected', c FROM g
+UNION ALL SELECT 'summary', tenant_id, 'active_monitors', e FROM g
+UNION ALL SELECT 'timeline', tenant_id, date || ' scans', scans FROM tl UNION ALL SELECT 'timeline', tenant_id, date || ' threats', threats FROM tl
+UNION ALL SELECT 'threat_breakdown', tenant_id, type, count FROM bd UNION ALL SELECT 'threat_breakdown', tenant_id, label, percentage FROM bd
+UNION ALL SELECT 'recent_alerts', tenant_id, severity, alert_id FROM al""")
 def dashboard_combined(scans: DataFrame, alerts: DataFrame) -> DataFrame:
-    parts = [df.agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name, df in db.combined(scans, alerts, _AS_OF).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The content of the four parts as (part, tenant, item, value)."""
+    parts = db.combined(scans, alerts, _AS_OF)
+    date = F.date_format("date", "yyyy-MM-dd")
+    items = {
+        "summary": [(F.lit(c), F.col(c)) for c in ("total_scans", "threats_detected", "active_monitors")],
+        "timeline": [(F.concat(date, F.lit(f" {c}")), F.col(c)) for c in ("scans", "threats")],
+        "threat_breakdown": [(F.col("type"), F.col("count")), (F.col("label"), F.col("percentage"))],
+        "recent_alerts": [(F.col("severity"), F.col("alert_id"))],
+    }
+    pair = lambda item, value: F.struct(item.alias("item"), value.cast("double").alias("value"))
+    rows = [parts[n].select(F.lit(n).alias("part"), "tenant_id", F.inline(F.array(*[pair(*x) for x in xs]))) for n, xs in items.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 _CONN = """

@@ -113,7 +113,15 @@ def sink_audit(scans: DataFrame) -> DataFrame:
 
 
 @query("S-10", "docs", """
-SELECT left(replace(replace(text, '"', '""'), chr(10), '\\n'), 500) AS text, left(lang, 500) AS lang FROM docs""")
+SELECT 'csv' AS fmt, '"' || left(replace(replace(text, '"', '""'), chr(10), '\\n'), 500) || '","' || left(lang, 500) || '"' AS text, NULL AS lang FROM docs
+UNION ALL SELECT 'jsonl', text, lang FROM docs""")
 def sink_export(docs: DataFrame) -> DataFrame:
+    """Both formats written and read back: CSV as its lines, JSON as its fields; labels and ids stay behind."""
     samples = docs.select("doc_id", F.lit(True).alias("is_poisoned"), F.struct("text", "lang").alias("payload"))
-    return tb.export_columns(samples, fmt="csv")
+    spark, parts = docs.sparkSession, []
+    for fmt in ("csv", "jsonl"):
+        folder = _folder(docs, f"export-{fmt}")
+        tb.export_labelled(samples, folder, fmt)
+        back = spark.read.text(folder).toDF("text").withColumn("lang", F.lit(None).cast("string")) if fmt == "csv" else spark.read.schema("text string, lang string").json(folder)
+        parts.append(back.select(F.lit(fmt).alias("fmt"), "text", "lang"))
+    return parts[0].unionByName(parts[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from sparkpoison.functions.numeric import round_to
@@ -109,6 +111,31 @@ def vector_baseline(vectors: DataFrame) -> DataFrame:
     return _r6(out.select("batch_id", "mean_sim", "std_sim", "n", total.alias("centroid_sum")), "mean_sim", "std_sim", "centroid_sum")
 
 
+def _baseline_sql(name: str, test: str) -> str:
+    """CTE ``name``(batch_id, m, sd, n, c): the baseline of the vectors that pass a test."""
+    sims = _sims(f"{name}_v")
+    for part in ("mid_c", "mid", "sims", "st", "z"):
+        sims = re.sub(rf"\b{part}\b(?! *[.,)] *centroid)", f"{name}_{part}", sims)
+    return f"""{name}_v AS (SELECT * FROM vectors WHERE {test}), {sims},
+{name} AS (SELECT batch_id, m, sd, n, centroid FROM {name}_st JOIN {name}_mid USING (batch_id))"""
+
+
+@query("V-8", "vectors", f"""
+WITH {_baseline_sql("old", "label < 6")}, {_baseline_sql("new", "label >= 6")},
+bb AS (SELECT coalesce(o.batch_id, w.batch_id) AS batch_id, coalesce(o.n, 0) AS a, coalesce(w.n, 0) AS b, coalesce(o.m, 0) AS m0, coalesce(w.m, 0) AS m1,
+  coalesce(o.sd, 0) AS s0, coalesce(w.sd, 0) AS s1, coalesce(list_sum(o.centroid), 0) AS c0, coalesce(list_sum(w.centroid), 0) AS c1 FROM old o FULL JOIN new w ON o.batch_id = w.batch_id),
+p AS (SELECT *, (m0 * a + m1 * b) / (a + b) AS m FROM bb)
+SELECT batch_id, a + b AS n, {r("m")} AS mean_sim, {r("sqrt(greatest(((s0 * s0 + m0 * m0) * a + (s1 * s1 + m1 * m1) * b) / (a + b) - m * m, 0))")} AS std_sim,
+  {r("(c0 * a + c1 * b) / (a + b)", 4)} AS centroid_sum FROM p""")
+def vector_baseline_append(vectors: DataFrame) -> DataFrame:
+    """The stored baseline of the first labels, to which the vectors of the others are appended."""
+    parts = [vc.build_baseline(vectors.where(test)) for test in ("label < 6", "label >= 6")]
+    out = vc.merge_baseline(*parts)
+    total = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)
+    out = out.select("batch_id", "mean_sim", "std_sim", F.col("n").cast("bigint").alias("n"), round_to(total, 4).alias("centroid_sum"))
+    return _r6(out, "mean_sim", "std_sim")
+
+
 @query("V-9", "clustered", f"WITH RECURSIVE {_DBSCAN} SELECT batch_id, vec_id, cluster_label FROM lab")
 def vector_clusters(clustered: DataFrame) -> DataFrame:
     return cl.dbscan_cosine(clustered)
