@@ -56,3 +56,30 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def map_cells(df: DataFrame, cell: list[str], schema: str, solve: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """``solve`` on the rows of each value of the whole-number columns ``cell``, which must be bounded groups.
+
+    Cells lie one behind the other in a task, so many small ones share a batch and none is gathered with others.
+    """
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in cell])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                here = tuple(at[:, lo])
+                if held and here != last:
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = here
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *cell).sortWithinPartitions(*cell).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkpoison.llm.common import read, small_batches
+from sparkpoison.llm.common import map_cells, read, small_batches
 from sparkpoison.llm.words import mix
 from sparkpoison.operators.clustering import connected_components
 from sparkpoison.session import checkpoint
@@ -197,23 +197,7 @@ def _compare(members: DataFrame, cosine: float, probes: int) -> DataFrame:
         rep = table["rep"].combine_chunks()
         return pa.RecordBatch.from_arrays([rep, rep.take(pa.array(root)), pa.array(count)], ["u", "v", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            cell = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
-            cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                part = batch.slice(lo, hi - lo)
-                if held and any(held[0].column(i)[0] != part.column(i)[0] for i in range(3)):
-                    yield solve(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield solve(pa.Table.from_batches(held))
-
-    spark = members.sparkSession
-    dealt = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}, n long")
+    return map_cells(members, ["key", "i", "j"], f"u {kind}, v {kind}, n long", solve)
 
 
 def near_duplicates(

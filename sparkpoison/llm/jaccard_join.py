@@ -15,7 +15,7 @@ part more than elements may differ, some part is equal (pigeonhole): parts are j
   bound of the difference too, and verified on the sets.
 * Equal sets are one node from the start. Inside a key, members meet the key's smallest
   member first; only members of different components found so are then compared with each
-  other, in blocks. A mass of near copies thus costs one pair per member and key.
+  other, in blocks, by their sketches. A pair that meets under several keys is passed on where it meets first.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sparkpoison.llm.common import map_texts, read, text_bytes
+from sparkpoison.llm.common import map_cells, map_texts, read, text_bytes
 from sparkpoison.llm.words import Words, mix, white_space_words
 from sparkpoison.operators.clustering import connected_components
 from sparkpoison.session import checkpoint
 
 #: members of a key that one block of the second comparison holds
 BLOCK = 2048
+#: keys of a member by which repeated meetings are recognised; an unrecognised one is only verified twice
+KNOWN = 64
 _R = np.uint64(0x9FB21C651E98DF25)
 _SKETCH = [f"s{i}" for i in range(4)]
 
@@ -102,6 +104,10 @@ class Sets:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash ^ np.uint64(salt)), dtype=np.uint64)])
             return total[self.first[1:]] - total[self.first[:-1]]
 
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of every set."""
+        return self.sums(0x8EBC6AF09C88C6E3), self.sums(0x589965CC75374CC3)
+
     def sketch(self) -> np.ndarray:
         """256 parity bits of every set, as four 64-bit numbers."""
         bits = np.bincount(self.owner * 256 + ((self.hash >> np.uint64(17)) & np.uint64(255)).astype(np.int64), minlength=self.texts * 256)
@@ -170,39 +176,46 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _sketched(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, s0-s3, keys); a set that the task has seen before has no keys."""
+def _sketched(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2, s0-s3)"""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = Sets(text_bytes(batch.column(1)), n)
+            sketch = sets.sketch()
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets.size, pa.int64()), *[_signed(f) for f in sets.fingerprints()], *[pa.array(sketch[:, i]) for i in range(4)]],
+                ["doc_id", "n_shingles", "f1", "f2", *_SKETCH],
+            )
+
+        return step
+
+    return map_texts(docs, "text", f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _SKETCH), make)
+
+
+def _keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(f1, key) of every set; a set that the task has just seen gives none."""
+
     def make():
         seen: set[tuple[int, int]] = set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = Sets(text_bytes(batch.column(1)), n)
-            f1, f2 = sets.sums(0x8EBC6AF09C88C6E3), sets.sums(0x589965CC75374CC3)
+            sets = Sets(text_bytes(batch.column(0)), n)
+            f1, f2 = sets.fingerprints()
             if len(seen) > 1_000_000:
                 seen.clear()
-            wanted = np.ones(sets.texts, bool)
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            wanted = np.zeros(sets.texts, bool)
             for i, f in enumerate(zip(f1.tolist(), f2.tolist())):
-                if f in seen or not known[i]:
-                    wanted[i] = False
-                else:
+                if f not in seen:
                     seen.add(f)
+                    wanted[i] = True
             owner, key = sets.keys(percent, wanted)
-            order = np.argsort(owner, kind="stable")
-            heads = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=sets.texts))])
-            keys = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), _signed(key[order]))
-            sketch = sets.sketch()
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets.size, pa.int64()), _signed(f1), _signed(f2), *[pa.array(sketch[:, i]) for i in range(4)], keys],
-                ["doc_id", "n_shingles", "f1", "f2", *_SKETCH, "keys"],
-            )
+            return pa.RecordBatch.from_arrays([_signed(f1[owner]), _signed(key)], ["f1", "key"])
 
         return step
 
-    schema = f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>"
-    return map_texts(docs, "text", schema, make)
+    return map_texts(docs.where("doc_id IS NOT NULL").select("text"), "text", "f1 long, key long", make)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -213,7 +226,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = Sets(text_bytes(batch.column(0)), n)
             lists = pa.ListArray.from_arrays(pa.array(sets.first, pa.int32()), _signed(sets.hash))
-            return pa.RecordBatch.from_arrays([_signed(sets.sums(0x8EBC6AF09C88C6E3)), _signed(sets.sums(0x589965CC75374CC3)), lists], ["f1", "f2", "hashes"])
+            return pa.RecordBatch.from_arrays([*map(_signed, sets.fingerprints()), lists], ["f1", "f2", "hashes"])
 
         return step
 
@@ -247,16 +260,16 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
 
     Sets are the distinct ``n``-word shingles of the whole lower-cased (A-Z) text; fewer words are one shingle, no
     words or a null text the empty set, which links with nothing. ``component_id`` is the smallest id reachable by
-    links of 100 * intersection >= percent * union. Repeated rows repeat; an id with several texts is one document
+    links of 100 * intersection >= percent * union; meant for 70 per cent and more, as sketches have more empty parts below. Repeated rows repeat; an id with several texts is one document
     with the links of all; a row without id links with nothing and has no component. Other columns are not read.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = checkpoint(_sketched(docs, n, percent))
+    parts = checkpoint(_sketched(docs, n))
     has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     nodes = checkpoint(
         parts.where(has).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in _SKETCH])
     )
-    keyed = parts.select("f1", F.explode_outer("keys").alias("key")).where(F.col("key").isNotNull())
+    keyed = _keyed(docs, n, percent)
     group = Window.partitionBy("key")
     members = keyed.withColumns({"low": F.min("f1").over(group), "high": F.max("f1").over(group)}).where("low < high")
     members = checkpoint(members.select("key", "f1", "low").distinct())
@@ -269,10 +282,10 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     found = checkpoint(connected_components(links))
 
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = members.select("key", "f1").join(named.drop("copies"), "f1")
+    placed = checkpoint(members.select("key", "f1").join(named.drop("copies"), "f1"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    across = checkpoint(placed.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")), "key"))
-    pairs = _across(across, percent)
+    across = placed.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")), "key")
+    pairs = _across(checkpoint(across), percent)
     more = _verified(docs, checkpoint(pairs), n, percent)
     parts_of = connected_components(links.union(more))
     labels = nodes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
@@ -286,16 +299,55 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of members of one key in different components that may link, each pair once.
 
-    A key of more than BLOCK members is a grid of blocks; a task holds two of them at a time.
+    A key of more than BLOCK members is a grid of blocks; a task holds two of them at a time and gives only pairs
+    that the sketches allow, where their first shared key is.
     """
+    kind = members.schema["rep"].dataType.simpleString()
+    # A set's smallest keys (it has as many as its sketch has parts): they tell most repeated meetings.
+    own = members.groupBy("f1", "f2").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN).alias("keys"))
     at = F.pmod(F.xxhash64("f1", "f2"), F.col("g")).cast("int")
     cells = members.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.struct("f1", "f2", "rep", "n", *_SKETCH, "component", "at").alias("x"))
-    left, right = cells.withColumnRenamed("x", "a"), cells.withColumnRenamed("x", "b")
-    apart = (F.col("a.component") < F.col("b.component")) & ((F.col("i") == F.col("j")) | (F.col("a.at") != F.col("b.at")))
-    pairs = left.join(right, ["key", "i", "j"]).where(apart & _may_link(percent, "a", "b"))
-    plain = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("f1", "f2", "rep")]).alias(s)
-    return pairs.select(plain("a"), plain("b")).distinct()
+    number = F.xxhash64("component")  # any id type; equal components have equal numbers
+    cells = cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "f1", "f2", "rep", "n", *_SKETCH, number.alias("c"))
+    cells = cells.join(own, ["f1", "f2"])
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        get = lambda name: table[name].to_numpy()
+        key, size, block, component = table["key"][0].as_py(), get("n"), get("at"), get("c")
+        cross = len(np.unique(block)) > 1
+        bits = np.stack([get(s).view(np.uint64) for s in _SKETCH])
+        keys = table["keys"].combine_chunks()
+        flat, heads = keys.flatten().to_numpy(), keys.offsets.to_numpy() - keys.offsets[0].as_py()
+        found = []
+        step = max(1, 1_000_000 // len(size))
+        for lo in range(0, len(size), step):
+            rows = slice(lo, lo + step)
+            total = size[rows, None] + size[None]
+            distance = sum(np.bitwise_count(b[rows, None] ^ b[None]).astype(np.int64) for b in bits)
+            ok = (distance * (100 + percent) <= total * (100 - percent)) & (component[rows, None] != component[None])
+            ok &= np.minimum(size[rows, None], size[None]) * 100 >= np.maximum(size[rows, None], size[None]) * percent
+            if cross:
+                ok &= block[rows, None] != block[None]
+            i, j = np.nonzero(ok)
+            i += lo
+            found += [(a, b) for a, b in zip(i[i < j].tolist(), j[i < j].tolist()) if _is_first(key, flat[heads[a] : heads[a + 1]], flat[heads[b] : heads[b + 1]])]
+        ends = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
+        columns = [table[name].combine_chunks().take(end) for end in ends for name in ("f1", "f2", "rep")]
+        return pa.RecordBatch.from_arrays(columns, ["a1", "a2", "u", "b1", "b2", "v"])
+
+    schema = f"a1 long, a2 long, u {kind}, b1 long, b2 long, v {kind}"
+    pairs = map_cells(cells, ["key", "i", "j"], schema, solve).distinct()
+    side = lambda s, r: F.struct(F.col(f"{s}1").alias("f1"), F.col(f"{s}2").alias("f2"), F.col(r).alias("rep")).alias(s)
+    return pairs.select(side("a", "u"), side("b", "v"))
+
+
+def _is_first(key: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays have no common value below ``key``: the pair has not been passed on before."""
+    x, y = x[: np.searchsorted(x, key)], y[: np.searchsorted(y, key)]
+    if not len(x) or not len(y):
+        return True
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return not (y[at] == x).any()
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

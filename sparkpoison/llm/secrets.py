@@ -18,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparkpoison.functions.arrays import running
 from sparkpoison.llm.common import read
 from sparkpoison.session import checkpoint
 
@@ -40,23 +41,6 @@ ALPHABETS = {
 _FINE, _BINS = 16, 1024
 
 
-#: elements added up one after the other before block totals take over
-_BLOCK = 128
-
-
-def _running(df: DataFrame, name: str, joined=lambda a, x: a + x) -> DataFrame:
-    """Replace the array of integers ``name`` by its running sums (or other totals), block by block: no step copies the whole array."""
-    total = lambda xs: F.aggregate(xs, F.lit(0), joined)
-    blocks = F.when(F.size(name) > 0, F.transform(
-        F.sequence(F.lit(0), ((F.size(name) - 1) / _BLOCK).cast("int")), lambda b: F.slice(F.col(name), b * _BLOCK + 1, _BLOCK)
-    )).otherwise(F.array().cast("array<array<int>>"))
-    df = df.withColumn("_in", F.transform(blocks, lambda blk: F.transform(blk, lambda _, i: total(F.slice(blk, F.lit(1), i + 1)))))
-    df = df.withColumn("_totals", F.transform("_in", lambda blk: F.element_at(blk, -1)))
-    offsets = F.transform("_totals", lambda _, i: total(F.slice(F.col("_totals"), F.lit(1), i)))
-    summed = F.zip_with("_in", offsets, lambda blk, o: F.transform(blk, lambda e: joined(o, e)))
-    return df.withColumn(name, F.flatten(summed)).drop("_in", "_totals")
-
-
 def _matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     """Add array<struct(start, end, match)> of the leftmost non-overlapping matches, in code points.
 
@@ -68,7 +52,7 @@ def _matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     df = df.withColumn("_found", F.when(has, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     gaps = F.when(has, F.transform(F.split(body, pattern, -1), lambda s: F.length(s))).otherwise(F.array().cast("array<int>"))
     steps = F.zip_with("_found", F.slice(gaps, F.lit(1), F.size("_found")), lambda m, g: g + F.length(m))
-    df = _running(df.withColumn("_ends", steps), "_ends")
+    df = running(df.withColumn("_ends", steps), "_ends")
     spans = F.zip_with("_found", "_ends", lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
     return df.withColumn(out, spans).drop("_found", "_ends")
 
@@ -201,7 +185,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<secret>", rate: fl
     cuts = fit_cuts(scanned.select("_candidates"), rate)
     df = with_spans(scanned, cuts, min_bits).drop("_base", "_candidates")
     # Text is kept between the furthest end so far and the next start beyond it.
-    df = _running(df.withColumn("_reach", F.transform("spans", lambda s: s["end"])), "_reach", lambda a, x: F.greatest(a, x))
+    df = running(df.withColumn("_reach", F.transform("spans", lambda s: s["end"])), "_reach", lambda a, x: F.greatest(a, x))
     before = F.concat(F.array(F.lit(0)), F.col("_reach"))
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("_text")))
     gaps = F.zip_with(before, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
