@@ -297,7 +297,14 @@ def _distinct_points(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
         vecs.select("batch_id", "vec_id", "embedding").join(copied, ["batch_id", "embedding"], "left")
         .select("batch_id", "vec_id", F.coalesce("_rep", "vec_id").alias("rep"))
     )
-    return points, members
+    if dict(points.dtypes)["vec_id"] in ("bigint", "int", "smallint", "tinyint"):
+        return points, members
+    # Ids of another type are numbered in their order; members keep their own.
+    every = points.select("vec_id", F.lit(0).alias("_all"))
+    place = checkpoint(with_position(every, ["_all"], [F.col("vec_id")]).select("vec_id", F.col("pos").cast("bigint").alias("_at")))
+    points = points.join(place, "vec_id").withColumn("vec_id", F.col("_at")).drop("_at")
+    members = members.join(place.withColumnRenamed("vec_id", "rep"), "rep").withColumn("rep", F.col("_at")).drop("_at")
+    return checkpoint(points), members
 
 
 def dbscan_cosine(vecs: DataFrame, eps: float = 0.15, min_samples: int = 5) -> DataFrame:

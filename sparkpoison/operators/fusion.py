@@ -33,7 +33,7 @@ def unify_threats(vector: DataFrame, rag: DataFrame, mcp: DataFrame, provenance:
     def threats(df: DataFrame, engine: str, entity: str, score: str, category: Column, title: Column, text: Column, evidence: Column) -> DataFrame:
         return df.select(
             "tenant_id", F.lit(_ENGINES.index(engine)).alias("_order"), F.lit(engine).alias("source_engine"),
-            F.col(entity).cast("string").alias("entity_id"), F.col(entity).cast("bigint").alias("_entity"),
+            F.col(entity).cast("string").alias("entity_id"), F.col(entity).try_cast("bigint").alias("_entity"),
             category.alias("category"), F.col(score).alias("score"), title.alias("title"),
             text.alias("description"), evidence.alias("evidence"),
             F.lit(cat.ENGINE_ACTIONS[engine]).alias("recommended_action"),
@@ -43,7 +43,7 @@ def unify_threats(vector: DataFrame, rag: DataFrame, mcp: DataFrame, provenance:
         threats(
             vector.where(F.col("anomaly_score") > 0.3), "vector_analyzer", "vec_id", "anomaly_score",
             F.lit("vector_poisoning"),
-            F.format_string("Anomalous embedding vector (index %d)", F.col("vec_id").cast("bigint")),
+            F.format_string("Anomalous embedding vector (index %s)", F.col("vec_id").cast("string")),
             F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise("Vector flagged by anomaly detection"),
             F.concat(F.lit("cosine_deviation="), F.coalesce(F.col("cosine_deviation").cast("string"), F.lit("N/A"))),
         )
@@ -68,7 +68,7 @@ def unify_threats(vector: DataFrame, rag: DataFrame, mcp: DataFrame, provenance:
             F.concat(F.lit("dataset="), F.col("dataset_id").cast("string")),
         ))
     )
-    numbered = with_position(rows, ["tenant_id"], [F.col("_order"), F.col("_entity")])
+    numbered = with_position(rows, ["tenant_id"], [F.col("_order"), F.col("_entity"), F.col("entity_id")])
     prefix = F.create_map(*[F.lit(x) for pair in _PREFIX.items() for x in pair])
     return numbered.select(
         "tenant_id", F.format_string("%s-%04d", prefix[F.col("source_engine")], F.col("pos")).alias("threat_id"),

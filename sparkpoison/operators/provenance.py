@@ -337,14 +337,15 @@ def find_cycles(edges: DataFrame) -> DataFrame:
 
 
 def _flow(hops: DataFrame, values: DataFrame) -> DataFrame:
-    """Spread the smallest value along ``hops(here, there)`` until nothing changes; ``values(n, c)``."""
+    """Spread the smallest value along ``hops(here, there)`` until nothing changes; ``values(n, c)`` of any type."""
+    mark = lambda df: df.agg(F.sum(F.xxhash64("n", "c").cast("decimal(38,0)"))).first()[0]
     while True:
-        total = values.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        total = mark(values)
         for _ in range(2):
             sent = hops.join(values, hops["here"] == values["n"]).select(F.col("there").alias("n"), "c")
             values = values.unionByName(sent).groupBy("n").agg(F.min("c").alias("c"))
         values = checkpoint(values)
-        if values.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0] == total:
+        if mark(values) == total:
             return values
 
 

@@ -98,3 +98,20 @@ def test_components_in_many_small_tasks(spark, monkeypatch):
     assert {(r.node, r.component) for r in got.collect()} == {
         (n, 0 if n <= 300 else 1000 if n < 5000 else 5000) for e in edges for n in e
     }
+
+
+def test_clusters_of_text_ids(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(0, 10 + i, (rng.normal(size=8) * 0.05 + np.eye(8)[i % 3]).tolist()) for i in range(60)] + [(0, 100, [-1.0] * 8)]
+    by_number = {r.vec_id: r.cluster_label for r in clustering.dbscan_cosine(spark.createDataFrame(rows, "batch_id int, vec_id long, embedding array<double>")).collect()}
+    named = [(b, f"v{i:04d}", e) for b, i, e in rows]
+    by_name = {r.vec_id: r.cluster_label for r in clustering.dbscan_cosine(spark.createDataFrame(named, "batch_id int, vec_id string, embedding array<double>")).collect()}
+    assert by_name == {f"v{i:04d}": c for i, c in by_number.items()} and len(set(by_number.values())) == 4
+
+
+def test_cycles_of_text_ids(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), ("d", "e")]
+    got = provenance.find_cycles(spark.createDataFrame(edges, "source_id string, target_id string")).collect()
+    assert {(r.node_id, r.cycle_id) for r in got} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")}
