@@ -1,8 +1,8 @@
 """Density clustering of embeddings per batch, and connected components.
 
-Vectors of a batch are cut into blocks of at most ``_BLOCK`` rows around pivots. Two blocks
+Vectors of a batch are cut into cells of at most ``_BLOCK`` rows by a tree of pivots. Two cells
 are compared only if the triangle inequality on angles leaves room for a neighbour, each
-pair of blocks is one task of matrix products, and a task returns counts or one star per
+pair of cells is one group of matrix products, and a task returns counts or one star per
 local component, never the pairs themselves. So output stays linear in the vectors, and a
 batch of any size is spread over many tasks.
 """
@@ -19,8 +19,9 @@ from sparkpoison.functions.stats import with_position
 from sparkpoison.functions.vector import dot
 from sparkpoison.session import broadcast_if_small, checkpoint
 
+#: points of one cell at most, as long as pivots can tell them apart, and pivots about which a larger one is divided
 _BLOCK = 2048
-_PIVOTS = 64
+_FAN = 32
 _GROUP = 50_000
 
 
@@ -86,50 +87,66 @@ def _ddl(kind: pa.DataType) -> str:
     return {"int32": "int", "int64": "bigint", "double": "double"}[str(kind)]
 
 
-def _blocks(points: DataFrame, theta: float) -> tuple[DataFrame, DataFrame]:
-    """(points with their block, comparable block pairs) of ``points(batch_id, vec_id, embedding, weight)``."""
-    from pyspark.sql import Window
-
-    largest = points.groupBy("batch_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= _BLOCK:
-        one = points.withColumns({"cell": F.lit(1), "part": F.lit(0), "distance": F.lit(0.0)})
-        whole = points.select("batch_id").distinct()
-        return one, whole.select("batch_id", *[F.lit(n).alias(c) for c, n in (("ca", 1), ("pa", 0), ("cb", 1), ("pb", 0))])
-    w = Window.partitionBy("batch_id").orderBy(F.xxhash64("vec_id"), "vec_id")
-    ranked = points.withColumn("label", F.row_number().over(w)).where(F.col("label") <= _PIVOTS)
-    sizes = points.groupBy("batch_id").agg(F.ceil(F.count("*") / _BLOCK).alias("_pivots"))
-    pivots = checkpoint(
-        ranked.join(sizes, "batch_id").where(F.col("label") <= F.col("_pivots"))
-        .select("batch_id", "label", F.col("embedding").alias("centroid"))
-    )
-    near = two_nearest(points, pivots).select("vec_id", F.col("nearest").alias("cell"), "distance")
-    placed = points.join(near, "vec_id")
-    counts = placed.groupBy("batch_id", "cell").agg(F.ceil(F.count("*") / _BLOCK).alias("_parts"))
-    placed = checkpoint(
-        placed.join(broadcast_if_small(checkpoint(counts)), ["batch_id", "cell"])
-        .withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("_parts")))
-        .select("batch_id", "cell", "part", "vec_id", "embedding", "weight", "distance")
-    )
+def _blocks(points: DataFrame, theta: float, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points with their cell, pairs of cells that may hold near points) of ``points(batch_id, vec_id, embedding, weight)``.
+
+    A tree of pivots: a cell of more than ``block`` points is divided among some 32 of its own
+    points by nearness, again and again, so the number of pivots grows with the batch. Pairs
+    descend with the tree: only children of a pair that may still hold near points are paired,
+    and the triangle inequality on angles to the pivots rules pairs out. A cell that does not
+    shrink, because its points are alike, is dealt by hash around the same pivot.
+    """
+    block = block or _BLOCK
+    placed = checkpoint(points.withColumns({"cell": F.xxhash64("batch_id"), "part": F.lit(0)}))
+    pairs = placed.select("batch_id", F.col("cell").alias("ca"), F.col("cell").alias("cb")).distinct()
+    known = None  # cell, centroid, norm, radius of every cell but the roots
     angle = F.acos(F.greatest(F.least(1.0 - F.col("distance"), F.lit(1.0)), F.lit(-1.0)))
-    reach = placed.groupBy("batch_id", "cell", "part").agg(F.max(angle).alias("radius"))
-    norm = F.sqrt(dot("centroid", "centroid"))
-    meta = reach.join(pivots.withColumnRenamed("label", "cell"), ["batch_id", "cell"]).select(
-        "batch_id", "cell", "part", "radius", "centroid", F.when(norm > 0, norm).otherwise(1.0).alias("norm")
-    )
-    a, b = meta.alias("a"), meta.alias("b")
-    apart = F.acos(
-        F.greatest(F.least(dot("a.centroid", "b.centroid") / (F.col("a.norm") * F.col("b.norm")), F.lit(1.0)), F.lit(-1.0))
-    )
-    pairs = (
-        a.join(b, F.col("a.batch_id") == F.col("b.batch_id"))
-        .where(F.struct("a.cell", "a.part") <= F.struct("b.cell", "b.part"))
-        .where(apart <= F.col("a.radius") + F.col("b.radius") + theta + 1e-6)
-        .select(
-            F.col("a.batch_id").alias("batch_id"), F.col("a.cell").alias("ca"), F.col("a.part").alias("pa"),
-            F.col("b.cell").alias("cb"), F.col("b.part").alias("pb"),
+    level = 0
+    while True:
+        large = checkpoint(placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > block))
+        if large.isEmpty():
+            break
+        level += 1
+        over = placed.join(broadcast_if_small(large), "cell")
+        chosen = over.where(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.col("_n")) < _FAN)
+        pivots = checkpoint(chosen.select(F.col("cell").alias("batch_id"), F.col("vec_id").alias("label"), F.col("embedding").alias("centroid")))
+        near = two_nearest(over.select(F.col("cell").alias("batch_id"), "vec_id", "embedding"), pivots)
+        moved = checkpoint(over.join(near.select("vec_id", "nearest", "distance"), "vec_id"))
+        held = moved.groupBy("cell", "nearest").agg(F.count("*").alias("_c"), F.first("_n").alias("_of"))
+        parts = held.select("cell", "nearest", F.when(F.col("_c") > 0.9 * F.col("_of"), F.ceil(F.col("_c") / block)).otherwise(1).alias("_parts"))
+        child = F.xxhash64("cell", "nearest", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("_parts")))
+        moved = checkpoint(moved.join(broadcast_if_small(checkpoint(parts)), ["cell", "nearest"]).withColumn("child", child))
+        norm = F.sqrt(dot("centroid", "centroid"))
+        fresh = (
+            moved.groupBy("cell", "child", "nearest").agg(F.max(angle).alias("radius"))
+            .join(pivots.select(F.col("batch_id").alias("cell"), F.col("label").alias("nearest"), "centroid"), ["cell", "nearest"])
+            .withColumn("norm", F.when(norm > 0, norm).otherwise(1.0))
         )
-    )
-    return placed, checkpoint(pairs)
+        fresh = checkpoint(fresh.select("cell", "child", "centroid", "norm", "radius"))
+        about = fresh.select(F.col("child").alias("cell"), "centroid", "norm", "radius")
+        known = about if known is None else checkpoint(known.join(large, "cell", "left_anti").unionByName(about))
+        pairs = checkpoint(_descended(pairs, fresh.select("cell", "child"), known, theta))
+        kept = [c for c in placed.columns if c != "cell"]
+        placed = checkpoint(
+            placed.join(large, "cell", "left_anti").select("cell", *kept).unionByName(moved.select(F.col("child").alias("cell"), *kept))
+        )
+    return placed, pairs.select("batch_id", "ca", F.lit(0).alias("pa"), "cb", F.lit(0).alias("pb"))
+
+
+def _descended(pairs: DataFrame, children: DataFrame, known: DataFrame, theta: float) -> DataFrame:
+    """Pairs of cells with the divided ones replaced by their children, as far as these may hold near points."""
+    below = pairs
+    for side in ("ca", "cb"):
+        down = children.select(F.col("cell").alias(side), F.col("child").alias("_down"))
+        below = below.join(down, side, "left").withColumn(side, F.coalesce("_down", side)).drop("_down")
+    below = below.select("batch_id", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+    about = lambda side: known.select(F.col("cell").alias(f"c{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("centroid", "norm", "radius")])
+    both = below.join(about("a"), "ca", "left").join(about("b"), "cb", "left")
+    cosine = dot("centroid_a", "centroid_b") / (F.col("norm_a") * F.col("norm_b"))
+    apart = F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+    # A cell that was never divided has no pivot; it pairs with itself only.
+    near = F.coalesce(apart <= F.col("radius_a") + F.col("radius_b") + theta + 1e-6, F.lit(True))
+    return both.where(near | (F.col("ca") == F.col("cb"))).select("batch_id", "ca", "cb")
 
 
 _PAIR = ["batch_id", "ca", "pa", "cb", "pb"]
@@ -279,10 +296,10 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     )
 
 
-def neighbour_counts(vecs: DataFrame, eps: float = 0.15) -> DataFrame:
+def neighbour_counts(vecs: DataFrame, eps: float = 0.15, block: int | None = None) -> DataFrame:
     """How many vectors of its batch, itself included, lie within ``eps`` of each vector."""
     points, members = _distinct_points(vecs)
-    placed, pairs = _blocks(points, float(np.arccos(max(-1.0, 1.0 - eps))))
+    placed, pairs = _blocks(points, float(np.arccos(max(-1.0, 1.0 - eps))), block)
     near = _neighbour_weight(placed, pairs, eps)
     return members.join(near.withColumnRenamed("vec_id", "rep"), "rep").select("batch_id", "vec_id", "neighbours")
 
@@ -307,16 +324,16 @@ def _distinct_points(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpoint(points), members
 
 
-def dbscan_cosine(vecs: DataFrame, eps: float = 0.15, min_samples: int = 5) -> DataFrame:
+def dbscan_cosine(vecs: DataFrame, eps: float = 0.15, min_samples: int = 5, block: int | None = None) -> DataFrame:
     """(batch_id, vec_id, cluster_label) with -1 for noise; exact, numbered by smallest core id.
 
     ``vecs(batch_id, vec_id, embedding)`` with ``vec_id`` unique over all batches.
     """
     points, members = _distinct_points(vecs)
-    placed, pairs = _blocks(points, float(np.arccos(max(-1.0, 1.0 - eps))))
+    placed, pairs = _blocks(points, float(np.arccos(max(-1.0, 1.0 - eps))), block)
     near = _neighbour_weight(placed, pairs, eps)
     cores = near.select("vec_id", (F.col("neighbours") >= min_samples).alias("is_core"))
-    flagged = checkpoint(placed.join(cores, "vec_id").drop("weight", "distance"))
+    flagged = checkpoint(placed.join(cores, "vec_id").drop("weight"))
     links = checkpoint(_local_links(flagged, pairs, eps))
     core_ids = flagged.where("is_core").select("vec_id")
     core_links = links.join(core_ids, "vec_id", "left_semi")

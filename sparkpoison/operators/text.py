@@ -428,12 +428,13 @@ def pattern_recurrence(docs: DataFrame, group: str = "source", text: str = "text
 
 
 def shingles(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Distinct hashed word shingles of each document."""
+    """Distinct word shingles of each document, as 128 bits of hash: no two of 10^13 shingles meet by chance."""
     tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     grams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")),
+        lambda i: F.array_join(F.slice("w", i, words), " "),
     )
+    grams = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
     worded = docs.select(doc_id, tokens.alias("w"))
     return each(worded, [doc_id], F.when(F.size("w") > 0, F.array_distinct(grams)), "shingle")
 

@@ -141,6 +141,12 @@ def vector_clusters(clustered: DataFrame) -> DataFrame:
     return cl.dbscan_cosine(clustered)
 
 
+@query("V-9", "clustered", f"WITH RECURSIVE {_DBSCAN} SELECT batch_id, vec_id, cluster_label FROM lab")
+def vector_clusters_divided(clustered: DataFrame) -> DataFrame:
+    """The same clusters with cells so small that every batch becomes a tree."""
+    return cl.dbscan_cosine(clustered, block=24)
+
+
 @query("V-10", "clustered", f"""
 WITH RECURSIVE {_DBSCAN}
 SELECT batch_id, max(cluster_label) + 1 AS cluster_count, {r("avg(CASE WHEN cluster_label = -1 THEN 1.0 ELSE 0.0 END)")} AS noise_ratio

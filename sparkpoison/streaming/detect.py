@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,55 +45,84 @@ def stream_velocity(scans: DataFrame, window: str = "24 hours", slide: str = "1
     )
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for row in pd.concat(list(frames)).sort_values("created_at").itertuples(index=False):
-        verdict = row.verdict if isinstance(row.verdict, str) else None
-        if verdict in ("suspicious", "poisoned") and verdict != last:
-            out.append((row.tenant_id, key[0], row.engine, verdict, row.risk_score, row.created_at))
-        last = verdict
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["tenant_id", "scan_id", "engine", "verdict", "risk_score", "created_at"])
+#: event time for which a scan or tenant without new rows is remembered
+EXPIRY = dt.timedelta(days=30)
 
 
-def stream_auto_alert(scans: DataFrame) -> DataFrame:
-    """An alert whenever a scan's verdict becomes suspicious or poisoned; the last verdict is kept per scan."""
-    schema = "tenant_id bigint, scan_id bigint, engine string, verdict string, risk_score double, created_at timestamp"
+def _renew(state: GroupState, rows: pd.DataFrame, at: str, expiry: dt.timedelta) -> None:
+    """Let a key's time end ``expiry`` after its newest row, or after the watermark if that is later."""
+    newest = int(rows[at].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + max(1, int(expiry.total_seconds() * 1000)))
+
+
+def stream_auto_alert(scans: DataFrame, expiry: dt.timedelta = EXPIRY, delay: str = "1 day") -> DataFrame:
+    """An alert whenever a scan's verdict becomes suspicious or poisoned; ids may have any type.
+
+    The last verdict of a scan is forgotten once the watermark, ``delay`` behind the newest
+    row, is ``expiry`` past the scan's last row; rows behind the watermark are dropped.
+    """
+    kinds = dict(scans.dtypes)
+    schema = f"tenant_id {kinds['tenant_id']}, scan_id {kinds['scan_id']}, engine string, verdict string, risk_score double, created_at timestamp"
+
+    def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        out, rows = [], pd.concat(list(frames)).sort_values("created_at")
+        for row in rows.itertuples(index=False):
+            verdict = row.verdict if isinstance(row.verdict, str) else None
+            if verdict in ("suspicious", "poisoned") and verdict != last:
+                out.append((row.tenant_id, key[0], row.engine, verdict, row.risk_score, row.created_at))
+            last = verdict
+        state.update((last,))
+        _renew(state, rows, "created_at", expiry)
+        if out:
+            yield pd.DataFrame(out, columns=["tenant_id", "scan_id", "engine", "verdict", "risk_score", "created_at"])
+
     changed = (
-        scans.select("tenant_id", "scan_id", "engine", "verdict", "risk_score", "created_at").groupBy("scan_id")
-        .applyInPandasWithState(_changes, schema, "verdict string", "append", GroupStateTimeout.NoTimeout)
+        scans.select("tenant_id", "scan_id", "engine", "verdict", "risk_score", "created_at")
+        .withWatermark("created_at", delay).groupBy("scan_id")
+        .applyInPandasWithState(changes, schema, "verdict string", "append", GroupStateTimeout.EventTimeTimeout)
     )
     return db.alert_columns(changed)
 
 
-def _trends(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = list(state.get[0]) if state.exists else []
-    out = []
-    for row in pd.concat(list(frames)).sort_values(["at", "record_id"]).itertuples(index=False):
-        mean = sum(seen) / len(seen) if seen else 0.0
-        change = round((row.score - mean) / mean, 9) if mean >= 1e-6 else 0.0
-        if len(seen) < 2:
-            label = "insufficient_data"
-        elif mean < 1e-6:
-            label = "stable" if row.score < 0.05 else "degrading"
-        else:
-            label = "improving" if change < -0.10 else "degrading" if change > 0.10 else "stable"
-        out.append((key[0], row.record_id, label))
-        seen = (seen + [row.score])[-29:]
-    state.update((seen,))
-    if out:
-        yield pd.DataFrame(out, columns=["tenant_id", "record_id", "trend"])
-
-
-def stream_trend(history: DataFrame) -> DataFrame:
-    """Trend of each score of ``(tenant_id, record_id, at, score)``; the last 29 scores are kept per tenant."""
+def stream_trend(history: DataFrame, expiry: dt.timedelta = EXPIRY, delay: str = "1 day") -> DataFrame:
+    """Trend of each score of ``(tenant_id, record_id, at, score)``; ids may have any type.
+
+    The last 29 scores of a tenant are forgotten once the watermark, ``delay`` behind the
+    newest row, is ``expiry`` past the last of them; rows behind the watermark are dropped.
+    """
+    kinds = dict(history.dtypes)
+
+    def trends(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = list(state.get[0]) if state.exists else []
+        out, rows = [], pd.concat(list(frames)).sort_values(["at", "record_id"])
+        for row in rows.itertuples(index=False):
+            mean = sum(seen) / len(seen) if seen else 0.0
+            change = round((row.score - mean) / mean, 9) if mean >= 1e-6 else 0.0
+            if len(seen) < 2:
+                label = "insufficient_data"
+            elif mean < 1e-6:
+                label = "stable" if row.score < 0.05 else "degrading"
+            else:
+                label = "improving" if change < -0.10 else "degrading" if change > 0.10 else "stable"
+            out.append((key[0], row.record_id, label))
+            seen = (seen + [row.score])[-29:]
+        state.update((seen,))
+        _renew(state, rows, "at", expiry)
+        if out:
+            yield pd.DataFrame(out, columns=["tenant_id", "record_id", "trend"])
+
     return (
-        history.select("tenant_id", "record_id", "at", "score").groupBy("tenant_id")
+        history.select("tenant_id", "record_id", "at", "score").withWatermark("at", delay).groupBy("tenant_id")
         .applyInPandasWithState(
-            _trends, "tenant_id bigint, record_id bigint, trend string", "scores array<double>", "append",
-            GroupStateTimeout.NoTimeout,
+            trends, f"tenant_id {kinds['tenant_id']}, record_id {kinds['record_id']}, trend string", "scores array<double>", "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
@@ -129,7 +159,10 @@ def current_baselines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_baselines(rows: DataFrame, folder: str, once: bool = True):
-    """Keep the table of active baselines current: version n is version n-1 with the batch's rows on top."""
+    """Keep the table of active baselines current: version n is version n-1 with the batch's rows on top.
+
+    The two newest versions stay: a repeated batch reads the one before it, a reader the newest.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -137,6 +170,8 @@ def stream_baselines(rows: DataFrame, folder: str, once: bool = True):
         if number > 0:
             current = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/table/batch={number - 1}"))
         ing.active_baselines(current).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/table/batch={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(merge)
     return writer.trigger(availableNow=True).start() if once else writer.start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkpoison.operators import ingest as ing
 from sparkpoison.sources.streams import file_stream, run_available
 from sparkpoison.streaming import dedup_ingest, stream_baselines, stream_collusion
-from sparkpoison.streaming.detect import current_baselines
+from sparkpoison.streaming.detect import current_baselines, stream_auto_alert, stream_trend
 
 
 def _write(spark, rows, schema, folder, n):
@@ -63,3 +63,23 @@ def test_upsert_keeps_one_active_row(spark):
     new = old.where("application_id = 'a'").withColumn("mean_value", F.lit(9.0))
     rows = ing.upsert_baselines(old, new).where("is_active").collect()
     assert sorted((r.application_id, r.mean_value) for r in rows) == [("a", 9.0), ("b", 1.0)]
+
+
+def test_alerts_and_trends_over_several_files_with_text_ids(spark, tmp_path):
+    schema = "tenant_id string, scan_id string, engine string, verdict string, risk_score double, created_at timestamp"
+    t = dt.datetime(2024, 1, 1)
+    for n, verdict in enumerate(("clean", "poisoned", "poisoned", "suspicious")):
+        _write(spark, [("t", "s-1", "rag_detector", verdict, 0.1 * n, t + dt.timedelta(hours=n))], schema, str(tmp_path / "in"), n)
+    stream = file_stream(spark, str(tmp_path / "in/*"), schema, max_files=1)
+    assert run_available(stream_auto_alert(stream), path=str(tmp_path / "alerts")).count() == 2
+    history = stream.select("tenant_id", F.concat("scan_id", F.col("created_at").cast("string")).alias("record_id"), F.col("created_at").alias("at"), F.col("risk_score").alias("score"))
+    rows = run_available(stream_trend(history), path=str(tmp_path / "trend")).orderBy("record_id").collect()
+    assert [r.trend for r in rows] == ["insufficient_data", "insufficient_data", "degrading", "degrading"]
+
+
+def test_old_baseline_versions_go(spark, tmp_path):
+    schema = "application_id string, feature_name string, mean_value double, version long"
+    for n in range(4):
+        _write(spark, [("a", "f", float(n), n)], schema, str(tmp_path / "in"), n)
+    stream_baselines(file_stream(spark, str(tmp_path / "in/*"), schema, max_files=1), str(tmp_path / "run")).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "run/table").iterdir() if p.name.startswith("batch")) == ["batch=2", "batch=3"]
