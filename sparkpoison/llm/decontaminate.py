@@ -100,7 +100,7 @@ def find_contained(
     pairs = checkpoint(candidates(docs, items, n, least))
     keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
     wanted = items.withColumn("w", words_of(F.col("text"))).select("item_id", _shingles("w", n).alias("wanted"))
-    suspects = keyed.join(pairs, ["k1", "k2"]).withColumn("w", words_of(F.col("text")))
+    suspects = keyed.join(broadcast_if_small(pairs), ["k1", "k2"]).withColumn("w", words_of(F.col("text")))
     compared = suspects.join(wanted, "item_id").select(
         "k1", "k2", "doc_id", "item_id", F.size("wanted").cast("bigint").alias("n_shingles"),
         F.size(F.array_intersect("wanted", _shingles("w", n))).cast("bigint").alias("n_found"),
@@ -115,7 +115,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, at_least: f
     keys = checkpoint(found.select("k1", "k2").distinct())
     k1, k2 = text_key(F.col(text))
     return docs.withColumns({"_k1": k1, "_k2": k2}).join(
-        keys.toDF("_k1", "_k2"), ["_k1", "_k2"], "left_anti"
+        broadcast_if_small(keys.toDF("_k1", "_k2")), ["_k1", "_k2"], "left_anti"
     ).drop("_k1", "_k2")
 
 

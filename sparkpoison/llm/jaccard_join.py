@@ -11,8 +11,9 @@ part more than elements may differ, some part is equal (pigeonhole): parts are j
 * An empty part is no evidence and would be a hot key. Spare parts make some equal part
   non-empty for any set with at most as many empty parts; a set with more of them is keyed
   once more, by a second dealing, under each of its empty parts. So no pair is lost.
-* Pairs that meet are filtered by a 256-bit parity sketch, whose Hamming distance is a lower
-  bound of the difference too, and verified on the sets.
+* Pairs that meet are filtered by a parity sketch of about four bits per element, whose Hamming
+  distance is a lower bound of the difference too, and verified on the sets. A longer sketch
+  is folded (its halves XORed) to compare with a shorter one.
 * Equal sets are one node from the start. Inside a key, members meet the key's smallest
   member first; only members of different components found so are then compared with each
   other, in blocks, by their sketches. A pair that meets under several keys is passed on where it meets first.
@@ -30,14 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from sparkpoison.llm.common import map_cells, map_texts, read, text_bytes
 from sparkpoison.llm.words import Words, mix, white_space_words
 from sparkpoison.operators.clustering import connected_components
-from sparkpoison.session import checkpoint
+from sparkpoison.session import broadcast_if_small, checkpoint
 
 #: members of a key that one block of the second comparison holds
 BLOCK = 2048
 #: keys of a member by which repeated meetings are recognised; an unrecognised one is only verified twice
-KNOWN = 64
+KNOWN = 16
 _R = np.uint64(0x9FB21C651E98DF25)
-_SKETCH = [f"s{i}" for i in range(4)]
 
 
 @lru_cache(maxsize=None)
@@ -47,22 +47,33 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     while first[-1] <= largest or len(parts) < 2 or first[-2] <= largest:
         top = first[-1] * 100 // percent  # the last size of this band
         differ = 2 * top * (100 - percent) // (100 + percent)
-        low = max(1, first[-1] * percent // 100)
-        e = min(range(0, 64 + differ // 16), key=lambda e: _cost(differ + 1 + e, e, (low + top) / 2))
+        e = _spare(differ, max(1, first[-1] * percent // 100))
         parts.append(differ + 1 + e)
         spare.append(e)
         first.append(top + 1)
     return np.array(first[:-1]), np.array(parts), np.array(spare)
 
 
-def _cost(parts: int, spare: int, size: float) -> float:
+def _spare(differ: int, size: int) -> int:
+    """Spare parts for the smallest sets of a band, which have the most empty parts.
+
+    Few parts: what costs least. Many: the mean number of empty ones and five deviations, so that a second
+    dealing, whose keys are parts times empty parts, is needed for next to no set.
+    """
+    if differ < 100:
+        return min(range(40), key=lambda e: _cost(differ + 1 + e, e, size))
+    e, before = 0, -1
+    while e != before and e <= differ:  # below about 75 per cent there is no such number
+        before, mean = e, (differ + 1 + e) * math.exp(-size / (differ + 1 + e))
+        e = max(e, math.ceil(mean + 5 * math.sqrt(mean) + 1))
+    return e
+
+
+def _cost(parts: int, spare: int, size: int) -> float:
     """Expected keys of a set: its parts, and a second dealing for each empty part if more than the spare ones are empty."""
     mean = parts * math.exp(-size / parts)
-    if mean > 500:
-        return math.inf
-    term, below, weighted = math.exp(-mean), 0.0, 0.0
+    term, weighted = math.exp(-mean), 0.0
     for j in range(spare + 1):
-        below += term
         weighted += j * term
         term *= mean / (j + 1)
     return parts * (1 + max(mean - weighted, 0.0))
@@ -108,10 +119,13 @@ class Sets:
         """128 bits of every set."""
         return self.sums(0x8EBC6AF09C88C6E3), self.sums(0x589965CC75374CC3)
 
-    def sketch(self) -> np.ndarray:
-        """256 parity bits of every set, as four 64-bit numbers."""
-        bits = np.bincount(self.owner * 256 + ((self.hash >> np.uint64(17)) & np.uint64(255)).astype(np.int64), minlength=self.texts * 256)
-        return np.packbits((bits & 1).astype(np.uint8).reshape(self.texts, 256), axis=1).view("<i8")
+    def sketch(self) -> pa.ListArray:
+        """Parity bits of every set, a power of two of at least 256 and four per element, as 64-bit numbers."""
+        words = 4 << np.ceil(np.log2(np.maximum(self.size / 64, 1))).astype(np.int64)
+        heads = np.concatenate([[0], np.cumsum(words)])
+        place = (self.hash >> np.uint64(7)) & (words[self.owner].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+        bits = np.bincount(heads[self.owner] * 64 + place.astype(np.int64), minlength=heads[-1] * 64) & 1
+        return pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(np.packbits(bits.astype(np.uint8)).view("<i8")))
 
     def keys(self, percent: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, key) of the wanted sets in both of their bands."""
@@ -177,21 +191,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sketched(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, s0-s3)"""
+    """(doc_id, n_shingles, f1, f2, s, b): size, fingerprint, parity sketch and its 256-bit form of every row's set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = Sets(text_bytes(batch.column(1)), n)
             sketch = sets.sketch()
+            brief = np.ascontiguousarray(_folded(sketch, 4).T).view(np.int64).ravel()
+            brief = pa.ListArray.from_arrays(pa.array(np.arange(sets.texts + 1) * 4, pa.int32()), pa.array(brief))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets.size, pa.int64()), *[_signed(f) for f in sets.fingerprints()], *[pa.array(sketch[:, i]) for i in range(4)]],
-                ["doc_id", "n_shingles", "f1", "f2", *_SKETCH],
+                [batch.column(0), pa.array(sets.size, pa.int64()), *map(_signed, sets.fingerprints()), sketch, brief],
+                ["doc_id", "n_shingles", "f1", "f2", "s", "b"],
             )
 
         return step
 
-    return map_texts(docs, "text", f"doc_id {kind}, n_shingles long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in _SKETCH), make)
+    return map_texts(docs, "text", f"doc_id {kind}, n_shingles long, f1 long, f2 long, s array<long>, b array<long>", make)
 
 
 def _keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -218,9 +234,11 @@ def _keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return map_texts(docs.where("doc_id IS NOT NULL").select("text"), "text", "f1 long, key long", make)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(f1, f2, hashes) of the wanted sets, each once; ``wanted(f1, f2, rep)``."""
-    rows = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, once: bool) -> DataFrame:
+    """(f1, f2, hashes) of the wanted sets, each once; ``wanted(f1, f2, rep)``; ``once``: no row repeats."""
+    # Texts stay where they are as long as the wanted ids are small enough to go to them.
+    ids = broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct())
+    rows = docs.join(ids, "doc_id", "left_semi")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,21 +249,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return step
 
     made = map_texts(rows.select("text"), "text", "f1 long, f2 long, hashes array<long>", make)
-    return made.join(wanted.select("f1", "f2"), ["f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"])
+    made = made.join(broadcast_if_small(wanted.select("f1", "f2")), ["f1", "f2"], "left_semi")
+    return made if once else made.dropDuplicates(["f1", "f2"])
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
     """Sizes fit, and the sketches differ in no more bits than the sets may in elements."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    distance = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
+    p, q = F.col(f"{a}.s"), F.col(f"{b}.s")
+    size = F.least(F.size(p), F.size(q))
+    halves = lambda s: F.zip_with(F.slice(s, F.lit(1), size), F.slice(s, size + 1, size), lambda u, v: u.bitwiseXOR(v))
+    folded = lambda s: F.when(F.size(s) > size, halves(s)).otherwise(s)
+    unequal = F.zip_with(folded(p), folded(q), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    distance = F.aggregate(unequal, F.lit(0), lambda total, n: total + n)
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (distance * (100 + percent) <= (x + y) * (100 - percent))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, once: bool) -> DataFrame:
     """(u, v) ids of the pairs of structs ``a`` and ``b`` that link."""
     node = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("f1", "f2", "rep")])
-    wanted = pairs.select(F.explode(F.array(node("a"), node("b"))).alias("x")).select("x.*").distinct()
-    sets = checkpoint(_sets(docs, wanted, n))
+    wanted = checkpoint(pairs.select(F.explode(F.array(node("a"), node("b"))).alias("x")).select("x.*").distinct())
+    sets = checkpoint(_sets(docs, wanted, n, once))
     left, right = (sets.select(F.col("f1").alias(f"{s}1"), F.col("f2").alias(f"{s}2"), F.col("hashes").alias(f"{s}h")) for s in "ab")
     both = pairs.select(
         F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("a.rep").alias("u"),
@@ -255,38 +279,57 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return common.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("u", "v").distinct()
 
 
+def _members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, f1, low) of the keys that several sets have, with the smallest of them.
+
+    The keys' shuffle, the largest of the join, can be cleaned as soon as this has returned.
+    """
+    group = Window.partitionBy("key")
+    keyed = _keyed(docs, n, percent).withColumns({"low": F.min("f1").over(group), "high": F.max("f1").over(group)})
+    return checkpoint(keyed.where("low < high").select("key", "f1", "low").distinct())
+
+
+def _met(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of every key's smallest member and its others, as far as the sketches allow.
+
+    Sets of one 64-bit fingerprint and different second ones meet here too.
+    """
+    node = lambda s: nodes.select(F.col("f1").alias(f"{s}1"), F.struct("f1", "f2", "rep", "n", "s").alias(s))
+    met = members.where("f1 <> low").select(F.col("low").alias("a1"), F.col("f1").alias("b1")).distinct()
+    met = met.join(node("a"), "a1").join(node("b"), "b1").where(_may_link(percent, "a", "b"))
+    return checkpoint(met.select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Sets are the distinct ``n``-word shingles of the whole lower-cased (A-Z) text; fewer words are one shingle, no
     words or a null text the empty set, which links with nothing. ``component_id`` is the smallest id reachable by
-    links of 100 * intersection >= percent * union; meant for 70 per cent and more, as sketches have more empty parts below. Repeated rows repeat; an id with several texts is one document
-    with the links of all; a row without id links with nothing and has no component. Other columns are not read.
+    links of 100 * intersection >= percent * union; meant for 75 per cent and more, as sketches have too many empty
+    parts below. Repeated rows repeat; an id with several texts is one document with the links of all; a row without
+    id links with nothing and has no component. Other columns are not read.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = checkpoint(_sketched(docs, n))
     has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     nodes = checkpoint(
-        parts.where(has).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in _SKETCH])
+        parts.where(has).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("s").alias("s"), F.first("b").alias("b"))
     )
-    keyed = _keyed(docs, n, percent)
-    group = Window.partitionBy("key")
-    members = keyed.withColumns({"low": F.min("f1").over(group), "high": F.max("f1").over(group)}).where("low < high")
-    members = checkpoint(members.select("key", "f1", "low").distinct())
+    members = _members(docs, n, percent)
+    # Only rows that repeat an id and its text would give a set twice.
+    once = parts.where(has).groupBy("doc_id", "f1", "f2").count().where("count > 1").isEmpty()
 
-    plain = lambda s, df: df.select(F.col("f1").alias(f"{s}1"), F.struct("f1", "f2", "rep", "n", *_SKETCH).alias(s))
-    met = members.where("f1 <> low").select(F.col("low").alias("a1"), F.col("f1").alias("b1")).distinct()
-    met = met.join(plain("a", nodes), "a1").join(plain("b", nodes), "b1").where(_may_link(percent, "a", "b")).select("a", "b")
-    # Sets of one 64-bit fingerprint and different second ones meet here too.
-    links = checkpoint(_verified(docs, checkpoint(met), n, percent))
+    links = checkpoint(_verified(docs, _met(members, nodes, percent), n, percent, once))
     found = checkpoint(connected_components(links))
 
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = checkpoint(members.select("key", "f1").join(named.drop("copies"), "f1"))
+    named = checkpoint(named.select("f1", "f2", "rep", "n", "b", "component"))
+    # Keys whose members lie in different components, from narrow rows; only their members get their brief sketches.
+    placed = members.select("key", "f1").join(named.select("f1", "component"), "f1")
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    across = placed.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")), "key")
-    pairs = _across(checkpoint(across), percent)
-    more = _verified(docs, checkpoint(pairs), n, percent)
+    several = checkpoint(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")))
+    across = checkpoint(members.select("key", "f1").join(several, "key"))
+    more = checkpoint(_verified(docs, checkpoint(_across(across, named, nodes, percent)), n, percent, once))
     parts_of = connected_components(links.union(more))
     labels = nodes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
     labels = labels.where("copies > 1 OR component IS NOT NULL").select("f1", "f2", F.coalesce("component", "rep").alias("_c"))
@@ -296,26 +339,26 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members of one key in different components that may link, each pair once.
+def _across(members: DataFrame, named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members(key, f1, g) of one key in different components that may link, each pair once.
 
-    A key of more than BLOCK members is a grid of blocks; a task holds two of them at a time and gives only pairs
-    that the sketches allow, where their first shared key is.
+    A key of more than BLOCK members is a grid of g x g blocks; a task holds two of them at a time and gives only
+    pairs that the brief sketches allow, where their first shared key is; then the whole sketches decide.
     """
-    kind = members.schema["rep"].dataType.simpleString()
+    kind = named.schema["rep"].dataType.simpleString()
     # A set's smallest keys (it has as many as its sketch has parts): they tell most repeated meetings.
-    own = members.groupBy("f1", "f2").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN).alias("keys"))
-    at = F.pmod(F.xxhash64("f1", "f2"), F.col("g")).cast("int")
-    cells = members.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    own = members.groupBy("f1").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN).alias("keys"))
     number = F.xxhash64("component")  # any id type; equal components have equal numbers
-    cells = cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "f1", "f2", "rep", "n", *_SKETCH, number.alias("c"))
-    cells = cells.join(own, ["f1", "f2"])
+    brief = checkpoint(named.join(own, "f1").select("f1", "f2", "rep", "n", "b", number.alias("c"), "keys"))
+    cells = members.join(brief, "f1").withColumn("at", F.pmod(F.xxhash64("f1", "f2"), F.col("g")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "f1", "f2", "rep", "n", "b", "c", "keys")
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         get = lambda name: table[name].to_numpy()
         key, size, block, component = table["key"][0].as_py(), get("n"), get("at"), get("c")
         cross = len(np.unique(block)) > 1
-        bits = np.stack([get(s).view(np.uint64) for s in _SKETCH])
+        bits = _folded(table["b"].combine_chunks(), 4)
         keys = table["keys"].combine_chunks()
         flat, heads = keys.flatten().to_numpy(), keys.offsets.to_numpy() - keys.offsets[0].as_py()
         found = []
@@ -336,9 +379,22 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["a1", "a2", "u", "b1", "b2", "v"])
 
     schema = f"a1 long, a2 long, u {kind}, b1 long, b2 long, v {kind}"
-    pairs = map_cells(cells, ["key", "i", "j"], schema, solve).distinct()
-    side = lambda s, r: F.struct(F.col(f"{s}1").alias("f1"), F.col(f"{s}2").alias("f2"), F.col(r).alias("rep")).alias(s)
-    return pairs.select(side("a", "u"), side("b", "v"))
+    pairs = map_cells(cells, ["key", "i", "j"], schema, solve).select("a1", "a2", "b1", "b2").distinct()
+    for side in ("a", "b"):
+        node = nodes.select(F.col("f1").alias(f"{side}1"), F.col("f2").alias(f"{side}2"), F.struct("f1", "f2", "rep", "n", "s").alias(side))
+        pairs = pairs.join(node, [f"{side}1", f"{side}2"])
+    return pairs.where(_may_link(percent, "a", "b")).select("a", "b")
+
+
+def _folded(column: pa.ListArray, words: int) -> np.ndarray:
+    """[word, set] of sketches folded to a smaller power of two of words."""
+    flat, heads = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
+    sizes = np.diff(heads)
+    out = np.zeros((words, len(sizes)), np.uint64)
+    for start in range(0, int(sizes.max(initial=0)), words):
+        rows = np.flatnonzero(sizes > start)
+        out[:, rows] ^= flat[heads[rows][None, :] + start + np.arange(words)[:, None]]
+    return out
 
 
 def _is_first(key: int, x: np.ndarray, y: np.ndarray) -> bool:
@@ -356,10 +412,11 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     Rows without id stay. Of rows that repeat an id one stays, whichever its text.
     """
     found = checkpoint(near_duplicates(docs, n, percent))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = checkpoint(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
     again = checkpoint(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not again.isEmpty():
+        again = broadcast_if_small(again)
         first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         kept = kept.join(again, "doc_id", "left_anti").unionByName(first)
     return kept.select(*docs.columns)
