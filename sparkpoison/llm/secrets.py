@@ -1,12 +1,15 @@
 """Secret scan: named patterns, and tokens that pass a battery of randomness tests.
 
-A candidate is a long run of key characters. Its encoding (hex, base32 or base64) follows
-from the characters it uses, and three tests ask whether it could be uniform random text of
-that encoding: chi-squared over the alphabet, Wald-Wolfowitz runs about the middle of the
+A candidate is a long run of key characters. Its encoding (digits, hex, letters, base32,
+base36 or base64) follows from the characters it uses, and three tests ask whether it could
+be uniform random text of that encoding: chi-squared over the alphabet, Wald-Wolfowitz runs about the middle of the
 alphabet, and lag-1 serial correlation. Their joint p-value is Bonferroni's. Over the whole
 corpus, Benjamini-Hochberg per band of lengths declares candidates "not random" at a given
 false-discovery rate; a candidate that is not so declared, and long enough for the
-chi-squared test to have found ordinary writing, is reported.
+chi-squared test to have found ordinary writing, is reported. Runs without a digit or without
+a letter are mostly names and long words: they have bands of their own, so that they do not
+move the cuts of the others, and what is reported must also be less likely as letters of
+ordinary writing than as uniform ones.
 
 Everything on the way is DataFrame functions. p-values are counted in bins, so no task
 orders them.
@@ -28,17 +31,26 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: a candidate: a run of key characters with a digit in it
+#: a candidate: a run of key characters
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: encoding: (alphabet size, characters in order of value)
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "digits": "0123456789",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
+    "cased": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: p-value bins per factor of e, and their number
 _FINE, _BINS = 16, 1024
+#: added to the band of a candidate without a digit or without a letter
+_PLAIN = 64
+# Quarter bits by which a to z are more frequent in English, German and French writing than 1 / 26.
+WRITING = (4, -6, -1, 1, 8, -5, -4, 0, 4, -14, -9, 1, -2, 4, 2, -5, -12, 3, 4, 4, 1, -7, -6, -17, -10, -12)
+#: quarter bits from which a candidate without a digit or without a letter counts as writing
+_WRITTEN = -16
 
 
 def _matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
@@ -68,28 +80,37 @@ def _tail(z: Column) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    """Smallest alphabet that holds the token; null for runs without a digit or without a letter, which are no keys."""
-    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), (
-        F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64")
-    ))
+    """Smallest alphabet that holds the token."""
+    return (
+        F.when(token.rlike("^[0-9]+$"), "digits").when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(token.rlike("^([a-z]+|[A-Z]+)$"), "letters").when(token.rlike("^[A-Z2-7]+$"), "base32")
+        .when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").when(token.rlike("^[A-Za-z]+$"), "cased").otherwise("base64")
+    )
 
 
 def _with_p(df: DataFrame, name: str) -> DataFrame:
-    """Candidates as struct(start, end, n, bits, p): the battery's p-value under \"uniform random text of its encoding\"."""
+    """Candidates as struct(start, end, n, bits, plain, written, p): the battery's p-value under \"uniform random text of its encoding\".
+
+    ``plain``: without a digit or without a letter; ``written``: plain, and its letters may be ordinary writing.
+    """
     sizes = lambda enc: reduce(lambda w, k: w.when(enc == k, len(ALPHABETS[k])), list(ALPHABETS)[1:], F.when(enc == "hex", 16))
     order = lambda enc: reduce(lambda w, k: w.when(enc == k, ALPHABETS[k]), list(ALPHABETS)[1:], F.when(enc == "hex", ALPHABETS["hex"]))
-    plain = lambda c: F.when(c["enc"].isin("hex", "base36"), F.lower(c["match"])).otherwise(F.translate(c["match"], "-_", "+/"))
-    c1 = F.filter(F.transform(name, lambda c: F.struct(c["start"], c["end"], c["match"], _encoding(c["match"]).alias("enc"))), lambda c: c["enc"].isNotNull())
+    plain = lambda c: F.when(c["enc"].isin("hex", "letters", "base36"), F.lower(c["match"])).otherwise(F.translate(c["match"], "-_", "+/"))
+    mixed = lambda c: c["match"].rlike("[0-9]") & c["match"].rlike("[A-Za-z]")
+    gain = lambda x: F.coalesce(F.get(F.array(*map(F.lit, WRITING)), F.ascii(x) - 97), F.lit(0))
+    written = lambda c: F.aggregate(F.split(F.lower(c["match"]), ""), F.lit(0), lambda s, x: s + gain(x)) > _WRITTEN
+    c1 = F.transform(name, lambda c: F.struct(
+        c["start"], c["end"], c["match"], (~mixed(c)).alias("plain"), (~mixed(c) & written(c)).alias("written"), _encoding(c["match"]).alias("enc"),
+    ))
     c2 = F.transform(c1, lambda c: F.struct(
-        c["start"], c["end"], sizes(c["enc"]).cast("double").alias("a"),
+        c["start"], c["end"], c["plain"], c["written"], sizes(c["enc"]).cast("double").alias("a"),
         F.transform(F.filter(F.split(plain(c), ""), lambda x: x != ""), lambda x: (F.position(x, order(c["enc"])) - 1).cast("double")).alias("v"),
     ))
     sum_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     rest = lambda v: F.slice(v, F.lit(2), F.size(v) - 1)
     head = lambda v: F.slice(v, F.lit(1), F.size(v) - 1)
     c3 = F.transform(c2, lambda c: F.struct(
-        c["start"], c["end"], c["a"], F.size(c["v"]).cast("double").alias("n"),
+        c["start"], c["end"], c["plain"], c["written"], c["a"], F.size(c["v"]).cast("double").alias("n"),
         sum_of(F.transform(F.array_distinct(c["v"]), lambda d: F.pow(F.size(F.filter(c["v"], lambda x: x == d)).cast("double"), F.lit(2.0)))).alias("squares"),
         sum_of(F.zip_with(head(c["v"]), rest(c["v"]), lambda x, y: F.when((x >= c["a"] / 2) != (y >= c["a"] / 2), 1.0).otherwise(0.0))).alias("turns"),
         sum_of(F.zip_with(head(c["v"]), rest(c["v"]), lambda x, y: (x - (c["a"] - 1) / 2) * (y - (c["a"] - 1) / 2))).alias("serial"),
@@ -100,15 +121,15 @@ def _with_p(df: DataFrame, name: str) -> DataFrame:
     z_runs = lambda c: (c["turns"] - (c["n"] - 1) / 2) / (F.sqrt(c["n"] - 1) / 2)
     z_serial = lambda c: c["serial"] / ((c["a"] * c["a"] - 1) / 12 * F.sqrt(c["n"] - 1))
     c4 = F.transform(c3, lambda c: F.struct(
-        c["start"], c["end"], c["n"], (c["n"] * F.log2(c["a"])).alias("bits"),
+        c["start"], c["end"], c["n"], (c["n"] * F.log2(c["a"])).alias("bits"), c["plain"], c["written"],
         F.least(F.lit(1.0), 3 * F.least(_tail(z_chi(c)), 2 * _tail(F.abs(z_runs(c))), 2 * _tail(F.abs(z_serial(c))))).alias("p"),
     ))
     return df.withColumn(name, c4)
 
 
-def _band(n: Column) -> Column:
-    """Lengths of one power of two are corrected together."""
-    return F.floor(F.log2(n)).cast("int")
+def _band(c: Column) -> Column:
+    """Lengths of one power of two are corrected together, plain candidates apart from the others."""
+    return F.floor(F.log2(c["n"])).cast("int") + F.when(c["plain"], _PLAIN).otherwise(0)
 
 
 def _bin(p: Column) -> Column:
@@ -131,7 +152,7 @@ def with_candidates(docs: DataFrame, text: str = "text", out: tuple[str, str] =
 def fit_cuts(scanned: DataFrame, rate: float = 0.05, cand: str = "_candidates") -> dict[int, int]:
     """{length band: first bin of p-values declared \"not random\"}, by Benjamini-Hochberg over all candidates of the band."""
     counts = (
-        scanned.select(F.explode_outer(cand).alias("c")).where(F.col("c.n").isNotNull()).groupBy(_band(F.col("c.n")).alias("band"), _bin(F.col("c.p")).alias("bin"))
+        scanned.select(F.explode_outer(cand).alias("c")).where(F.col("c.n").isNotNull()).groupBy(_band(F.col("c")).alias("band"), _bin(F.col("c.p")).alias("bin"))
         .agg(F.count("*").alias("n")).collect()  # bands times bins at most
     )
     cuts = {}
@@ -149,7 +170,7 @@ def fit_cuts(scanned: DataFrame, rate: float = 0.05, cand: str = "_candidates")
 def with_spans(scanned: DataFrame, cuts: dict[int, int], min_bits: float = 80, base: str = "_base", cand: str = "_candidates", out: str = "spans") -> DataFrame:
     """Add array<struct(start, kind, end)>: the named spans and the candidates that still count as random."""
     at = F.create_map(*[F.lit(x) for kv in (cuts or {-1: 0}).items() for x in kv])
-    random = F.filter(cand, lambda c: (c["bits"] >= min_bits) & (_bin(c["p"]) < F.coalesce(at[_band(c["n"])], F.lit(_BINS))))
+    random = F.filter(cand, lambda c: (c["bits"] >= min_bits) & ~c["written"] & (_bin(c["p"]) < F.coalesce(at[_band(c)], F.lit(_BINS))))
     added = F.transform(random, lambda c: F.struct(c["start"], F.lit(KINDS.index("random")).alias("kind"), c["end"]))
     return scanned.withColumn(out, F.array_sort(F.concat(base, added)))
 

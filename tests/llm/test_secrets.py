@@ -1,3 +1,6 @@
+import random
+import string
+
 import brute
 import pytest
 
@@ -33,6 +36,25 @@ def test_query_equals_re(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(brute.secret_row(*r) for r in docs)
 
 
+def test_tokens_without_digits_are_judged(spark):
+    rng = random.Random(5)
+    token = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = {"cased": (string.ascii_letters, 32), "letters": (string.ascii_lowercase, 36), "base32": (string.ascii_uppercase, 52), "base64": (string.ascii_letters + "+/", 40)}
+    keys = {f"{k} {i}": token(*kind) for k, kind in kinds.items() for i in range(50)}
+    words = "value index buffer reader option record column window stream parser number symbol string object filter handler".split()
+    names = {f"name {i}": "".join(w.title() for w in rng.sample(words, 6)) for i in range(50)}
+    names |= {f"path {i}": "/".join(rng.sample(words, 5)) for i in range(50)} | {f"word {i}": "".join(rng.sample(words, 3)) for i in range(50)}
+    plain = rows(spark, list(enumerate((keys | names).values())))
+    mixed = rows(spark, [(1000 + i, token(string.ascii_letters, 20) + str(i)) for i in range(50)])
+    spans = lambda df: {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S.scan_secrets(df, ["doc_id"]).collect()}
+    got, apart = spans(plain.union(mixed)), spans(mixed)
+    for at, k in enumerate(kinds):
+        texts = [(i, keys[f"{k} {i - 50 * at}"]) for i in range(50 * at, 50 * at + 50)]
+        assert sum(got[i] == [(0, 3, len(t))] for i, t in texts) >= 40, k
+    assert sum(bool(got[i]) for i in range(200, 350)) <= 8
+    assert all(got[i] == found for i, found in apart.items())  # their cuts are their own
+
+
 def test_redact(spark):
     df = rows(spark, CASES)
     out = S.redact(df)
