@@ -90,7 +90,8 @@ def find_contained(
 ) -> DataFrame:
     """(k1, k2, doc_id, item_id, n_shingles, n_found) of every document and item it contains, each pair once.
 
-    A null text is empty. Texts and items of fewer than ``n`` words have no shingles and are never found.
+    A null text is empty. Texts and items of fewer than ``n`` words have no shingles and are never found;
+    an item without id is not looked for.
     Repeated rows give one row; documents of one id and different texts are looked at each; an id may be null.
     Other columns are not read. Empty tables give an empty result.
     """
@@ -110,8 +111,12 @@ def find_contained(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, at_least: float = 0.8, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text contains an item; same columns, all other rows, repeated ones too."""
-    found = find_contained(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), items, n, at_least)
+    """``docs`` without the rows whose text contains an item; same columns, all other rows, repeated ones too.
+
+    Items are known by their texts; ids are not read, so an item without id counts.
+    """
+    named = items.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("item_id"), "text")
+    found = find_contained(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), named, n, at_least)
     keys = checkpoint(found.select("k1", "k2").distinct())
     k1, k2 = text_key(F.col(text))
     return docs.withColumns({"_k1": k1, "_k2": k2}).join(

@@ -52,3 +52,10 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contained(docs, items).count() == 0 and D.drop_contaminated(docs, items).count() == 1
     assert D.find_contained(docs.limit(0), items).count() == 0
+
+
+def test_drop_needs_no_item_id(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e y"), (2, "v w x y z"), (3, "a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e"), (7, "q r s t u")], "item_id long, text string")
+    assert [r["doc_id"] for r in D.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [2, 3]
+    assert D.find_contained(docs, items).count() == 0  # a result names its item
