@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkpoison.llm.common import map_cells, read, small_batches
 from sparkpoison.llm.words import mix
 from sparkpoison.operators.clustering import connected_components
-from sparkpoison.session import checkpoint
+from sparkpoison.session import broadcast_if_small, checkpoint
 
 #: members of one block of a bucket, and pairs whose first meeting is looked up at once
 BLOCK, _PAIRS = 8192, 200_000
@@ -188,7 +188,7 @@ class _Cell:
 
 
 def _compare(members: DataFrame, cosine: float, probes: int) -> DataFrame:
-    """(u, v, n): links of u first met in a cell, and v, the smallest id reachable from u in that cell."""
+    """(u, v, n): links of class u first met in a cell, and v, the smallest class reachable from u in that cell."""
     kind = members.schema["rep"].dataType.simpleString()
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -213,7 +213,7 @@ def near_duplicates(
 
     A null or zero vector, or one with a null or non-finite component, links with nothing; so does a row without
     label or id (component null and not kept without id). Repeated rows are one vector and repeat in the result; an
-    id with several vectors counts the links of all of them. A link at the cosine limit is missed with probability
+    id with several vectors is one node that counts the links of all of them to other ids. A link at the cosine limit is missed with probability
     ``miss`` at most on average, nearer ones less; none below the limit is given. Other columns are not read.
     """
     small_batches(vectors.sparkSession)
@@ -222,9 +222,9 @@ def near_duplicates(
     rows = rows.withColumn("ok", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
     rows = rows.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("label", "embedding")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "label", "embedding"))})
     valid = rows.where("ok")
-    copies = valid.select("h1", "h2", "vec_id").distinct().groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    copies = valid.select("h1", "h2", "vec_id").distinct().groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     shown = valid.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.first(F.xxhash64("label")).alias("lh"))
-    classes = checkpoint(copies.join(shown, ["h1", "h2"]))
+    classes = checkpoint(copies.join(shown, ["h1", "h2"]).withColumn("rep", F.monotonically_increasing_id()))  # a class's number
     sizes = classes.groupBy("lh", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row per dimension
     plan = {}
     for r in sizes:
@@ -237,14 +237,30 @@ def near_duplicates(
     met = entries.join(crowded, "key").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     cells = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.select("rep", "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at")
-    carried = classes.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("embedding").alias("embedding")).join(keys, "rep")
+    carried = classes.select("rep", "copies", "embedding").join(keys, "rep")
     cells = cells.join(carried, "rep").select("key", "i", "j", "rep", "at", "copies", "embedding", "keys")
     found = checkpoint(_compare(cells, cosine, probes))
-    counts = found.groupBy("u").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("u <> v").select("u", "v").distinct())
-    named = classes.select("h1", "h2", "rep", "copies").join(counts.withColumnRenamed("u", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    counts = found.groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
+    counted = classes.join(counts, "rep", "left").select("h1", "h2", "rep", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    edges = found.where("u <> v").select("u", "v").distinct()
+    # Classes of one id are one node: joined here, their links added up, those among themselves taken off.
+    ends = [f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max)]
+    several = checkpoint(valid.groupBy("vec_id").agg(*ends).where("min_h1 < max_h1 OR min_h2 < max_h2").select("vec_id"))
+    shared = not several.isEmpty()
+    if shared:
+        several = broadcast_if_small(several)
+        own = checkpoint(valid.join(several, "vec_id").select("vec_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "rep", "lh", "embedding"), ["h1", "h2"]))
+        first = own.groupBy("vec_id").agg(F.min("rep").alias("u"))
+        edges = edges.union(own.join(first, "vec_id").where("u <> rep").select("u", F.col("rep").alias("v")).distinct())
+        totals = own.join(counted.select("rep", "n"), "rep").groupBy("vec_id").agg(F.sum("n").alias("total"))
+        totals = checkpoint(totals.join(_among(own, cosine), "vec_id", "left").select("vec_id", (F.col("total") - F.coalesce("among", F.lit(0))).alias("_total")))
+    parts = checkpoint(connected_components(edges).withColumnRenamed("node", "rep"))
+    lowest = parts.join(classes.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("lowest"))
+    named = counted.join(parts.join(lowest, "component"), "rep", "left")
+    named = named.select("h1", "h2", F.col("n").alias("_n"), F.coalesce("lowest", "low").alias("_c"))
     out = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
+    if shared:
+        out = out.join(broadcast_if_small(totals), "vec_id", "left").withColumn("_n", F.when(F.col("_n").isNotNull(), F.coalesce("_total", "_n")))
     component = F.coalesce("_c", "vec_id")
     return out.select(
         "vec_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
@@ -252,6 +268,17 @@ def near_duplicates(
     )
 
 
+def _among(own: DataFrame, cosine: float) -> DataFrame:
+    """(vec_id, among): links, counted at both ends, between different vectors of one id."""
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    scaled = own.withColumn("most", most).withColumn("x", F.transform("embedding", lambda x: x / F.col("most")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = scaled.withColumn("norm", F.sqrt(dot("x", "x"))).select("vec_id", "lh", "rep", F.transform("x", lambda x: x / F.col("norm")).alias("x"))
+    a, b = (unit.select("vec_id", "lh", F.col("rep").alias(f"{s}r"), F.col("x").alias(f"{s}x")) for s in "ab")
+    pairs = a.join(b, ["vec_id", "lh"]).where((F.col("ar") != F.col("br")) & (F.size("ax") == F.size("bx")))
+    return pairs.where(dot("ax", "bx") >= cosine).groupBy("vec_id").agg(F.count("*").alias("among"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of every vector within its label."""
     return near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))

@@ -78,3 +78,15 @@ def test_rotation_keeps_angles_and_recall():
     x = rng.normal(size=(50, 64))
     assert np.allclose(E.rotate(x, 3) @ E.rotate(x, 3).T, x @ x.T)
     assert E.choose_tables(64, 0.98, 2, 2) <= 24
+
+
+def test_one_id_with_several_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda e: [x + 0.01 for x in e]
+    rows = [(5, a, 1), (5, b, 2), (7, near(a), 1), (8, near(b), 2), (9, b, 1), (10, near(a), 2), (3, c, 1), (8, c, 1), (20, a, 3), (20, near(a), 3), (21, a, 3)]
+    links = {(i, e1, j) for i, e, g in rows for j, f, h in rows for e1 in [tuple(e)] if i != j and g == h and np.dot(e, f) >= 0.98 * np.linalg.norm(e) * np.linalg.norm(f)}
+    component = {5: 3, 7: 3, 8: 3, 9: 9, 10: 10, 3: 3, 20: 20, 21: 20}
+    count = {5: 2, 7: 1, 8: 2, 9: 0, 10: 0, 3: 1, 20: 2, 21: 2}
+    assert {i for i, n in count.items() if n} == {i for i, *_ in links}
+    got = sorted(map(tuple, E.near_duplicates(frame(spark, rows)).collect()))
+    assert got == sorted((i, count[i], component[i], i == component[i]) for i, *_ in rows)
