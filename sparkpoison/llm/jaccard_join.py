@@ -330,15 +330,26 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     several = checkpoint(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")))
     across = checkpoint(members.select("key", "f1").join(several, "key"))
     more = checkpoint(_verified(docs, checkpoint(_across(across, named, nodes, percent)), n, percent, once))
-    parts_of = connected_components(links.union(more))
+    parts_of = connected_components(links.union(more).union(_same_id(parts.where(has), nodes)))
     labels = nodes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
     labels = labels.where("copies > 1 OR component IS NOT NULL").select("f1", "f2", F.coalesce("component", "rep").alias("_c"))
-    # An id with several texts carries its component to all of them.
     out = parts.select("doc_id", "n_shingles", "f1", "f2").join(labels, ["f1", "f2"], "left")
     component = F.when(has, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _same_id(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): the nodes of ids with several different texts, each with the smallest one of its id."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max)]
+    several = checkpoint(parts.groupBy("doc_id").agg(*ends).where("min_f1 < max_f1 OR min_f2 < max_f2").select("doc_id"))
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"))
+    own = parts.select("doc_id", "f1", "f2").join(broadcast_if_small(several), "doc_id").distinct()
+    own = checkpoint(own.join(nodes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct())
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("u"))
+    return own.join(first, "doc_id").where("u <> rep").select("u", F.col("rep").alias("v")).distinct()
+
+
 def _across(members: DataFrame, named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of members(key, f1, g) of one key in different components that may link, each pair once.
 

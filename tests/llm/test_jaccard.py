@@ -108,3 +108,11 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text", "n", "f1", "component_id"]
     assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == ["1", "3", "4", "None"]
     assert J.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(2, a), (5, a), (5, b), (9, b + " more"), (11, "something else altogether here"), (5, a)]
+    assert sorted(map(tuple, J.near_duplicates(frame(spark, rows)).collect())) == brute(rows)
+    assert {c for i, _, c in brute(rows) if i != 11} == {2}
+    assert sorted(r["doc_id"] for r in J.drop_near_duplicates(frame(spark, rows)).collect()) == [2, 11]
