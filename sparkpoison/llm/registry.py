@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: module of this subpackage, in the order of the operators
-MODULES = ["url_filter", "embedding_dedup", "license_scan", "bpe", "token_count", "quality", "jaccard_join", "decontaminate", "secrets", "sharding"]
+MODULES = ["url_filter", "embedding_dedup", "license_scan", "bpe", "token_count", "quality", "jaccard_join", "decontaminate", "secrets", "sharding",
+           "periodic_runs"]
 
 
 def load() -> tuple[dict, dict]:
     """({name: callable(spark, sf_dir)}, {name: SQL}) of every operator and of the pipeline."""
-    import corpus_pipeline
-
     queries, checks = {}, {}
     for module in MODULES:
         found = importlib.import_module(f"sparkpoison.llm.{module}")
