@@ -8,7 +8,7 @@ import corpus_pipeline
 
 #: module of this subpackage, in the order of the operators
 MODULES = ["url_filter", "embedding_dedup", "license_scan", "bpe", "token_count", "quality", "jaccard_join", "decontaminate", "secrets", "sharding",
-           "periodic_runs", "token_alignment"]
+           "periodic_runs", "token_alignment", "metric_search"]
 
 
 def load() -> tuple[dict, dict]:
