@@ -12,12 +12,12 @@ such pair tables reach the driver and the tasks.
 
 from __future__ import annotations
 
-import hashlib
-import os
+import json
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +30,7 @@ from sparkpoison.llm.minimal_hash import MinimalHash
 from sparkpoison.session import checkpoint
 
 #: kept parts of a task, by number and characters; beyond it a task begins anew
-CACHE_PARTS, CACHE_CHARS = 200_000, 8_000_000
+CACHE_PARTS, CACHE_CHARS = 400_000, 16_000_000
 #: entries of a dense vector's piece, and pieces summed at a time
 PIECE, FAN_IN = 1 << 16, 8
 #: a single space between other characters: neither tokenizer has a token across its left side
@@ -45,29 +45,36 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabularies:
-    """Both tokenizers and the bytes of their tokens."""
+    """Both tokenizers and the bytes of their tokens.
+
+    The byte-level one is a list of merges in the order of their ids, so its ids are ranks: the lowest-ranked pair whose
+    bytes are a token is the next merge of the list. Pieces are merged by the rank library, which is several times faster.
+    """
 
     def __init__(self, byte_level: str, pieces: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(byte_level)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        letters = byte_alphabet()
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, number in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        ]
-        inner = any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.b.get_piece_size())))
-        if inner or self.a.normalizer is not None:
-            raise ValueError("texts can be cut at spaces only if no piece goes on over a space and nothing is rewritten")
+        import tiktoken
+
+        told = json.loads(byte_level)
+        ids, letters = told["model"]["vocab"], byte_alphabet()
+        special = {t["content"] for t in told["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): number for token, number in ids.items() if token not in special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+        made = np.array([ids["".join(m)] for m in merges], np.int64)
+        plain = told["normalizer"] is None and told["pre_tokenizer"]["type"] == "ByteLevel" and told["pre_tokenizer"]["use_regex"]
+        if not plain or told["pre_tokenizer"]["add_prefix_space"] or (np.diff(made) <= 0).any():
+            raise ValueError("the byte-level tokenizer must take texts as they are and number its merges in order")
+        self.encode_a = tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.a_bytes = [b""] * (max(ids.values()) + 1)
+        for token, number in ranks.items():
+            self.a_bytes[number] = token
+        b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        self.encode_b = lambda texts: b.encode(texts, num_threads=1)
+        names = list(map(b.id_to_piece, range(b.get_piece_size())))
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        if any("▁" in p.lstrip("▁") for p in names):
+            raise ValueError("texts can be cut at spaces only if no piece goes on over a space")
 
     def most_pairs(self) -> int:
         """How many id pairs can end together at all: one token's bytes are the end of the other's."""
@@ -76,13 +83,34 @@ class Vocabularies:
         return ends(a, b) + ends(b, a) + sum(n * b[t] for t, n in a.items())
 
 
+class Bytes:
+    """Bytes of every token, to be gathered for many ids at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.all = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return self.all[ragged(self.start[ids], self.length[ids])]
+
+
+def _per_part(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(counts)
+    added = np.concatenate([[0], np.cumsum(values)])
+    return added[ends] - added[ends - counts]
+
+
 class Aligner:
     """Texts to aligned parts; a part is what stands between two cuts at single spaces, and is aligned once per task."""
 
     def __init__(self, vocabularies: Vocabularies, counts: "PairCounts | None" = None):
         self.v, self.counts = vocabularies, counts
         self.width = len(vocabularies.b_bytes)
-        self.a_names, self.b_names = [[str(i) for i in range(len(x))] for x in (vocabularies.a_bytes, vocabularies.b_bytes)]
+        self.a, self.b = Bytes(vocabularies.a_bytes), Bytes(vocabularies.b_bytes)
+        sizes = (len(vocabularies.a_bytes), self.width) if counts is not None else ()
+        #: an id and the mark behind it, for both vocabularies
+        self.written = [f"{i}{mark}" for n, last in zip(sizes, "|;") for mark in ("," + last) for i in range(n)]
         self.forget()
 
     def forget(self) -> None:
@@ -94,46 +122,54 @@ class Aligner:
         self.groups: list[str] = []
 
     def _learn(self, parts: list[str]) -> None:
-        """Align parts not met before."""
+        """Align parts not met before, all at once."""
+        known = len(self.number)
+        self.number.update(zip(parts, range(known, known + len(parts))))
+        whole = [(" " + p).encode() for p in parts]
+        self.chars += sum(map(len, parts))
+        encode = self.v.encode_a
+        a_lists, b_lists = [encode(" " + p) for p in parts], self.v.encode_b(parts)
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+        count = lambda lists: np.fromiter(map(len, lists), np.int64, len(lists))
+        a, b, n_a, n_b, size = flat(a_lists), flat(b_lists), count(a_lists), count(b_lists), count(whole)
+        self.n_a.extend(n_a.tolist())
+        self.n_b.extend(n_b.tolist())
+
+        right = (_per_part(self.a.length[a], n_a) == size) & (_per_part(self.b.length[b], n_b) == size)
+        text = np.frombuffer(b"".join(w for w, ok in zip(whole, right.tolist()) if ok), np.uint8)
+        differ = (self.a.of(a[np.repeat(right, n_a)]) != text) | (self.b.of(b[np.repeat(right, n_b)]) != text)
+        right[np.repeat(np.arange(len(parts)), np.where(right, size, 0))[differ]] = False
+        self.right.extend(right.astype(np.int8).tolist())
+
+        a, b, n_a, n_b, size = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)], n_a[right], n_b[right], size[right]
+        end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        at = np.searchsorted(end_b, end_a)
+        meet_a = np.flatnonzero(end_b[at] == end_a)
+        meet_b = at[meet_a]
+        links = a[meet_a] * self.width + b[meet_b]
+        cuts = np.searchsorted(end_a[meet_a], np.cumsum(size), side="right")
+        per_part = np.zeros(len(parts), np.int64)
+        per_part[right] = np.diff(cuts, prepend=0)
         begin = len(self.links)
-        known = len(self.first) - 1
-        a_all = self.v.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        b_all = self.v.b.encode(parts, num_threads=1)
-        for part, a, b in zip(parts, a_all, b_all):
-            self.number[part] = len(self.first) - 1
-            self.chars += len(part)
-            self._align((" " + part).encode(), a.ids, b)
-        if self.counts is not None:
-            best, total = self.counts.of(np.array(self.links[begin:], np.int64))
-            first = np.array(self.first[known:], np.int64) - begin
-            for out, values in ((self.best, best), (self.total, total)):
-                sums = np.concatenate([[0], np.cumsum(values)])[first]
-                out.extend(np.diff(sums).tolist())
-
-    def _align(self, whole: bytes, a: list[int], b: list[int]) -> None:
-        a_bytes, b_bytes = self.v.a_bytes, self.v.b_bytes
-        right = b"".join([a_bytes[i] for i in a]) == whole and b"".join([b_bytes[i] for i in b]) == whole
-        self.right.append(right)
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        groups: list[str] = []
-        if right:
-            i = j = from_a = from_b = end_a = end_b = 0
-            while i < len(a):
-                if end_a <= end_b:
-                    end_a += len(a_bytes[a[i]])
-                    i += 1
-                while end_b < end_a:
-                    end_b += len(b_bytes[b[j]])
-                    j += 1
-                if end_a == end_b:
-                    self.links.append(a[i - 1] * self.width + b[j - 1])
-                    if self.counts is not None:
-                        names = ",".join([self.a_names[t] for t in a[from_a:i]])
-                        groups.append(names + "|" + ",".join([self.b_names[t] for t in b[from_b:j]]))
-                    from_a, from_b = i, j
-        self.groups.append(";".join(groups))
-        self.first.append(len(self.links))
+        self.links.extend(links.tolist())
+        first = begin + np.cumsum(per_part)
+        self.first.extend(first.tolist())
+        if self.counts is None:
+            return
+        for out, values in zip((self.best, self.total), self.counts.of(links)):
+            out.extend(_per_part(values, per_part).tolist())
+        # groups in the order in which they are written: the a tokens of each, then its b tokens
+        group_a, group_b = np.searchsorted(meet_a, np.arange(len(a))), np.searchsorted(meet_b, np.arange(len(b)))
+        until_a, until_b = np.concatenate([[0], meet_a + 1]), np.concatenate([[0], meet_b + 1])
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[meet_a], last_b[meet_b] = 1, 1
+        n = len(self.v.a_bytes)
+        written = np.zeros(len(a) + len(b), np.int64)
+        written[np.arange(len(a)) + until_b[group_a]] = a + n * last_a
+        written[np.arange(len(b)) + until_a[group_b + 1]] = 2 * n + b + self.width * last_b
+        names = list(map(self.written.__getitem__, written.tolist()))
+        ends = np.cumsum(np.where(right, np.array(self.n_a[known:]) + np.array(self.n_b[known:]), 0)).tolist()
+        self.groups += ["".join(names[i:j]) for i, j in zip([0, *ends], ends)]
 
     def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of every part of all texts, parts per text, whether the text's tokens give its bytes)."""
@@ -290,7 +326,7 @@ def align(docs: DataFrame, byte_level_path: str, pieces_path: str, keep: list[st
                 out[name] = pa.array(np.where(right, added[ends] - added[ends - per_text], 0))
             groups, at = aligner.groups, numbers.tolist()
             out["groups"] = pa.array(
-                [";".join([groups[i] for i in at[e - n : e]]) if ok else "" for e, n, ok in zip(ends.tolist(), per_text.tolist(), right.tolist())],
+                ["".join([groups[i] for i in at[e - n : e]])[:-1] if ok else "" for e, n, ok in zip(ends.tolist(), per_text.tolist(), right.tolist())],
                 pa.string(),
             )
             return pa.RecordBatch.from_pydict(out)

@@ -80,6 +80,14 @@ def test_query(spark, sf_dir, libraries):
     assert set(got) == want and len(got) == len(rows)
 
 
+def test_rank_library_gives_the_byte_level_ids(libraries):
+    v = T.Vocabularies(Path(A).read_text(encoding="utf-8"), Path(B).read_bytes())
+    for point in [*range(0x3000), *range(0x3000, 0xD800, 17), *range(0xE000, 0x20000, 11)]:
+        c = chr(point)
+        text = f" x{c}1{c} {c}{c}\n{c} 's{c}"
+        assert v.encode_a(text) == libraries[0].encode(text, add_special_tokens=False).ids, hex(point)
+
+
 def test_minimal_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 1000, 50_000):
