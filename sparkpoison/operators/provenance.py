@@ -1,7 +1,8 @@
 """Lineage graph operators on ``nodes(node_id, …)`` and ``edges(source_id, target_id)``, parent → child.
 
-Walks are level-by-level joins. Every level is checkpointed, so a lost executor costs one
-level, and a node already reached is dropped before the next join.
+Walks from given starts are level-by-level joins. Every level is checkpointed, so a lost executor costs
+one level, and a node already reached is dropped before the next join. Questions about all nodes
+(``blast_radius``, ``check_contamination``, ``find_cycles``) go through ``graphs``, a row per node.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkpoison.functions.numeric import round_to
+from sparkpoison.operators import graphs
+from sparkpoison.operators.graphs import directed as _directed
 from sparkpoison.session import checkpoint
 
 DECAY_FACTOR = 0.7
@@ -25,12 +28,6 @@ SOURCE_TYPES = [
 ]
 
 
-def _directed(edges: DataFrame, direction: str) -> DataFrame:
-    """Edges as (here, there) so that walking always goes from ``here`` to ``there``."""
-    here, there = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
-    return edges.select(F.col(here).alias("here"), F.col(there).alias("there")).distinct()
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -41,7 +38,7 @@ def register(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFra
     """(new nodes, new edges, rejected) for ``incoming(dataset_id, parent_id, source_type, generation)``.
 
     Datasets already stored are merged away; a child's generation is its parent's plus one,
-    whether the parent is stored or comes in the same batch; an unknown parent is rejected.
+    whether the parent is stored or comes in the same batch; an unknown parent, or one that leads back, is rejected.
     """
     # Of several rows of one dataset the smallest by all other columns counts, whichever task sees it first.
     others = [c for c in incoming.columns if c != "dataset_id"]
@@ -49,18 +46,21 @@ def register(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFra
     fresh = single.join(stored.select("dataset_id"), "dataset_id", "left_anti")
     known = F.when(F.col("source_type").isin(SOURCE_TYPES), F.col("source_type")).otherwise("unknown")
     fresh = checkpoint(fresh.withColumn("source_type", known))
-    levels = [checkpoint(fresh.where(F.col("parent_id").isNull()).withColumn("generation", F.coalesce("generation", F.lit(0)).cast("bigint")))]
-    parents = stored.select(F.col("dataset_id").alias("parent_id"), F.col("generation").cast("bigint").alias("_g")).unionByName(
-        levels[0].select(F.col("dataset_id").alias("parent_id"), F.col("generation").alias("_g"))
-    )
-    waiting = fresh.where(F.col("parent_id").isNotNull())
-    while True:
-        level = checkpoint(waiting.join(parents, "parent_id").withColumn("generation", F.col("_g") + 1).select(*fresh.columns))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        parents = level.select(F.col("dataset_id").alias("parent_id"), F.col("generation").alias("_g"))
-    nodes = _union(levels)
+    # Chains of parents inside the batch are followed by doubling to the dataset whose parent is stored or null.
+    ids = fresh.select(F.col("dataset_id").alias("parent_id"))
+    inside = checkpoint(fresh.join(ids, "parent_id", "left_semi").select(
+        F.lit(0).alias("way"), F.col("dataset_id").alias("node"), F.col("parent_id").alias("to"),
+        F.lit(1).cast("bigint").alias("steps"), F.col("dataset_id").alias("low")))
+    heads = fresh.join(inside.select(F.col("node").alias("dataset_id")), "dataset_id", "left_anti")
+    parents = stored.select(F.col("dataset_id").alias("parent_id"), F.col("generation").cast("bigint").alias("_g"))
+    first = F.when(F.col("parent_id").isNull(), F.coalesce("generation", F.lit(0)).cast("bigint")).otherwise(F.col("_g") + 1)
+    heads = checkpoint(heads.join(parents, "parent_id", "left").withColumn("generation", first).where(F.col("generation").isNotNull()).select(*fresh.columns))
+    count = inside.count()
+    ends = graphs.leap(inside, count) if count else inside
+    tops = heads.select(F.col("dataset_id").alias("to"), F.col("generation").alias("_g"))
+    placed = ends.join(tops, "to").select(F.col("node").alias("dataset_id"), (F.col("_g") + F.col("steps")).alias("generation"))
+    below = fresh.drop("generation").join(placed, "dataset_id").select(*fresh.columns)
+    nodes = checkpoint(heads.unionByName(below))
     edges = nodes.where(F.col("parent_id").isNotNull()).select(
         F.col("parent_id").alias("source_id"), F.col("dataset_id").alias("target_id")
     )
@@ -68,6 +68,32 @@ def register(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFra
     return nodes, edges, rejected
 
 
+def upsert(nodes: DataFrame, edges: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after ``incoming(dataset_id, parent_id, …)`` is merged into the stored ones.
+
+    A dataset already stored takes the incoming attributes, is clean again (score 0.0, level ``clean``, where the table has
+    these columns) and keeps its parents; every incoming parent that is stored or comes in the same batch is added once.
+    Unknown parents add no edge. Of several incoming rows of one dataset the smallest by all other columns gives the
+    attributes, whichever task sees it first, and each gives its parent. Rows without a dataset id are left out.
+    """
+    incoming = incoming.where(F.col("dataset_id").isNotNull() & (F.col("dataset_id").cast("string") != ""))
+    known = F.when(F.col("source_type").isin(SOURCE_TYPES), F.col("source_type")).otherwise("unknown")
+    rows = incoming.withColumn("source_type", known)
+    attributes = [c for c in nodes.columns if c in rows.columns and c != "dataset_id"]
+    winner = rows.groupBy("dataset_id").agg(F.min(F.struct(*attributes, "parent_id")).alias("_new"))
+    kinds = dict(nodes.dtypes)
+    reset = {"contamination_score": F.lit(0.0), "contamination_level": F.lit("clean")}
+    merged = nodes.withColumn("_old", F.lit(True)).join(winner, "dataset_id", "full")
+    columns = []
+    for c in nodes.columns:
+        new = F.col(f"_new.{c}") if c in attributes else reset.get(c, F.col(c))
+        columns.append(F.col(c) if c == "dataset_id" else F.when(F.col("_new").isNotNull(), new).otherwise(F.col(c)).cast(kinds[c]).alias(c))
+    merged = merged.select(*columns)
+    asked = rows.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("source_id"), F.col("dataset_id").alias("target_id"))
+    added = asked.join(merged.select(F.col("dataset_id").alias("source_id")), "source_id", "left_semi")
+    return merged, edges.select("source_id", "target_id").unionByName(added.select("source_id", "target_id")).distinct()
+
+
 # --------------------------------------------------------------------------- walks
 
 def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
@@ -96,18 +122,21 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down", max_
     return _union(levels)
 
 
-def paths(edges: DataFrame, starts: DataFrame, direction: str = "up", max_depth: int | None = 10) -> DataFrame:
+def paths(edges: DataFrame, starts: DataFrame, direction: str = "up", max_depth: int | None = 10, everywhere: bool = False) -> DataFrame:
     """(start_id, node_id, depth, path): every simple path from each start, the start included.
 
-    The result is as large as the number of paths; use ``reachable`` or ``path_counts``
-    where the paths themselves are not wanted.
+    The result is as large as the number of paths; ``blast_radius`` and ``check_contamination`` count without listing.
+    Level by level from the starts; with ``everywhere``, where most nodes are starts, by doubling instead: a path of 2d edges
+    is two paths of d edges end to end, so the depth costs a logarithm of joins.
     """
     hops = checkpoint(_directed(edges, direction))
-    level = checkpoint(
-        starts.select(
-            F.col("start_id"), F.col("start_id").alias("node_id"), F.lit(0).alias("depth"), F.array("start_id").alias("path")
-        )
-    )
+    none = starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("depth"), F.array("start_id").alias("path"))
+    if everywhere:
+        wanted = starts.select(F.col("start_id").alias("here")).distinct()
+        rows = [p.join(wanted, "here", "left_semi").select(F.col("here").alias("start_id"), F.col("there").alias("node_id"), F.lit(d).alias("depth"), "path")
+                for d, p in _doubled(hops, max_depth).items()]
+        return _union([none, *rows])
+    level = checkpoint(none)
     levels, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -122,29 +151,25 @@ def paths(edges: DataFrame, starts: DataFrame, direction: str = "up", max_depth:
     return _union(levels)
 
 
-def path_counts(edges: DataFrame, starts: DataFrame, direction: str, max_depth: int | None = None) -> DataFrame:
-    """(start_id, node_id, depth, paths) on an acyclic graph: how many paths, without listing them."""
-    hops = checkpoint(_directed(edges, direction))
-    level = checkpoint(
-        starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("paths")).distinct()
-    )
-    levels, depth = [level], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        level = checkpoint(
-            level.join(hops, level["node_id"] == hops["here"])
-            .groupBy("start_id", F.col("there").alias("node_id")).agg(F.sum("paths").alias("paths"))
-            .select("start_id", "node_id", F.lit(depth).alias("depth"), "paths")
-        )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return _union(levels)
+def _doubled(hops: DataFrame, max_depth: int | None) -> dict[int, DataFrame]:
+    """{d: (here, there, path)}: the simple paths of d edges from every node."""
+    lengths = {1: checkpoint(hops.where("here <> there").select("here", "there", F.array("here", "there").alias("path")))}
+    top = 1
+    while (max_depth is None or top < max_depth) and not lengths[top].isEmpty():
+        until = 2 * top if max_depth is None else min(2 * top, max_depth)
+        for depth in range(top + 1, until + 1):
+            first = lengths[(depth + 1) // 2].withColumnRenamed("there", "_mid")
+            rest = lengths[depth // 2].select(F.col("here").alias("_mid"), "there", F.slice("path", 2, depth // 2).alias("_tail"))
+            joined = first.join(rest, "_mid").where(~F.arrays_overlap("path", "_tail"))
+            rows = joined.select("here", "there", F.concat("path", "_tail").alias("path"))
+            lengths[depth] = rows if until == max_depth else checkpoint(rows)  # the last ones are not built upon
+        top = until
+    return lengths
 
 
-def lineage(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Every upstream path of each start with the attributes of the node it ends in."""
-    return paths(edges, starts, "up", max_depth).join(nodes, "node_id")
+def lineage(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = 10, everywhere: bool = False) -> DataFrame:
+    """Every upstream path of each start with the attributes of the node it ends in; ``everywhere`` as in ``paths``."""
+    return paths(edges, starts, "up", max_depth, everywhere).join(nodes, "node_id")
 
 
 def ancestor_chain(nodes: DataFrame, starts: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -166,21 +191,25 @@ def ancestor_chain(nodes: DataFrame, starts: DataFrame, max_depth: int = 20) ->
     return _union(levels).drop("_seen")
 
 
-def blast_radius(edges: DataFrame, starts: DataFrame, distinct: bool = False, acyclic: bool = False) -> DataFrame:
-    """(start_id, total_affected) downstream: paths by default, nodes with ``distinct``.
+def blast_radius(edges: DataFrame, starts: DataFrame, distinct: bool = False, acyclic: bool = False, sketch: bool = False) -> DataFrame:
+    """(start_id, total_affected) downstream: simple paths by default, nodes with ``distinct`` (estimated with ``sketch``).
 
-    ``acyclic`` lets paths be counted instead of listed.
+    Both for all nodes at once, without a row per path or per pair of nodes; only inside loops are paths listed. ``acyclic``
+    spares the search for loops.
     """
     if distinct:
-        rows = reachable(edges, starts, "down").withColumn("paths", F.lit(1).cast("bigint"))
-    elif acyclic:
-        rows = path_counts(edges, starts, "down")
+        total = graphs.reach_counts(edges, "down", sketch=sketch).select(F.col("node_id").alias("start_id"), F.col("reached").alias("total_affected"))
     else:
-        rows = paths(edges, starts, "down", None).withColumn("paths", F.lit(1).cast("bigint"))
-    total = rows.where(F.col("depth") > 0).groupBy("start_id").agg(F.sum("paths").alias("total_affected"))
+        links, inner = graphs.walks(edges, "down", acyclic, None, lambda e, n: paths(_upward(e), n, "up", None, True))
+        total = graphs.path_totals(links, inner).select(F.col("node").alias("start_id"), F.col("total").alias("total_affected"))
     return starts.select("start_id").distinct().join(total, "start_id", "left").na.fill(0, ["total_affected"])
 
 
+def _upward(hops: DataFrame) -> DataFrame:
+    """Edges already turned the way to walk, as ``paths(…, "up")`` wants them."""
+    return hops.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id"))
+
+
 def shortest_path(edges: DataFrame, source: object, target: object, max_hops: int = 20) -> DataFrame:
     """(hop, node_id) of the shortest path, the smallest one on ties; empty when there is none."""
     hops = checkpoint(_directed(edges, "down"))
@@ -228,30 +257,26 @@ def lineage_graph(edges: DataFrame, start: object, max_depth: int = 10, deepest:
 def check_contamination(nodes: DataFrame, edges: DataFrame, starts: DataFrame, acyclic: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Per start: contaminated ancestor paths, highest decayed score, verdict, ancestors checked.
 
-    Simple paths count. On a graph known to be ``acyclic`` they are counted without being listed.
+    Simple paths count, and are counted for all nodes level by level; only inside loops are they listed. ``acyclic`` spares
+    the search for loops.
     """
-    if acyclic:
-        rows = path_counts(edges, starts, "up", max_depth)
-    else:
-        rows = paths(edges, starts, "up", max_depth).withColumn("paths", F.lit(1).cast("bigint"))
-    scored = rows.where(F.col("depth") > 0).join(nodes.select("node_id", "contamination_score"), "node_id")
-    dirty = F.col("contamination_score") > 0
-    decayed = F.col("contamination_score") * F.pow(F.lit(DECAY_FACTOR), F.col("depth"))
-    per = scored.groupBy("start_id").agg(
-        F.coalesce(F.sum(F.when(dirty, F.col("paths"))), F.lit(0)).alias("contamination_paths"),
-        F.coalesce(F.max(F.when(dirty, decayed)), F.lit(0.0)).alias("_max"),
-        F.count_distinct("node_id").alias("total_ancestors"),
+    links, inner = graphs.walks(edges, "up", acyclic, max_depth, lambda e, n: paths(_upward(e), n, "up", max_depth, True))
+    dirty = nodes.where(F.col("contamination_score") > 0).select(F.col("node_id").alias("node"), F.col("contamination_score").alias("score"))
+    levels = graphs.path_levels(links, inner, dirty, max_depth).where(F.col("depth") > 0)
+    per = levels.groupBy(F.col("node").alias("start_id")).agg(
+        F.sum("paths").alias("contamination_paths"), F.max(F.col("best") * F.pow(F.lit(DECAY_FACTOR), F.col("depth"))).alias("_max")
     )
-    out = starts.select("start_id").distinct().join(per, "start_id", "left").na.fill(0)
+    above = graphs.reach_counts(edges, "up", max_depth).select(F.col("node_id").alias("start_id"), F.col("reached").alias("total_ancestors"))
+    out = starts.select("start_id").distinct().join(per, "start_id", "left").join(above, "start_id", "left").na.fill(0)
     return out.select(
         "start_id", "contamination_paths", round_to("_max", 6).alias("max_decayed_score"),
         (F.col("_max") > CONTAMINATED).alias("is_contaminated"), "total_ancestors",
     )
 
 
-def contamination_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per path to a contaminated ancestor."""
-    rows = lineage(nodes, edges, starts, max_depth).where((F.col("depth") > 0) & (F.col("contamination_score") > 0))
+def contamination_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, everywhere: bool = False) -> DataFrame:
+    """One row per path to a contaminated ancestor; ``everywhere`` as in ``paths``."""
+    rows = lineage(nodes, edges, starts, max_depth, everywhere).where((F.col("depth") > 0) & (F.col("contamination_score") > 0))
     return rows.select(
         "start_id", F.col("node_id").alias("ancestor_id"), "contamination_score", "path", "depth",
         round_to(F.col("contamination_score") * F.pow(F.lit(DECAY_FACTOR), F.col("depth")), 6).alias("decayed_score"),
@@ -302,51 +327,8 @@ def propagate(
 # --------------------------------------------------------------------------- cycles
 
 def find_cycles(edges: DataFrame) -> DataFrame:
-    """(node_id, cycle_id): nodes whose lineage leads back to themselves, grouped by their loop.
-
-    Nodes without an incoming or outgoing edge cannot be on a loop and are peeled off until
-    none is left. What remains is split into strongly connected parts: smallest ids flow
-    forward, then backward inside each colour; parts of one node only count with a self edge.
-    """
-    left = checkpoint(_directed(edges, "down"))
-    found = [left.where(F.col("here") == F.col("there")).select(F.col("here").alias("node_id"), F.col("here").alias("cycle_id"))]
-    while True:
-        before = left.count()
-        heads = left.select(F.col("there").alias("here")).distinct()
-        tails = left.select(F.col("here").alias("there")).distinct()
-        left = checkpoint(left.join(heads, "here", "left_semi").join(tails, "there", "left_semi").select("here", "there"))
-        if left.count() == before:
-            break
-    while not left.isEmpty():
-        colour = checkpoint(left.select(F.col("here").alias("n")).union(left.select("there")).distinct().withColumn("c", F.col("n")))
-        colour = _flow(left, colour)
-        a, b = colour.select(F.col("n").alias("here"), F.col("c").alias("ca")), colour.select(F.col("n").alias("there"), F.col("c").alias("cb"))
-        same = checkpoint(left.join(a, "here").join(b, "there").where(F.col("ca") == F.col("cb")))
-        back = same.select(F.col("there").alias("here"), F.col("here").alias("there"))
-        marks = checkpoint(colour.select("n", F.when(F.col("n") == F.col("c"), F.lit(0)).otherwise(1).alias("c")))
-        member = _flow(back, marks).where(F.col("c") == 0).select("n")
-        part = checkpoint(colour.join(member, "n", "left_semi").select(F.col("n").alias("node_id"), F.col("c").alias("cycle_id")))
-        big = part.groupBy("cycle_id").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("cycle_id")
-        found.append(part.join(big, "cycle_id", "left_semi").select("node_id", "cycle_id"))
-        done = part.select(F.col("node_id").alias("here"))
-        left = checkpoint(
-            left.join(done, "here", "left_anti").join(done.select(F.col("here").alias("there")), "there", "left_anti")
-            .select("here", "there")
-        )
-    return _union(found).groupBy("node_id").agg(F.min("cycle_id").alias("cycle_id"))
-
-
-def _flow(hops: DataFrame, values: DataFrame) -> DataFrame:
-    """Spread the smallest value along ``hops(here, there)`` until nothing changes; ``values(n, c)`` of any type."""
-    mark = lambda df: df.agg(F.sum(F.xxhash64("n", "c").cast("decimal(38,0)"))).first()[0]
-    while True:
-        total = mark(values)
-        for _ in range(2):
-            sent = hops.join(values, hops["here"] == values["n"]).select(F.col("there").alias("n"), "c")
-            values = values.unionByName(sent).groupBy("n").agg(F.min("c").alias("c"))
-        values = checkpoint(values)
-        if mark(values) == total:
-            return values
+    """(node_id, cycle_id): nodes whose lineage leads back to themselves, grouped by their loop."""
+    return graphs.loops(edges)
 
 
 # --------------------------------------------------------------------------- roll-ups

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkpoison.functions.numeric import round_to
-from sparkpoison.operators import provenance as pv
+from sparkpoison.operators import graphs, provenance as pv
 from sparkpoison.plans.registry import query
 from sparkpoison.plans.views import r
 
@@ -38,11 +38,41 @@ def graph_register(part: DataFrame) -> DataFrame:
     return pv.register(incoming.where(F.lit(False)), incoming)[0]
 
 
+_UPSERT = """
+WITH s AS (SELECT node_id AS dataset_id, 'mixed' AS source_type, 1 AS generation, contamination_score FROM nodes WHERE node_id % 2 = 0),
+i AS (SELECT node_id AS dataset_id, node_id // 7 AS parent_id, CASE WHEN node_id % 9 = 0 THEN 'scraped' ELSE 'unknown' END AS source_type, node_id % 4 AS generation
+  FROM nodes WHERE node_id % 3 = 0),
+m AS (SELECT coalesce(s.dataset_id, i.dataset_id) AS dataset_id, coalesce(i.source_type, s.source_type) AS source_type,
+  coalesce(i.generation, s.generation) AS generation, CASE WHEN i.dataset_id IS NULL THEN s.contamination_score ELSE 0 END AS contamination_score
+  FROM s FULL JOIN i ON i.dataset_id = s.dataset_id),
+e AS (SELECT source_id, target_id FROM edges WHERE target_id % 2 = 0
+  UNION SELECT parent_id, dataset_id FROM i WHERE parent_id IN (SELECT dataset_id FROM m))"""
+
+
+def _upserted(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    k = F.col("node_id")
+    stored = nodes.where(k % 2 == 0).select(k.alias("dataset_id"), F.lit("mixed").alias("source_type"), F.lit(1).cast("bigint").alias("generation"), "contamination_score")
+    incoming = nodes.where(k % 3 == 0).select(
+        k.alias("dataset_id"), F.floor(k / 7).alias("parent_id"), F.when(k % 9 == 0, "scraped").otherwise("crawler").alias("source_type"),
+        (k % 4).alias("generation"))
+    return pv.upsert(stored, edges.where(F.col("target_id") % 2 == 0), incoming)
+
+
+@query("G-1", "nodes edges", _UPSERT + "SELECT dataset_id, source_type, generation, contamination_score FROM m")
+def graph_upsert_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return _upserted(nodes, edges)[0]
+
+
+@query("G-1", "nodes edges", _UPSERT + "SELECT source_id, target_id FROM e")
+def graph_upsert_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return _upserted(nodes, edges)[1]
+
+
 @query("G-2", "nodes edges", f"""
 WITH RECURSIVE {_UP.format(d=10)}
 SELECT start_id, node_id, depth, array_to_string(path, '>') AS path, node_type, contamination_score FROM up JOIN nodes USING (node_id)""")
 def graph_lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    out = pv.lineage(nodes, edges, _all(nodes))
+    out = pv.lineage(nodes, edges, _all(nodes), everywhere=True)
     return out.select("start_id", "node_id", "depth", F.array_join("path", ">").alias("path"), "node_type", "contamination_score")
 
 
@@ -80,7 +110,7 @@ WITH RECURSIVE {_UP.format(d=20)}
 SELECT start_id, node_id AS ancestor_id, contamination_score, array_to_string(path, '>') AS path, depth, {r("contamination_score * pow(CAST(0.7 AS DOUBLE), depth)")} AS decayed_score
 FROM up JOIN nodes USING (node_id) WHERE depth > 0 AND contamination_score > 0""")
 def graph_contamination_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return pv.contamination_paths(nodes, edges, _all(nodes)).withColumn("path", F.array_join("path", ">"))
+    return pv.contamination_paths(nodes, edges, _all(nodes), everywhere=True).withColumn("path", F.array_join("path", ">"))
 
 
 def _propagate_sql(passed: str, limit: str) -> str:
@@ -140,7 +170,8 @@ WITH RECURSIVE w AS (SELECT node_id AS start_id, node_id FROM nodes WHERE contam
 SELECT start_id, count(*) AS reached FROM w GROUP BY start_id""")
 def graph_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     dirty = _all(nodes.where(F.col("contamination_score") > 0))
-    return pv.reachable(edges, dirty).groupBy("start_id").agg(F.count("*").alias("reached"))
+    reached = graphs.reach_counts(edges, "down").withColumnRenamed("node_id", "start_id")
+    return dirty.join(reached, "start_id", "left").select("start_id", (F.coalesce("reached", F.lit(0)) + 1).alias("reached"))
 
 
 @query("G-11", "nodes", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,6 +60,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back: cuts the lineage like ``checkpoint``, and the size is the table's own.
+
+    A checkpoint keeps the planner's estimate, which a join squares; where the same table is joined round after round
+    the estimate outgrows the time for planning. Remove the table with ``discard`` when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a ``stored`` table."""
+    spark = table.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _width(name: str, kind: str) -> Column:
     """About the bytes of a column's value."""
     if kind == "string" or kind == "binary":
