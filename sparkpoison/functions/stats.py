@@ -8,16 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkpoison.session import checkpoint
 
-#: percentile_approx keeps rank error below n / _ACCURACY.
-_ACCURACY = 10_000
-_MARGIN = 4.0 / _ACCURACY
-
-
-def _same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for key in by:
-        test = test & left[key].eqNullSafe(right[key])
-    return test
+#: bits of a value's image that one round settles
+DIGIT = 16
 
 
 def percentiles(
@@ -32,24 +24,17 @@ def percentiles(
     ``method`` is ``"linear"`` (interpolated), ``"nearest"`` (rank ceil(p·n)) or ``"straddle"``
     (the values at ranks floor(p·n) and floor(p·n)+1, the second as ``<name>_next``).
 
-    A sketch brackets each wanted rank; equal values are counted together (map-side),
-    everything below a bracket only adds to a count, and only the distinct values inside
-    a bracket (about 8/10000 of the ranks) are put in order. So a group of any size never
-    sits in one task. Groups of at most 10000 rows are bracketed by their min and max.
+    Radix selection: a double has a 64-bit image of the same order, of which each of four rounds settles 16 bits. Values are
+    counted per group and distinct value once (map-side); a round counts them by the next 16 bits, keeps the one bucket
+    that holds a wanted rank, and goes on inside it. So a task orders at most 65536 counts, however many rows or distinct
+    values a group has. NaN is the largest value, -0.0 equals 0.0; a group without values has no row.
     """
     by = list(by)
     names = list(probs)
-    src = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    marks = [p for prob in probs.values() for p in (max(0.0, prob - _MARGIN), min(1.0, prob + _MARGIN))]
-    bounds = src.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"),
-    )
-    small = F.col("_n") <= _ACCURACY
+    src = df.where(F.col(value).isNotNull()).select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    counts = src.groupBy(*by, "_v").agg(F.count("*").alias("_c")).withColumn("_i", image("_v"))
     per_prob = []
-    for i, name in enumerate(names):
+    for name in names:
         p = float(probs[name])
         if method == "linear":
             rank = F.lit(p) * (F.col("_n") - 1)
@@ -59,53 +44,55 @@ def percentiles(
         else:
             ceil_rank = F.ceil(F.lit(p) * F.col("_n")) - 1
             first, frac = F.greatest(F.least(ceil_rank, F.col("_n") - 1), F.lit(0)), F.lit(0.0)
-        per_prob.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                first.cast("long").alias("k"),
-                frac.cast("double").alias("frac"),
-                F.when(small, F.col("_lo")).otherwise(F.col("_marks")[2 * i]).alias("lo"),
-                F.when(small, F.col("_hi")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"),
-            )
-        )
-    wanted = bounds.select(*by, F.explode(F.array(*per_prob)).alias("w")).select(*by, "w.*")
-    counts = src.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    wanted = F.broadcast(wanted) if not by else wanted
-    left, right = counts.alias("c"), wanted.alias("w")
-    keys = [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in by]
-    joined = left.join(right, keys or [F.col("c._v") <= F.col("w.hi")], "inner").where(
-        F.col("c._v") <= F.col("w.hi")
-    )
-    keep = [F.col(f"c.{k}").alias(k) for k in by]
-    # Values below the bracket collapse to one row carrying their count.
-    banded = (
-        joined.select(
-            *keep,
-            "w.name", "w.k", "w.frac",
-            F.when(F.col("c._v") >= F.col("w.lo"), F.col("c._v")).alias("_v"),
-            "c._c",
-        )
-        .groupBy(*by, "name", "k", "frac", "_v")
-        .agg(F.sum("_c").alias("_c"))
-    )
-    w = Window.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first())
-    ranked = banded.withColumn("_upto", F.sum("_c").over(w))
-    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
-    # A rank below the bracket would pass unnoticed as the bracket's first value.
-    below = F.max(F.when(F.col("_v").isNull(), F.col("_upto") > F.col("k")))
-    picked = ranked.groupBy(*by, "name").agg(
-        at(F.col("k")).alias("_a"), at(F.col("k") + 1).alias("_b"), F.first("frac").alias("_f"), below.alias("_miss")
-    )
-    failed = F.raise_error(F.lit("a percentile's rank lies outside its bracket")).cast("double")
-    picked = picked.withColumn("_a", F.when(F.coalesce("_miss", F.lit(False)) | F.col("_a").isNull(), failed).otherwise(F.col("_a")))
-    picked = picked.withColumn(
-        "_p",
-        F.when(F.col("_f") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).otherwise(F.col("_a")),
-    )
-    out = [F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names]
-    if method == "straddle":
-        out += [F.max(F.when(F.col("name") == n, F.col("_b"))).alias(f"{n}_next") for n in names]
-    return picked.groupBy(*by).agg(*out)
+        for side in (0, 1) if method != "nearest" else (0,):
+            per_prob.append(F.struct(
+                F.lit(name).alias("name"), F.lit(side).alias("side"), (first.cast("bigint") + side).alias("k"), frac.cast("double").alias("frac")
+            ))
+    asked = ["name", "side", "k", "frac"]
+    top = counts.groupBy(*by, F.shiftright("_i", 64 - DIGIT).alias("_q")).agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*by)
+    top = top.select("*", F.sum("_s").over(group).alias("_n"), F.sum("_s").over(group.orderBy("_q")).alias("_upto"))
+    wanted = _bucket(top.select(*by, "_q", "_s", "_n", "_upto", F.explode(F.array(*per_prob)).alias("w")).where(F.col("w.k") < F.col("_n")), "w.", by)
+    order = Window.partitionBy(*by, "name", "side").orderBy("_q")
+    for settled in range(DIGIT, 64, DIGIT):
+        rows = counts.withColumn("_p", F.shiftright("_i", 64 - settled))
+        rows = _joined(rows, wanted if by else F.broadcast(wanted), [*by, "_p"])  # without groups: two rows per probability
+        digits = F.shiftright("_i", max(0, 64 - settled - DIGIT)).alias("_q")
+        buckets = rows.groupBy(*by, *asked, digits).agg(F.sum("_c").alias("_s"), F.min("_v").alias("_v"))
+        buckets = buckets.withColumn("_upto", F.sum("_s").over(order))
+        wanted, last = _bucket(buckets, "", by), _bucket(buckets, "", by, "_v")
+    at = lambda name, side, what: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(what)))
+    ends = [at(n, side, "_v").alias(f"_{i}_{side}") for i, n in enumerate(names) for side in (0, 1)]
+    picked = last.groupBy(*by).agg(*ends, *[at(n, 0, "frac").alias(f"_{i}_f") for i, n in enumerate(names)])
+    out = []
+    for i, n in enumerate(names):
+        a, b, f = F.col(f"_{i}_0"), F.col(f"_{i}_1"), F.col(f"_{i}_f")
+        out.append(F.when(f > 0, a + (b - a) * f).otherwise(a).alias(n))
+        if method == "straddle":
+            out.append(b.alias(f"{n}_next"))
+    return picked.select(*by, *(out if method != "straddle" else out[::2] + out[1::2]))
+
+
+def _bucket(buckets: DataFrame, rank: str, by: Sequence[str], *more: str) -> DataFrame:
+    """The bucket that holds each wanted rank, and the rank inside it."""
+    k, before = F.col(f"{rank}k"), F.col("_upto") - F.col("_s")
+    names = [F.col(f"{rank}{c}").alias(c) for c in ("name", "side", "frac")]
+    return buckets.where((F.col("_upto") > k) & (before <= k)).select(*by, *names, (k - before).alias("k"), F.col("_q").alias("_p"), *more)
+
+
+def image(value: str) -> Column:
+    """A whole number of the same order as the double: its bits, the lower 63 turned round below zero."""
+    bits = F.expr(f"CAST(java_method('java.lang.Double', 'doubleToLongBits', {value}) AS bigint)")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null, which come from the left side; without keys, every row with every row of ``right``."""
+    renamed = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    test = F.lit(True)
+    for i, k in enumerate(keys):
+        test = test & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return left.join(renamed, test).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def with_position(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "pos") -> DataFrame:

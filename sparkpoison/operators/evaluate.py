@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkpoison.functions.numeric import round_to, share
-from sparkpoison.functions.stats import percentiles
+from sparkpoison.functions.stats import DIGIT, image, percentiles
 
 RATES = ["precision", "recall", "f1", "accuracy", "fpr"]
 
@@ -32,23 +32,27 @@ def confusion(predictions: DataFrame, by: Sequence[str] = ("dataset", "engine",
     return _rates(predictions.groupBy(*by).agg(*_counts(threshold)))
 
 
-def auc(predictions: DataFrame, by: Sequence[str] = ("dataset", "engine"), buckets: int = 1024) -> DataFrame:
+def auc(predictions: DataFrame, by: Sequence[str] = ("dataset", "engine")) -> DataFrame:
     """Area under the ROC curve: the share of (positive, negative) pairs in order, ties half.
 
-    Scores are first counted per distinct value; negatives below a score are summed over
-    coarse score ranges and then inside the range, so no group is ever put in one order.
+    Scores are counted per distinct value, and the values are the leaves of a trie over the 64 bits of their images, 16 bits
+    a level. A pair is won at the node where its two scores part, so each level adds positives times negatives of smaller
+    digits under the same prefix: no order is ever longer than 65536 counts, whatever the scores. Null scores are left out.
     """
     by = list(by)
-    counts = predictions.groupBy(*by, "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
-    ).withColumn("_b", F.floor(F.col("score") * buckets))
-    coarse = counts.groupBy(*by, "_b").agg(F.sum("neg").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(coarse, [*by, "_b"])
-    won = F.sum(F.col("pos") * (F.col("_base") + F.col("_in") + 0.5 * F.col("neg")))
-    out = ranked.groupBy(*by).agg(won.alias("_won"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    src = predictions.where(F.col("score").isNotNull()).withColumn("score", F.col("score").cast("double") + F.lit(0.0))
+    counts = src.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    level = counts.select(*by, "pos", "neg", image("score").alias("_q"))
+    won = counts.select(*by, "pos", "neg", (F.lit(0.5) * F.col("pos") * F.col("neg")).alias("_won"))
+    for digit in range(64 // DIGIT):
+        above = F.shiftright("_q", DIGIT) if digit < 64 // DIGIT - 1 else F.lit(0).cast("bigint")
+        level = level.withColumn("_p", above)
+        smaller = Window.partitionBy(*by, "_p").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+        beaten = F.col("pos") * F.coalesce(F.sum("neg").over(smaller), F.lit(0))
+        zero = F.lit(0).cast("bigint")
+        won = won.unionByName(level.select(*by, zero.alias("pos"), zero.alias("neg"), beaten.cast("double").alias("_won")))
+        level = level.groupBy(*by, F.col("_p").alias("_q")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    out = won.groupBy(*by).agg(F.sum("_won").alias("_won"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     pairs = F.col("positives") * F.col("negatives")
     return out.select(*by, "positives", "negatives", F.when(pairs > 0, F.col("_won") / pairs).alias("auc"))
 

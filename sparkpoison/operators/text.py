@@ -434,9 +434,10 @@ def shingles(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str =
         F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))),
         lambda i: F.array_join(F.slice("w", i, words), " "),
     )
-    grams = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
+    # Strings are made distinct in a hash set; an array of structs would be compared pair by pair.
+    pair = lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b"))
     worded = docs.select(doc_id, tokens.alias("w"))
-    return each(worded, [doc_id], F.when(F.size("w") > 0, F.array_distinct(grams)), "shingle")
+    return each(worded, [doc_id], F.when(F.size("w") > 0, F.transform(F.array_distinct(grams), pair)), "shingle")
 
 
 def copy_recurrence(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
