@@ -16,7 +16,11 @@ part more than elements may differ, some part is equal (pigeonhole): parts are j
   is folded (its halves XORed) to compare with a shorter one.
 * Equal sets are one node from the start. Inside a key, members meet the key's smallest
   member first; only members of different components found so are then compared with each
-  other, in blocks, by their sketches. A pair that meets under several keys is passed on where it meets first.
+  other, in blocks, by their sketches. Of the pairs that may link, a block passes on a minimum
+  spanning forest over the components, the most alike first: fewer rows than it has members.
+  Where all its edges are verified, its members are joined as all pairs would have joined
+  them; a block with an edge that fails is gone over once more, for every pair that is then
+  still apart. Keys of exactly the same members are compared once.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from sparkpoison.session import broadcast_if_small, checkpoint
 
 #: members of a key that one block of the second comparison holds
 BLOCK = 2048
-#: keys of a member by which repeated meetings are recognised; an unrecognised one is only verified twice
-KNOWN = 16
+#: 64-bit words of a sketch in the second comparison: four bits per element up to 512 elements, longer sketches are folded
+WORDS = 32
 _R = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -191,15 +195,17 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sketched(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, s, b): size, fingerprint, parity sketch and its 256-bit form of every row's set."""
+    """(doc_id, n_shingles, f1, f2, s, b): size, fingerprint, parity sketch and, where it is longer than WORDS, its folded form."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = Sets(text_bytes(batch.column(1)), n)
             sketch = sets.sketch()
-            brief = np.ascontiguousarray(_folded(sketch, 4).T).view(np.int64).ravel()
-            brief = pa.ListArray.from_arrays(pa.array(np.arange(sets.texts + 1) * 4, pa.int32()), pa.array(brief))
+            long = sketch.value_lengths().to_numpy() > WORDS
+            folded = np.ascontiguousarray(_folded(sketch.take(pa.array(np.flatnonzero(long))), WORDS).T).view(np.int64).ravel()
+            heads = pa.array(np.concatenate([[0], np.cumsum(long * WORDS)]), pa.int32(), mask=np.append(~long, False))
+            brief = pa.ListArray.from_arrays(heads, pa.array(folded))
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sets.size, pa.int64()), *map(_signed, sets.fingerprints()), sketch, brief],
                 ["doc_id", "n_shingles", "f1", "f2", "s", "b"],
@@ -320,16 +326,18 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     once = parts.where(has).groupBy("doc_id", "f1", "f2").count().where("count > 1").isEmpty()
 
     links = checkpoint(_verified(docs, _met(members, nodes, percent), n, percent, once))
-    found = checkpoint(connected_components(links))
-
-    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = checkpoint(named.select("f1", "f2", "rep", "n", "b", "component"))
-    # Keys whose members lie in different components, from narrow rows; only their members get their brief sketches.
-    placed = members.select("key", "f1").join(named.select("f1", "component"), "f1")
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    several = checkpoint(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")))
-    across = checkpoint(members.select("key", "f1").join(several, "key"))
-    more = checkpoint(_verified(docs, checkpoint(_across(across, named, nodes, percent)), n, percent, once))
+    cells = _apart(members, _named(nodes, links))
+    forest = _across(cells, percent, True)
+    more = checkpoint(_verified(docs, _both(forest, nodes, percent), n, percent, once))
+    # Blocks with a pair that was not a link: every pair of theirs that is still apart.
+    joined = connected_components(links.union(more))
+    for end in "uv":
+        at = joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        forest = forest.join(at, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    failed = checkpoint(forest.where("cu <> cv").select("key").distinct())
+    if not failed.isEmpty():
+        again = _apart(members.join(failed, "key", "left_semi"), _named(nodes, links.union(more)))
+        more = more.union(checkpoint(_verified(docs, _both(_across(again, percent, False), nodes, percent), n, percent, once)))
     parts_of = connected_components(links.union(more).union(_same_id(parts.where(has), nodes)))
     labels = nodes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
     labels = labels.where("copies > 1 OR component IS NOT NULL").select("f1", "f2", F.coalesce("component", "rep").alias("_c"))
@@ -350,51 +358,111 @@ def _same_id(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(first, "doc_id").where("u <> rep").select("u", F.col("rep").alias("v")).distinct()
 
 
-def _across(members: DataFrame, named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members(key, f1, g) of one key in different components that may link, each pair once.
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(f1, f2, rep, n, b, c) of every node: its component's number and its sketch of at most WORDS words."""
+    found = connected_components(links).withColumnRenamed("node", "rep")
+    number = F.xxhash64(F.coalesce("component", "rep"))  # any id type; equal components have equal numbers
+    return checkpoint(nodes.join(found, "rep", "left").select("f1", "f2", "rep", "n", F.coalesce("b", "s").alias("b"), number.alias("c")))
 
-    A key of more than BLOCK members is a grid of g x g blocks; a task holds two of them at a time and gives only
-    pairs that the brief sketches allow, where their first shared key is; then the whole sketches decide.
+
+def _apart(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Blocks (key, i, j, at, f1, f2, rep, n, b, c) of the keys whose members lie in different components.
+
+    A key of more than BLOCK members is a grid of g x g blocks. Of keys with the same members one is enough.
     """
-    kind = named.schema["rep"].dataType.simpleString()
-    # A set's smallest keys (it has as many as its sketch has parts): they tell most repeated meetings.
-    own = members.groupBy("f1").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN).alias("keys"))
-    number = F.xxhash64("component")  # any id type; equal components have equal numbers
-    brief = checkpoint(named.join(own, "f1").select("f1", "f2", "rep", "n", "b", number.alias("c"), "keys"))
-    cells = members.join(brief, "f1").withColumn("at", F.pmod(F.xxhash64("f1", "f2"), F.col("g")).cast("int"))
+    placed = members.select("key", "f1").join(named.select("f1", "f2", "c"), "f1")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "f1", "f2")).alias(f"x{k}") for k in (1, 2)]
+    keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *marks).where("lo < hi")
+    keys = keys.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))
+    keys = checkpoint(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")))
+    cells = checkpoint(members.select("key", "f1").join(keys, "key")).join(named, "f1")
+    cells = cells.withColumn("at", F.pmod(F.xxhash64("f1", "f2"), F.col("g")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "f1", "f2", "rep", "n", "b", "c", "keys")
+    return cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "f1", "f2", "rep", "n", "b", "c")
+
+
+def _across(cells: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(key, a1, a2, u, b1, b2, v): pairs of a block in different components that may link by their sketches.
+
+    Either a minimum spanning forest of them over the components, fewer rows than members, or all.
+    """
+    kind = cells.schema["rep"].dataType.simpleString()
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        get = lambda name: table[name].to_numpy()
-        key, size, block, component = table["key"][0].as_py(), get("n"), get("at"), get("c")
-        cross = len(np.unique(block)) > 1
-        bits = _folded(table["b"].combine_chunks(), 4)
-        keys = table["keys"].combine_chunks()
-        flat, heads = keys.flatten().to_numpy(), keys.offsets.to_numpy() - keys.offsets[0].as_py()
-        found = []
-        step = max(1, 1_000_000 // len(size))
-        for lo in range(0, len(size), step):
-            rows = slice(lo, lo + step)
-            total = size[rows, None] + size[None]
-            distance = sum(np.bitwise_count(b[rows, None] ^ b[None]).astype(np.int64) for b in bits)
-            ok = (distance * (100 + percent) <= total * (100 - percent)) & (component[rows, None] != component[None])
-            ok &= np.minimum(size[rows, None], size[None]) * 100 >= np.maximum(size[rows, None], size[None]) * percent
-            if cross:
-                ok &= block[rows, None] != block[None]
-            i, j = np.nonzero(ok)
-            i += lo
-            found += [(a, b) for a, b in zip(i[i < j].tolist(), j[i < j].tolist()) if _is_first(key, flat[heads[a] : heads[a + 1]], flat[heads[b] : heads[b + 1]])]
-        ends = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
-        columns = [table[name].combine_chunks().take(end) for end in ends for name in ("f1", "f2", "rep")]
-        return pa.RecordBatch.from_arrays(columns, ["a1", "a2", "u", "b1", "b2", "v"])
-
-    schema = f"a1 long, a2 long, u {kind}, b1 long, b2 long, v {kind}"
-    pairs = map_cells(cells, ["key", "i", "j"], schema, solve).select("a1", "a2", "b1", "b2").distinct()
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("f1", "ascending"), ("f2", "ascending")]))
+        size, block = table["n"].to_numpy(), table["at"].to_numpy()
+        part = np.unique(table["c"].to_numpy(), return_inverse=True)[1]
+        i, j, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for more in _near(size, block, part, table["b"].combine_chunks(), percent):
+            i, j, weight = (np.concatenate(x) for x in zip((i, j, weight), more))
+            if forest:
+                kept = _spanning(part, i, j, weight)
+                i, j, weight = i[kept], j[kept], weight[kept]
+        columns = [table[name].combine_chunks().take(pa.array(end)) for end in (i, j) for name in ("f1", "f2", "rep")]
+        key = pa.array(np.full(len(i), table["key"][0].as_py(), np.int64))
+        return pa.RecordBatch.from_arrays([key, *columns], ["key", "a1", "a2", "u", "b1", "b2", "v"])
+
+    schema = f"key long, a1 long, a2 long, u {kind}, b1 long, b2 long, v {kind}"
+    return checkpoint(map_cells(cells, ["key", "i", "j"], schema, solve))
+
+
+def _near(size: np.ndarray, block: np.ndarray, part: np.ndarray, sketches: pa.ListArray, percent: int):
+    """Arrays (i, j, share of unequal bits) of pairs i < j of different parts, and blocks if there are two, that may link."""
+    words = int(sketches.value_lengths().to_numpy().min())
+    bits = _folded(sketches, words)
+    # A bit per element tells most pairs apart; the others are looked at in full.
+    coarse = min(words, max(4, 1 << max(0, int(size.max() - 1) >> 6).bit_length()))
+    brief = np.bitwise_xor.reduce(bits.reshape(-1, coarse, len(size)), axis=0)
+    cross = block.min() < block.max()
+    left, right = (np.flatnonzero(block == f(block)) for f in (np.min, np.max))
+    step = max(1, 1_000_000 // len(right))
+    for lo in range(0, len(left), step):
+        rows, columns = left[lo : lo + step], right if cross else right[lo:]
+        a, b = size[rows, None], size[None, columns]
+        ok = (part[rows, None] != part[None, columns]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+        apart = np.zeros(ok.shape, np.int32)
+        for x in brief:
+            apart += np.bitwise_count(x[rows, None] ^ x[None, columns])
+        i, j = np.nonzero(ok & (apart * (100 + percent) <= (a + b) * (100 - percent)))
+        i, j = rows[i], columns[j]
+        if not cross:
+            i, j = i[i < j], j[i < j]
+        apart, total = np.zeros(len(i), np.int64), size[i] + size[j]
+        for x in bits:
+            apart += np.bitwise_count(x[i] ^ x[j])
+        ok = apart * (100 + percent) <= total * (100 - percent)
+        yield i[ok], j[ok], apart[ok] / total[ok]
+
+
+def _spanning(part: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges (i, j) of a minimum spanning forest over the parts; ties go to the smaller ends."""
+    order = np.lexsort((j, i, weight))
+    a, b, alive = part[i[order]], part[j[order]], np.arange(len(order))
+    chosen = np.zeros(len(order), bool)
+    while len(alive):
+        best = np.full(int(part.max()) + 1, len(order))  # the lightest edge that leaves each part
+        np.minimum.at(best, a, alive)
+        np.minimum.at(best, b, alive)
+        picked = np.unique(best[best < len(order)])
+        chosen[picked] = True
+        at = np.searchsorted(alive, picked)
+        x, y, root = a[at], b[at], np.arange(len(best))
+        while (root[x] != root[y]).any():
+            np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+        a, b = root[a], root[b]
+        a, b, alive = a[a != b], b[a != b], alive[a != b]
+    return order[chosen]
+
+
+def _both(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the different ones of the pairs, as far as the whole sketches allow them."""
+    pairs = pairs.select("a1", "a2", "b1", "b2").distinct()
     for side in ("a", "b"):
         node = nodes.select(F.col("f1").alias(f"{side}1"), F.col("f2").alias(f"{side}2"), F.struct("f1", "f2", "rep", "n", "s").alias(side))
         pairs = pairs.join(node, [f"{side}1", f"{side}2"])
-    return pairs.where(_may_link(percent, "a", "b")).select("a", "b")
+    return checkpoint(pairs.where(_may_link(percent, "a", "b")).select("a", "b"))
 
 
 def _folded(column: pa.ListArray, words: int) -> np.ndarray:
@@ -408,15 +476,6 @@ def _folded(column: pa.ListArray, words: int) -> np.ndarray:
     return out
 
 
-def _is_first(key: int, x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted arrays have no common value below ``key``: the pair has not been passed on before."""
-    x, y = x[: np.searchsorted(x, key)], y[: np.searchsorted(y, key)]
-    if not len(x) or not len(y):
-        return True
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return not (y[at] == x).any()
-
-
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` with one document, the one of smallest id, of each component; same columns.
 
