@@ -118,10 +118,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, at_least: f
     named = items.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("item_id"), "text")
     found = find_contained(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), named, n, at_least)
     keys = checkpoint(found.select("k1", "k2").distinct())
-    k1, k2 = text_key(F.col(text))
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(
-        broadcast_if_small(keys.toDF("_k1", "_k2")), ["_k1", "_k2"], "left_anti"
-    ).drop("_k1", "_k2")
+    # Columns go by position, so none of their names meets a key's.
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    k1, k2 = text_key(F.col(inner[docs.columns.index(text)]))
+    kept = docs.toDF(*inner).withColumns({"k1": k1, "k2": k2}).join(broadcast_if_small(keys), ["k1", "k2"], "left_anti")
+    return kept.select(*inner).toDF(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,10 @@ def filter_urls(
     counted = listed.agg(F.array_sort(F.collect_set(F.size(F.split("key", r"\.", -1)))).alias("k")).first()["k"]
     list_labels = [k for k in counted if k > 0]  # different label numbers, not keys
     host, path = url_parts(F.col(url))
-    judged = pages.withColumn("host", host).withColumn("path", path)
+    # Other columns go by position, so none of their names meets one used here.
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [f"c{k}" for k in range(len(names))]
+    judged = pages.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, kept)), host.alias("host"), path.alias("path"))
 
     def rule_keys(h: Column, p: Column) -> Column:
         prefixes = [F.when(F.length(p) >= n, F.substring(p, 1, n)) for n in lengths]
@@ -219,12 +222,8 @@ def filter_urls(
     )
     on_list = F.exists(_suffixes(F.col("host"), list_labels), lambda k: cascade.contains(F.concat(F.lit("list "), k))) if list_labels else F.lit(False)
     best = F.array_max(found)
-    return (
-        judged.withColumn("_best", best)
-        .withColumn("rule", F.col("_best.rule"))
-        .withColumn("verdict", F.coalesce("_best.verdict", F.when(on_list, "block").otherwise("allow")))
-        .drop("_best")
-    )
+    verdict = F.coalesce("best.verdict", F.when(on_list, "block").otherwise("allow"))
+    return judged.withColumn("best", best).select(*kept, "host", "path", "best.rule", verdict).toDF(*names, "host", "path", "rule", "verdict")
 
 
 #: rules of the registered query

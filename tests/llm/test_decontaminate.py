@@ -59,3 +59,9 @@ def test_drop_needs_no_item_id(spark):
     items = spark.createDataFrame([(None, "a b c d e"), (7, "q r s t u")], "item_id long, text string")
     assert [r["doc_id"] for r in D.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [2, 3]
     assert D.find_contained(docs, items).count() == 0  # a result names its item
+
+
+def test_drop_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 4, 5, 6), (2, "quite another text of some words", 4, 5, 6)], "doc_id long, text string, _k1 int, k1 int, c0 int")
+    items = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+    assert [tuple(r) for r in D.drop_contaminated(docs, items).collect()] == [(2, "quite another text of some words", 4, 5, 6)]

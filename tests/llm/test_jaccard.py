@@ -116,3 +116,33 @@ def test_one_id_with_several_texts(spark):
     assert sorted(map(tuple, J.near_duplicates(frame(spark, rows)).collect())) == brute(rows)
     assert {c for i, _, c in brute(rows) if i != 11} == {2}
     assert sorted(r["doc_id"] for r in J.drop_near_duplicates(frame(spark, rows)).collect()) == [2, 11]
+
+
+def relatives(n_docs, words, changed, seed=3):
+    """Texts with one origin, each with its own changed words: the origin is no member."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(words)]
+    rows = []
+    for k in range(n_docs):
+        w = list(base)
+        for at in rng.sample(range(words), changed):
+            w[at] = word()
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("changed", [6, 8, 9])
+def test_family_around_the_limit(spark, monkeypatch, changed):
+    """Few, some, and hardly any of a family's pairs link; rows out of the blocks stay below those that go in."""
+    seen, across = [], J._across
+
+    def watched(cells, percent, forest):
+        out = across(cells, percent, forest)
+        seen.append((forest, cells.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "_across", watched)
+    rows = relatives(150, 300, changed)
+    assert sorted(map(tuple, J.near_duplicates(frame(spark, rows)).collect())) == brute(rows)
+    assert seen[0][0] and seen[0][2] <= seen[0][1]

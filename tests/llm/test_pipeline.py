@@ -7,6 +7,7 @@ import brute
 import corpus_pipeline
 
 import pytest
+from pyspark.sql import functions as F
 
 from test_decontaminate import brute as contained
 from test_jaccard import brute as components
@@ -89,3 +90,17 @@ def test_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             part = stage(spark, part, SF)
         part.count()
+
+
+def test_clashing_columns(spark):
+    """Columns of the documents named as the stages' own stay as they are."""
+    extra = {"score": 7, "predicted": 8, "_k1": 9, "_k2": 10, "k1": 11, "k2": 12, "f1": 13, "_text": 14, "c0": 15, "component_id": 16}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name, value in extra.items():
+        docs = docs.withColumn(name, F.lit(value))
+    part = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        part = stage(spark, part, SF)
+        assert part.columns == docs.columns
+    rows = part.collect()
+    assert rows and all(r[name] == value for r in rows for name, value in extra.items())

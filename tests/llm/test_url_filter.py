@@ -72,3 +72,10 @@ def test_shards_are_exact(spark):
 
 def test_query(spark, sf_dir):
     assert harness.compare(spark, harness.connect(sf_dir), U.op1_url_filter, U.ORACLE_SQL["op1_url_filter"], sf_dir)[0] is None
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([("http://a.net/fr/x", 1, 2, 3, "old")], "url string, _best int, best int, c0 int, verdict string")
+    got = U.filter_urls(pages, U.RULES, spark.createDataFrame([], "key string"))
+    assert got.columns == ["url", "_best", "best", "c0", "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == ("http://a.net/fr/x", 1, 2, 3, "a.net", "/fr/x", "net/fr/", "block")
