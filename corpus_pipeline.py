@@ -19,7 +19,9 @@ from sparkpoison.session import shared_dir
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from their labels, does not reject."""
     forest = quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.classify(docs, forest).where("predicted = 1").select(*docs.columns)
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # a column score or predicted of the documents is theirs
+    judged = quality.classify(docs.toDF(*inner), forest, text=inner[docs.columns.index("text")])
+    return judged.where("predicted = 1").select(*inner).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is a table in the shared folder, which the next one reads."""
+    """All stages over ``documents``; what a stage keeps is a table in the shared folder, which the next one reads.
+
+    The result reads the last of these tables, so they are not removed here: the folder's owner does, as with checkpoints.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES[:-1]):
