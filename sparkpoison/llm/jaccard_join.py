@@ -19,8 +19,12 @@ part more than elements may differ, some part is equal (pigeonhole): parts are j
   other, in blocks, by their sketches. Of the pairs that may link, a block passes on a minimum
   spanning forest over the components, the most alike first: fewer rows than it has members.
   Where all its edges are verified, its members are joined as all pairs would have joined
-  them; a block with an edge that fails is gone over once more, for every pair that is then
-  still apart. Keys of exactly the same members are compared once.
+  them. Keys of exactly the same members are compared once.
+* Links and forest edges, those that failed too, connect every pair that may link, so they
+  cut the sets into families. In a family that is still apart, whole sketches are compared
+  once a pair, whatever number of keys it shares; members that may link to another component
+  are then compared on the sets themselves. Members and spanning forests leave the blocks,
+  never pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from sparkpoison.session import broadcast_if_small, checkpoint
 
 #: members of a key that one block of the second comparison holds
 BLOCK = 2048
+#: bytes of sketches or sets that one block of a family holds, unless one member has more
+BLOCK_BYTES = 16 << 20
 #: 64-bit words of a sketch in the second comparison: four bits per element up to 512 elements, longer sketches are folded
 WORDS = 32
 _R = np.uint64(0x9FB21C651E98DF25)
@@ -123,6 +129,10 @@ class Sets:
         """128 bits of every set."""
         return self.sums(0x8EBC6AF09C88C6E3), self.sums(0x589965CC75374CC3)
 
+    def lists(self) -> pa.ListArray:
+        """Every set as sorted 64-bit hashes."""
+        return pa.ListArray.from_arrays(pa.array(self.first, pa.int32()), _signed(self.hash))
+
     def sketch(self) -> pa.ListArray:
         """Parity bits of every set, a power of two of at least 256 and four per element, as 64-bit numbers."""
         words = 4 << np.ceil(np.log2(np.maximum(self.size / 64, 1))).astype(np.int64)
@@ -249,8 +259,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, once: bool) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = Sets(text_bytes(batch.column(0)), n)
-            lists = pa.ListArray.from_arrays(pa.array(sets.first, pa.int32()), _signed(sets.hash))
-            return pa.RecordBatch.from_arrays([*map(_signed, sets.fingerprints()), lists], ["f1", "f2", "hashes"])
+            return pa.RecordBatch.from_arrays([*map(_signed, sets.fingerprints()), sets.lists()], ["f1", "f2", "hashes"])
 
         return step
 
@@ -326,19 +335,13 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     once = parts.where(has).groupBy("doc_id", "f1", "f2").count().where("count > 1").isEmpty()
 
     links = checkpoint(_verified(docs, _met(members, nodes, percent), n, percent, once))
-    cells = _apart(members, _named(nodes, links))
-    forest = _across(cells, percent, True)
-    more = checkpoint(_verified(docs, _both(forest, nodes, percent), n, percent, once))
-    # Blocks with a pair that was not a link: every pair of theirs that is still apart.
-    joined = connected_components(links.union(more))
-    for end in "uv":
-        at = joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        forest = forest.join(at, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    failed = checkpoint(forest.where("cu <> cv").select("key").distinct())
-    if not failed.isEmpty():
-        again = _apart(members.join(failed, "key", "left_semi"), _named(nodes, links.union(more)))
-        more = more.union(checkpoint(_verified(docs, _both(_across(again, percent, False), nodes, percent), n, percent, once)))
-    parts_of = connected_components(links.union(more).union(_same_id(parts.where(has), nodes)))
+    forest = _across(_apart(members, _named(nodes, links)), percent)
+    more = links.union(checkpoint(_verified(docs, _both(forest, nodes, percent), n, percent, once)))
+    families = _open_families(nodes, more, forest)
+    wanted = _open_members(families, percent)
+    if not wanted.isEmpty():
+        more = more.union(_within(families.join(wanted.drop("rep"), ["key", "f1", "f2"]), _sets(docs, wanted, n, once), percent))
+    parts_of = connected_components(more.union(_same_id(parts.where(has), nodes)))
     labels = nodes.join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
     labels = labels.where("copies > 1 OR component IS NOT NULL").select("f1", "f2", F.coalesce("component", "rep").alias("_c"))
     out = parts.select("doc_id", "n_shingles", "f1", "f2").join(labels, ["f1", "f2"], "left")
@@ -376,15 +379,20 @@ def _apart(members: DataFrame, named: DataFrame) -> DataFrame:
     keys = keys.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))
     keys = checkpoint(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("g")))
     cells = checkpoint(members.select("key", "f1").join(keys, "key")).join(named, "f1")
+    return _grid(cells).select("key", "i", "j", "at", "f1", "f2", "rep", "n", "b", "c")
+
+
+def _grid(cells: DataFrame) -> DataFrame:
+    """Each row of a group of ``g`` blocks, once for every cell (i, j) that its block ``at`` belongs to."""
     cells = cells.withColumn("at", F.pmod(F.xxhash64("f1", "f2"), F.col("g")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    return cells.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "f1", "f2", "rep", "n", "b", "c")
+    return cells.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")})
 
 
-def _across(cells: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(key, a1, a2, u, b1, b2, v): pairs of a block in different components that may link by their sketches.
+def _across(cells: DataFrame, percent: int) -> DataFrame:
+    """(a1, a2, u, b1, b2, v): a minimum spanning forest, over the components, of a block's pairs that may link.
 
-    Either a minimum spanning forest of them over the components, fewer rows than members, or all.
+    Its rows are fewer than the block's members.
     """
     kind = cells.schema["rep"].dataType.simpleString()
 
@@ -395,17 +403,132 @@ def _across(cells: DataFrame, percent: int, forest: bool) -> DataFrame:
         i, j, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for more in _near(size, block, part, table["b"].combine_chunks(), percent):
             i, j, weight = (np.concatenate(x) for x in zip((i, j, weight), more))
-            if forest:
-                kept = _spanning(part, i, j, weight)
-                i, j, weight = i[kept], j[kept], weight[kept]
+            kept = _spanning(part, i, j, weight)
+            i, j, weight = i[kept], j[kept], weight[kept]
         columns = [table[name].combine_chunks().take(pa.array(end)) for end in (i, j) for name in ("f1", "f2", "rep")]
-        key = pa.array(np.full(len(i), table["key"][0].as_py(), np.int64))
-        return pa.RecordBatch.from_arrays([key, *columns], ["key", "a1", "a2", "u", "b1", "b2", "v"])
+        return pa.RecordBatch.from_arrays(columns, ["a1", "a2", "u", "b1", "b2", "v"])
 
-    schema = f"key long, a1 long, a2 long, u {kind}, b1 long, b2 long, v {kind}"
+    schema = f"a1 long, a2 long, u {kind}, b1 long, b2 long, v {kind}"
     return checkpoint(map_cells(cells, ["key", "i", "j"], schema, solve))
 
 
+def _open_families(nodes: DataFrame, links: DataFrame, forest: DataFrame) -> DataFrame:
+    """(key, f1, f2, rep, n, s, c): members of families, numbered by ``key``, that still have several components ``c``."""
+    number = F.xxhash64("component")
+    family = connected_components(links.union(forest.select("u", "v")).distinct()).select(F.col("node").alias("rep"), number.alias("key"))
+    part = connected_components(links).select(F.col("node").alias("rep"), number.alias("c"))
+    placed = checkpoint(family.join(part, "rep", "left").select("rep", "key", F.coalesce("c", F.xxhash64("rep")).alias("c")))
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    placed = placed.join(broadcast_if_small(several), "key")  # a family may hold most rows
+    return checkpoint(placed.join(nodes.select("f1", "f2", "rep", "n", "s"), "rep").select("key", "f1", "f2", "rep", "n", "s", "c"))
+
+
+def _family_cells(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` of families as cells of blocks with BLOCK members and BLOCK_BYTES of ``size`` on average."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
+    return _grid(rows.join(broadcast_if_small(rows.groupBy("key").agg(blocks.alias("g"))), "key"))
+
+
+def _open_members(families: DataFrame, percent: int) -> DataFrame:
+    """(key, f1, f2, rep) of the members that may, by their whole sketches, link to another component of their family."""
+    kind = families.schema["rep"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        found = np.zeros(len(table), bool)
+        part = np.unique(table["c"].to_numpy(), return_inverse=True)[1]
+        for i, j in _alike(table["n"].to_numpy(), table["at"].to_numpy(), part, table["s"].combine_chunks(), percent):
+            found[i] = found[j] = True
+        rows = table.select(["key", "f1", "f2", "rep"]).filter(pa.array(found)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns], rows.column_names)
+
+    cells = _family_cells(families, F.size("s") * 8).select("key", "i", "j", "at", "f1", "f2", "rep", "n", "s", "c")
+    return checkpoint(map_cells(cells, ["key", "i", "j"], f"key long, f1 long, f2 long, rep {kind}", solve).distinct())
+
+
+def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between components of a family, as a spanning forest of each block, decided on the sets."""
+    kind = members.schema["rep"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("f1", "ascending"), ("f2", "ascending")]))
+        part = np.unique(table["c"].to_numpy(), return_inverse=True)[1]
+        held = _Held(table["hashes"].combine_chunks())
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i, j in _alike(table["n"].to_numpy(), table["at"].to_numpy(), part, table["s"].combine_chunks(), percent):
+            ok = held.link(i, j, percent)
+            i, j = i[ok], j[ok]
+            kept = _spanning(part, i, j, np.zeros(len(i)))
+            found.append((i[kept], j[kept]))
+            part[:] = _joined(int(part.max()) + 1, part[i[kept]], part[j[kept]])[part]  # no more pairs of these
+        rep = table["rep"].combine_chunks()
+        return pa.RecordBatch.from_arrays([rep.take(pa.array(np.concatenate(x))) for x in zip(*found)], ["u", "v"])
+
+    cells = _family_cells(members, F.col("n") * 8 + F.size("s") * 8).join(sets, ["f1", "f2"])
+    cells = cells.select("key", "i", "j", "at", "f1", "f2", "rep", "n", "s", "c", "hashes")
+    return checkpoint(map_cells(cells, ["key", "i", "j"], f"u {kind}, v {kind}", solve).distinct())
+
+
+class _Held:
+    """Sets of a block, their elements numbered."""
+
+    def __init__(self, sets: pa.ListArray):
+        self.size, self.first = sets.value_lengths().to_numpy().astype(np.int64), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        self.ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        self.marked = np.zeros(int(self.ids.max(initial=0)) + 1, bool)
+
+    def link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets i and j link; quick where pairs of one i stand together."""
+        out = np.zeros(len(i), bool)
+        cuts = np.flatnonzero(np.diff(i, prepend=-1, append=-1)) if len(i) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = self.ids[self.first[i[lo]] : self.first[i[lo] + 1]]
+            self.marked[own] = True
+            for b in range(lo, hi, 256):
+                other = j[b : min(b + 256, hi)]
+                size = self.size[other]
+                heads = np.cumsum(size) - size
+                at = np.repeat(self.first[other] - heads, size) + np.arange(size.sum())
+                both = np.add.reduceat(self.marked[self.ids[at]], heads, dtype=np.int64)
+                out[b : b + len(other)] = both * 100 >= (len(own) + size - both) * percent
+            self.marked[own] = False
+        return out
+
+
+def _alike(size: np.ndarray, block: np.ndarray, part: np.ndarray, sketches: pa.ListArray, percent: int):
+    """Arrays (i, j), in the order of i, of pairs of different parts, and blocks if there are two, that may link by whole sketches.
+
+    ``part`` may be joined further by the caller between two steps. Lengths of sketches differ as sizes do, so a class of
+    lengths meets itself and the next ones. Unequal bits of a part of the words already bound the difference.
+    """
+    words = sketches.value_lengths().to_numpy().astype(np.int64)
+    cross = block.min() < block.max()
+    reach = math.ceil(math.log2(100 / percent))
+    for w in np.unique(words):
+        near = np.flatnonzero((words >= w) & (words <= w << reach))
+        bits = _folded(sketches.take(pa.array(near)), int(w))
+        left = np.flatnonzero(words[near] == w)
+        step = max(1, 1_000_000 // len(near))
+        for lo in range(0, len(left), step):
+            rows = left[lo : lo + step]
+            x, y = near[rows][:, None], near[None, :]
+            ok = (part[x] != part[y]) & (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent)
+            ok &= (words[y] > w) | (x < y)
+            if cross:
+                ok &= block[x] != block[y]
+            done = max(4, int(w) // 8)
+            apart = np.zeros(ok.shape, np.int32)
+            for v in bits[:done]:
+                apart += np.bitwise_count(v[rows, None] ^ v[None, :])
+            i, j = np.nonzero(ok & (apart * (100 + percent) <= (size[x] + size[y]) * (100 - percent)))
+            apart, i = apart[i, j].astype(np.int64), rows[i]
+            while done < w and len(i):
+                for v in bits[done : 2 * done]:
+                    apart += np.bitwise_count(v[i] ^ v[j])
+                ok = apart * (100 + percent) <= (size[near[i]] + size[near[j]]) * (100 - percent)
+                i, j, apart, done = i[ok], j[ok], apart[ok], 2 * done
+            yield near[i], near[j]
+
+
 def _near(size: np.ndarray, block: np.ndarray, part: np.ndarray, sketches: pa.ListArray, percent: int):
     """Arrays (i, j, share of unequal bits) of pairs i < j of different parts, and blocks if there are two, that may link."""
     words = int(sketches.value_lengths().to_numpy().min())
@@ -446,16 +569,22 @@ def _spanning(part: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray
         picked = np.unique(best[best < len(order)])
         chosen[picked] = True
         at = np.searchsorted(alive, picked)
-        x, y, root = a[at], b[at], np.arange(len(best))
-        while (root[x] != root[y]).any():
-            np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
-            while not np.array_equal(root, root[root]):
-                root = root[root]
+        root = _joined(len(best), a[at], b[at])
         a, b = root[a], root[b]
         a, b, alive = a[a != b], b[a != b], alive[a != b]
     return order[chosen]
 
 
+def _joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below ``n`` that each one reaches by the edges (x, y)."""
+    root = np.arange(n)
+    while (root[x] != root[y]).any():
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    return root
+
+
 def _both(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): the different ones of the pairs, as far as the whole sketches allow them."""
     pairs = pairs.select("a1", "a2", "b1", "b2").distinct()

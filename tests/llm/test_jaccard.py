@@ -135,14 +135,42 @@ def relatives(n_docs, words, changed, seed=3):
 @pytest.mark.parametrize("changed", [6, 8, 9])
 def test_family_around_the_limit(spark, monkeypatch, changed):
     """Few, some, and hardly any of a family's pairs link; rows out of the blocks stay below those that go in."""
-    seen, across = [], J._across
+    seen = {}
 
-    def watched(cells, percent, forest):
-        out = across(cells, percent, forest)
-        seen.append((forest, cells.count(), out.count()))
-        return out
+    def watch(name):
+        call = getattr(J, name)
 
-    monkeypatch.setattr(J, "_across", watched)
+        def watched(rows, *rest):
+            out = call(rows, *rest)
+            seen[name] = rows.count(), out.count()
+            return out
+
+        monkeypatch.setattr(J, name, watched)
+
+    for name in ("_across", "_open_members", "_within"):
+        watch(name)
     rows = relatives(150, 300, changed)
     assert sorted(map(tuple, J.near_duplicates(frame(spark, rows)).collect())) == brute(rows)
-    assert seen[0][0] and seen[0][2] <= seen[0][1]
+    assert all(out <= into for into, out in seen.values()) and {"_across", "_open_members"} <= set(seen)
+
+
+@pytest.mark.parametrize("block_bytes", [J.BLOCK_BYTES, 20_000])
+def test_long_texts_of_one_family(spark, monkeypatch, block_bytes):
+    """Sketches longer than the folded ones, which let every pair of such texts pass; sizes of one family differ."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", block_bytes)
+    rows = relatives(24, 6000, 60, seed=4)  # near 0.85
+    rows += [(100 + k, t + " " + t[: len(t) * k // 12]) for k, (_, t) in enumerate(rows[:12])]
+    rows += [(200 + k, t[: len(t) // 2]) for k, (_, t) in enumerate(rows[:4])]
+    assert sorted(map(tuple, J.near_duplicates(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_whole_sketches_lose_no_pair():
+    """Every linked pair of different parts is among those that the sketches let pass, in both sorts of blocks."""
+    rows = relatives(60, 700, 7, seed=5) + [(60 + k, t) for k, (_, t) in enumerate(relatives(20, 5000, 50, seed=6))]
+    sets = J.Sets([t.encode() for _, t in rows], 4)
+    held = J._Held(sets.lists())
+    links = {(i, j) for i in range(80) for j in range(i) if held.link(np.array([i]), np.array([j]), 85)[0]}
+    assert links
+    for block in (np.zeros(80, int), np.arange(80) % 2):
+        found = {(max(p), min(p)) for i, j in J._alike(sets.size, block, np.arange(80), sets.sketch(), 85) for p in zip(i.tolist(), j.tolist())}
+        assert {p for p in links if block.max() == 0 or block[p[0]] != block[p[1]]} <= found
