@@ -1,10 +1,9 @@
 """Density clustering of embeddings per batch, and connected components.
 
-Vectors of a batch are cut into cells of at most ``_BLOCK`` rows by a tree of pivots. Two cells
-are compared only if the triangle inequality on angles leaves room for a neighbour, each
-pair of cells is one group of matrix products, and a task returns counts or one star per
-local component, never the pairs themselves. So output stays linear in the vectors, and a
-batch of any size is spread over many tasks.
+Vectors of a batch are dealt to a bounded number of tiles, and every pair of tiles is one task, so
+rows sent grow with the vectors. A task cuts its tiles into cells of at most ``_BLOCK`` rows by
+a tree of pivots and multiplies two cells only if the triangle inequality on angles leaves room
+for a neighbour; it returns counts or one star per local component, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -16,12 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkpoison.functions.stats import with_position
-from sparkpoison.functions.vector import dot
 from sparkpoison.session import broadcast_if_small, checkpoint
 
 #: points of one cell at most, as long as pivots can tell them apart, and pivots about which a larger one is divided
 _BLOCK = 2048
 _FAN = 32
+#: points of a tile at least, tiles of a batch at most, and bytes of a tile beyond which there are more
+_TILE = 256
+_TILES = 12
+_TILE_BYTES = 128 << 20
+#: rows and pairs of one matrix product
+_ROWS = 1024
+_PRODUCT = 1 << 20
 _GROUP = 50_000
 
 
@@ -87,130 +92,212 @@ def _ddl(kind: pa.DataType) -> str:
     return {"int32": "int", "int64": "bigint", "double": "double"}[str(kind)]
 
 
-def _blocks(points: DataFrame, theta: float, block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points with their cell, pairs of cells that may hold near points) of ``points(batch_id, vec_id, embedding, weight)``.
+def _tiles(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points with their tile, pairs of tiles) of ``points(batch_id, vec_id, embedding, …)``.
 
-    A tree of pivots: a cell of more than ``block`` points is divided among some 32 of its own
-    points by nearness, again and again, so the number of pivots grows with the batch. Pairs
-    descend with the tree: only children of a pair that may still hold near points are paired,
-    and the triangle inequality on angles to the pivots rules pairs out. A cell that does not
-    shrink, because its points are alike, is dealt by hash around the same pivot.
+    A batch is dealt by hash to tiles whose number is bounded, so a point meets the batch in that many tasks however large
+    the batch is; only beyond ``_TILE_BYTES`` a tile, which bound a task's memory, are there more. Every pair of tiles is one task.
     """
-    block = block or _BLOCK
-    placed = checkpoint(points.withColumns({"cell": F.xxhash64("batch_id"), "part": F.lit(0)}))
-    pairs = placed.select("batch_id", F.col("cell").alias("ca"), F.col("cell").alias("cb")).distinct()
-    known = None  # cell, centroid, norm, radius of every cell but the roots
-    angle = F.acos(F.greatest(F.least(1.0 - F.col("distance"), F.lit(1.0)), F.lit(-1.0)))
-    level = 0
-    while True:
-        large = checkpoint(placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > block))
-        if large.isEmpty():
-            break
-        level += 1
-        over = placed.join(broadcast_if_small(large), "cell")
-        chosen = over.where(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.col("_n")) < _FAN)
-        pivots = checkpoint(chosen.select(F.col("cell").alias("batch_id"), F.col("vec_id").alias("label"), F.col("embedding").alias("centroid")))
-        near = two_nearest(over.select(F.col("cell").alias("batch_id"), "vec_id", "embedding"), pivots)
-        moved = checkpoint(over.join(near.select("vec_id", "nearest", "distance"), "vec_id"))
-        held = moved.groupBy("cell", "nearest").agg(F.count("*").alias("_c"), F.first("_n").alias("_of"))
-        parts = held.select("cell", "nearest", F.when(F.col("_c") > 0.9 * F.col("_of"), F.ceil(F.col("_c") / block)).otherwise(1).alias("_parts"))
-        child = F.xxhash64("cell", "nearest", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("_parts")))
-        moved = checkpoint(moved.join(broadcast_if_small(checkpoint(parts)), ["cell", "nearest"]).withColumn("child", child))
-        norm = F.sqrt(dot("centroid", "centroid"))
-        fresh = (
-            moved.groupBy("cell", "child", "nearest").agg(F.max(angle).alias("radius"))
-            .join(pivots.select(F.col("batch_id").alias("cell"), F.col("label").alias("nearest"), "centroid"), ["cell", "nearest"])
-            .withColumn("norm", F.when(norm > 0, norm).otherwise(1.0))
-        )
-        fresh = checkpoint(fresh.select("cell", "child", "centroid", "norm", "radius"))
-        about = fresh.select(F.col("child").alias("cell"), "centroid", "norm", "radius")
-        known = about if known is None else checkpoint(known.join(large, "cell", "left_anti").unionByName(about))
-        pairs = checkpoint(_descended(pairs, fresh.select("cell", "child"), known, theta))
-        kept = [c for c in placed.columns if c != "cell"]
-        placed = checkpoint(
-            placed.join(large, "cell", "left_anti").select("cell", *kept).unionByName(moved.select(F.col("child").alias("cell"), *kept))
-        )
-    return placed, pairs.select("batch_id", "ca", F.lit(0).alias("pa"), "cb", F.lit(0).alias("pb"))
-
+    sizes = points.groupBy("batch_id").agg(F.count("*").alias("_n"), F.max(F.size("embedding")).alias("_d"))
+    fit = F.ceil(F.col("_n") * F.col("_d") * 8 / _TILE_BYTES)
+    tiles = F.greatest(F.least(F.ceil(F.col("_n") / _TILE), F.lit(_TILES)), fit, F.lit(1)).cast("bigint")
+    sizes = checkpoint(sizes.select("batch_id", tiles.alias("_tiles")))
+    placed = points.join(broadcast_if_small(sizes), "batch_id").withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("_tiles"))).drop("_tiles")
+    each = F.sequence(F.lit(0).cast("bigint"), F.col("_tiles") - 1)
+    pairs = sizes.select("batch_id", "_tiles", F.explode(each).alias("ta"))
+    pairs = pairs.select("batch_id", "ta", F.explode(F.sequence("ta", F.col("_tiles") - 1)).alias("tb"))
+    return checkpoint(placed), broadcast_if_small(checkpoint(pairs))
 
-def _descended(pairs: DataFrame, children: DataFrame, known: DataFrame, theta: float) -> DataFrame:
-    """Pairs of cells with the divided ones replaced by their children, as far as these may hold near points."""
-    below = pairs
-    for side in ("ca", "cb"):
-        down = children.select(F.col("cell").alias(side), F.col("child").alias("_down"))
-        below = below.join(down, side, "left").withColumn(side, F.coalesce("_down", side)).drop("_down")
-    below = below.select("batch_id", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
-    about = lambda side: known.select(F.col("cell").alias(f"c{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("centroid", "norm", "radius")])
-    both = below.join(about("a"), "ca", "left").join(about("b"), "cb", "left")
-    cosine = dot("centroid_a", "centroid_b") / (F.col("norm_a") * F.col("norm_b"))
-    apart = F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
-    # A cell that was never divided has no pivot; it pairs with itself only.
-    near = F.coalesce(apart <= F.col("radius_a") + F.col("radius_b") + theta + 1e-6, F.lit(True))
-    return both.where(near | (F.col("ca") == F.col("cb"))).select("batch_id", "ca", "cb")
 
-
-_PAIR = ["batch_id", "ca", "pa", "cb", "pb"]
+_PAIR = ["batch_id", "ta", "tb"]
 
 
 def _per_pair(points: DataFrame, pairs: DataFrame, columns: Sequence[str], fn, ddl: str) -> DataFrame:
-    """Run ``fn(left rows, right rows)`` on the members of every block pair."""
+    """Run ``fn(left rows, right rows)`` on the members of every pair of tiles; a tile meets itself with no right rows."""
     cols = [*_PAIR, "vec_id", "embedding", *columns]
-    left = pairs.join(
-        points.withColumnsRenamed({"cell": "ca", "part": "pa"}), ["batch_id", "ca", "pa"]
-    ).select(*cols)
-    right = (
-        pairs.where((F.col("ca") != F.col("cb")) | (F.col("pa") != F.col("pb")))
-        .join(points.withColumnsRenamed({"cell": "cb", "part": "pb"}), ["batch_id", "cb", "pb"])
-        .select(*cols)
-    )
+    left = points.withColumnRenamed("tile", "ta").join(pairs, ["batch_id", "ta"]).select(*cols)
+    right = points.withColumnRenamed("tile", "tb").join(pairs.where("ta <> tb"), ["batch_id", "tb"]).select(*cols)
     return left.groupBy(*_PAIR).cogroup(_renewed(right, cols).groupBy(*_PAIR)).applyInArrow(fn, ddl)
 
 
-def _neighbour_weight(points: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+def _same(left: pa.Table) -> bool:
+    """Whether the rows are of a tile that meets itself."""
+    return left.num_rows > 0 and left.column("ta")[0] == left.column("tb")[0]
+
+
+def _cells(unit: np.ndarray, block: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(order, bounds, centres, radii): the rows cut into cells of at most ``block`` by a tree of pivots, and each cell's ball.
+
+    A cell that does not shrink, because its rows are alike, is cut where it stands.
+    """
+    leaves, open_ = [], [np.arange(len(unit))]
+    rng = np.random.default_rng(len(unit))
+    while open_:
+        at = open_.pop()
+        if len(at) <= block:
+            leaves.append(at)
+            continue
+        pivots = unit[rng.choice(at, min(_FAN, -(-2 * len(at) // block), len(at)), replace=False)]
+        nearest = np.argmax(unit[at] @ pivots.T, axis=1)
+        by = np.argsort(nearest, kind="stable")
+        parts = [p for p in np.split(at[by], np.flatnonzero(np.diff(nearest[by])) + 1) if len(p)]
+        if max(map(len, parts)) > 0.9 * len(at):
+            leaves += [at[i : i + block] for i in range(0, len(at), block)]
+        else:
+            open_ += parts
+    order = np.concatenate(leaves) if leaves else np.arange(0)
+    ends = np.cumsum([len(x) for x in leaves])
+    bounds = [(int(e) - len(x), int(e)) for x, e in zip(leaves, ends)]
+    centres = np.stack([unit[x].mean(axis=0) for x in leaves]) if leaves else unit[:0]
+    norms = np.linalg.norm(centres, axis=1, keepdims=True)
+    centres = centres / np.where(norms > 0, norms, 1.0)
+    radii = np.array([np.arccos(np.clip((unit[x] @ c).min(), -1.0, 1.0)) for x, c in zip(leaves, centres)])
+    # A zero row or centre has no angle; such a cell is kept apart from no other.
+    radii[[not (n and np.linalg.norm(unit[x], axis=1).all()) for x, n in zip(leaves, norms[:, 0])]] = np.pi
+    return order, bounds, centres, radii
+
+
+def _near(a: np.ndarray, b: np.ndarray | None, eps: float, block: int, wanted=None):
+    """Yield (rows, columns, near): index arrays into ``a`` and ``b`` (``a`` itself for None) and which of them are within eps.
+
+    Cells whose balls leave no room for a near pair are passed over; what is left is multiplied about a million pairs at a
+    time. Without ``b`` every two rows meet at least once. ``wanted(rows, columns)`` may spare a product.
+    """
+    theta = float(np.arccos(np.clip(1.0 - eps, -1.0, 1.0))) + 1e-6
+    order_a, bounds_a, mid_a, rad_a = _cells(a, block)
+    order_b, bounds_b, mid_b, rad_b = (order_a, bounds_a, mid_a, rad_a) if b is None else _cells(b, block)
+    other = a if b is None else b
+    a, other = a[order_a], other[order_b]
+    at = 0
+    sizes = np.array([e - s for s, e in bounds_b])
+    starts = np.array([s for s, _ in bounds_b])
+    while at < len(bounds_a):
+        # some cells that stand together, as far as they share most of their candidates
+        angles = np.arccos(np.clip(mid_a[at] @ mid_b.T, -1.0, 1.0))
+        close = angles <= rad_a[at] + rad_b + theta
+        upto = at + 1
+        while upto < len(bounds_a) and bounds_a[upto][1] - bounds_a[at][0] <= _ROWS:
+            more = np.arccos(np.clip(mid_a[upto] @ mid_b.T, -1.0, 1.0)) <= rad_a[upto] + rad_b + theta
+            both = close | more
+            if sizes[both].sum() > 1.5 * min(sizes[close].sum(), max(sizes[more].sum(), 1)) + block:
+                break
+            close, upto = both, upto + 1
+        if b is None:
+            close[:at] = False  # the earlier cells have met these
+        rows = np.arange(bounds_a[at][0], bounds_a[upto - 1][1])
+        picked = np.flatnonzero(close)
+        if len(picked):
+            reps = sizes[picked]
+            columns = np.repeat(starts[picked] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
+            step, held = max(1, _PRODUCT // len(rows)), a[rows]
+            for c in range(0, len(columns), step):
+                part = columns[c : c + step]
+                ra, cb = order_a[rows], order_b[part]
+                if wanted is None or wanted(ra, cb):
+                    far = held @ other[part].T
+                    np.subtract(1.0, far, out=far)
+                    yield ra, cb, far <= eps, rows, part
+        at = upto
+
+
+def _neighbour_weight(points: DataFrame, pairs: DataFrame, eps: float, block: int) -> DataFrame:
     """Total weight within ``eps`` of every point, itself included."""
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, wa = _unit(left.column("embedding")), left.column("weight").to_numpy()
-        if right.num_rows == 0:
-            near = 1.0 - a @ a.T <= eps
-            np.fill_diagonal(near, True)
-            return pa.table({"vec_id": left.column("vec_id").cast(pa.int64()), "near": near @ wa})
-        b, wb = _unit(right.column("embedding")), right.column("weight").to_numpy()
-        near = 1.0 - a @ b.T <= eps
-        ids = pa.chunked_array(left.column("vec_id").cast(pa.int64()).chunks + right.column("vec_id").cast(pa.int64()).chunks)
-        return pa.table({"vec_id": ids, "near": np.concatenate([near @ wb, near.T @ wa])})
+        alone = _same(left)
+        if not alone and not (left.num_rows and right.num_rows):
+            return pa.table({"vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
+        sides = [left] if alone else [left, right]
+        weights = [x.column("weight").to_numpy().astype(np.float64) for x in sides]
+        totals = [np.zeros(len(w)) for w in weights]
+        a, b = _unit(left.column("embedding")), None if alone else _unit(right.column("embedding"))
+        for ra, cb, near, rows, columns in _near(a, b, eps, block):
+            if alone:
+                near[rows[:, None] >= columns[None, :]] = False  # each two rows once, a row itself below
+            near = near.astype(np.float64)
+            totals[0][ra] += near @ weights[-1][cb]
+            totals[-1][cb] += weights[0][ra] @ near
+        if alone:
+            totals[0] += weights[0]
+        ids = pa.chunked_array([c for x in sides for c in x.column("vec_id").cast(pa.int64()).chunks])
+        return pa.table({"vec_id": ids, "near": np.concatenate(totals).astype(np.int64)})
 
     partial = _per_pair(points, pairs, ["weight"], count, "vec_id bigint, near bigint")
     return partial.groupBy("vec_id").agg(F.sum("near").alias("neighbours"))
 
 
-def _local_links(points: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
-    """Per block pair: each core point's local component, and each other point's adjacent components."""
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``label`` (the least member of each row's component) after the edges u, v."""
+    names, at = np.unique(np.concatenate([label[u], label[v]]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    low = np.arange(len(names))
+    while True:
+        least = np.minimum(low[u], low[v])
+        after = low.copy()
+        np.minimum.at(after, u, least)
+        np.minimum.at(after, v, least)
+        after = after[after]
+        if np.array_equal(after, low):
+            break
+        low = after
+    renamed = np.arange(len(label))
+    renamed[names] = names[low]
+    return renamed[label]
+
+
+def _local_links(points: DataFrame, pairs: DataFrame, eps: float, block: int) -> DataFrame:
+    """Per pair of tiles: each core point's local component, and each other point's adjacent components."""
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
-        both = pa.concat_tables([left, right.cast(left.schema)]) if right.num_rows else left
+        alone = _same(left)
+        if not alone and not (left.num_rows and right.num_rows):
+            return pa.table({"vec_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64())})
+        both = left if alone else pa.concat_tables([left, right.cast(left.schema)])
         ids = both.column("vec_id").to_numpy().astype(np.int64)
+        by = np.argsort(ids)
+        rank = np.empty(len(ids), np.int64)
+        rank[by] = np.arange(len(ids))  # components are named by rank, so the least rank is the least id
         core = both.column("is_core").to_numpy(zero_copy_only=False)
         unit, na = _unit(both.column("embedding")), left.num_rows
-        rows, cols = (slice(0, na), slice(na, None)) if right.num_rows else (slice(None), slice(None))
-        near = 1.0 - unit[rows] @ unit[cols].T <= eps
-        links = near & core[rows][:, None] & core[cols][None, :]
-        label = np.where(core, ids, np.iinfo(np.int64).max)
-        big = np.iinfo(np.int64).max
-        while links.any():
-            before = label.copy()
-            to_rows = np.where(links, label[cols][None, :], big).min(axis=1)
-            label[rows] = np.minimum(label[rows], to_rows)
-            to_cols = np.where(links, label[rows][:, None], big).min(axis=0)
-            label[cols] = np.minimum(label[cols], to_cols)
-            if np.array_equal(before, label):
-                break
-        out = [(ids[core], label[core])]
-        for x, y in ((near & ~core[rows][:, None] & core[cols][None, :], False), (near & core[rows][:, None] & ~core[cols][None, :], True)):
-            i, j = np.nonzero(x)
-            point, other = (ids[cols][j], label[rows][i]) if y else (ids[rows][i], label[cols][j])
+        shift = 0 if alone else na
+        label, beside = np.arange(len(ids)), []
+
+        def wanted(ra, cb):
+            x, y = rank[ra], rank[cb + shift]
+            cx, cy = core[ra], core[cb + shift]
+            if not (cx.all() and cy.all()):
+                return bool(cx.any() or cy.any())
+            first = label[x[0]]
+            return bool((label[x] != first).any() or (label[y] != first).any())
+
+        for ra, cb, near, _, _ in _near(unit[:na], None if alone else unit[na:], eps, block, wanted):
+            x, y = rank[ra], rank[cb + shift]
+            cx, cy = core[ra], core[cb + shift]
+            # Points that are no cores have few neighbours, so theirs are listed.
+            if not cx.all():
+                i, j = np.nonzero(near[~cx][:, cy])
+                beside.append((x[~cx][i], y[cy][j]))
+            if not cy.all():
+                i, j = np.nonzero(near[cx][:, ~cy])
+                beside.append((y[~cy][j], x[cx][i]))
+            x, y = x[cx], y[cy]
+            inner = near if cx.all() and cy.all() else near[cx][:, cy]
+            while inner.size:
+                # Of each row and column one edge to another component, until none is left.
+                across = inner & (label[x][:, None] != label[y][None, :])
+                rows = np.flatnonzero(across.any(axis=1))
+                if not len(rows):
+                    break
+                columns = np.flatnonzero(across.any(axis=0))
+                u = np.concatenate([x[rows], x[across[:, columns].argmax(axis=0)]])
+                v = np.concatenate([y[across[rows].argmax(axis=1)], y[columns]])
+                label = _joined(label, u, v)
+        names = ids[by]
+        out = [(ids[core], names[label[rank[core]]])]
+        if beside:
+            point, other = (np.concatenate(z) for z in zip(*beside))
             if len(point):
-                out.append(tuple(np.unique(np.stack([point, other]), axis=1)))
+                out.append(tuple(np.unique(np.stack([names[point], names[label[other]]]), axis=1)))
         return pa.table({"vec_id": np.concatenate([o[0] for o in out]), "rep": np.concatenate([o[1] for o in out])})
 
     return _per_pair(points, pairs, ["is_core"], link, "vec_id bigint, rep bigint").distinct()
@@ -299,8 +386,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
 def neighbour_counts(vecs: DataFrame, eps: float = 0.15, block: int | None = None) -> DataFrame:
     """How many vectors of its batch, itself included, lie within ``eps`` of each vector."""
     points, members = _distinct_points(vecs)
-    placed, pairs = _blocks(points, float(np.arccos(max(-1.0, 1.0 - eps))), block)
-    near = _neighbour_weight(placed, pairs, eps)
+    placed, pairs = _tiles(points)
+    near = _neighbour_weight(placed, pairs, eps, block or _BLOCK)
     return members.join(near.withColumnRenamed("vec_id", "rep"), "rep").select("batch_id", "vec_id", "neighbours")
 
 
@@ -330,11 +417,11 @@ def dbscan_cosine(vecs: DataFrame, eps: float = 0.15, min_samples: int = 5, bloc
     ``vecs(batch_id, vec_id, embedding)`` with ``vec_id`` unique over all batches.
     """
     points, members = _distinct_points(vecs)
-    placed, pairs = _blocks(points, float(np.arccos(max(-1.0, 1.0 - eps))), block)
-    near = _neighbour_weight(placed, pairs, eps)
+    placed, pairs = _tiles(points)
+    near = _neighbour_weight(placed, pairs, eps, block or _BLOCK)
     cores = near.select("vec_id", (F.col("neighbours") >= min_samples).alias("is_core"))
     flagged = checkpoint(placed.join(cores, "vec_id").drop("weight"))
-    links = checkpoint(_local_links(flagged, pairs, eps))
+    links = checkpoint(_local_links(flagged, pairs, eps, block or _BLOCK))
     core_ids = flagged.where("is_core").select("vec_id")
     core_links = links.join(core_ids, "vec_id", "left_semi")
     parts = connected_components(core_links.select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))

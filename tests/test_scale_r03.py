@@ -1,8 +1,9 @@
 """Work that has to stay near the size of its input or output, on small tables."""
 
+import numpy as np
 import pytest
 
-from sparkpoison.operators import provenance as pv
+from sparkpoison.operators import clustering as cl, provenance as pv
 from test_graphs import CYCLIC, graph, made
 
 
@@ -27,3 +28,22 @@ def test_lineage_with_loops(spark, depth):
         starts = spark.createDataFrame([(1,), (7,), (9,), (50,)], "start_id long")
         rows = [pv.lineage(nodes, graph(spark, edges), starts, depth, everywhere=e).select("start_id", "node_id", "depth", "path", "node_type") for e in (False, True)]
         assert sorted(map(tuple, rows[0].collect())) == sorted(map(tuple, rows[1].collect()))
+
+
+@pytest.mark.parametrize("block", [5, 64])
+def test_clusters_in_many_tiles(spark, monkeypatch, block):
+    """Rows sent to the tasks stay within a fixed number of copies of the vectors, whatever the cells."""
+    from test_brute_force import _dbscan
+
+    rng, sent = np.random.default_rng(2), []
+    x = np.concatenate([rng.normal(c, 0.3, (60, 6)) for c in np.eye(6)[:4] * 2] + [rng.normal(0, 1, (80, 6)), np.zeros((2, 6))])
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    monkeypatch.setattr(cl, "_TILE", 20, raising=False)
+    kept = cl._renewed
+    monkeypatch.setattr(cl, "_renewed", lambda df, names: (sent.append(df.count()), kept(df, names))[1])
+    df = spark.createDataFrame([(0, i, [float(v) for v in row]) for i, row in enumerate(x)], "batch_id int, vec_id long, embedding array<double>")
+    got = {r.vec_id: r.cluster_label for r in cl.dbscan_cosine(df, 0.05, 4, block).collect()}
+    assert [got[i] for i in range(len(x))] == _dbscan(u, 0.05, 4)
+    near = {r.vec_id: r.neighbours for r in cl.neighbour_counts(df, 0.05, block).collect()}
+    assert [near[i] for i in range(240)] == [int((1 - u @ u[i] <= 0.05).sum()) for i in range(240)]
+    assert max(sent) <= 12 * len(x)
