@@ -120,15 +120,18 @@ def dispersion_rate(vecs: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataF
     return sums.select(*by, F.col("n").alias("vectors"), rate.alias("dispersion_rate"))
 
 
-def check_dims(vecs: DataFrame, smallest: int = 64, largest: int = 8192, most: int = 50_000) -> DataFrame:
-    """Per batch: vector count, dimension range and the rules it breaks."""
+def check_dims(vecs: DataFrame, smallest: int = 64, largest: int = 8192, most: int | None = 50_000) -> DataFrame:
+    """Per batch: vector count, dimension range and the rules it breaks.
+
+    ``most`` vectors make a submission; None for stored batches, which have no such limit.
+    """
     size = F.size("embedding")
     rules = F.array_compact(
         F.array(
             F.when(F.col("dim_min") != F.col("dim_max"), "mixed_dimensions"),
             F.when(F.col("dim_min") < smallest, "dimension_too_small"),
             F.when(F.col("dim_max") > largest, "dimension_too_large"),
-            F.when(F.col("vectors") > most, "too_many_vectors"),
+            F.when(F.lit(most is not None) & (F.col("vectors") > F.lit(most)), "too_many_vectors"),
         )
     )
     return (
