@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkpoison.functions import catalogue as cat
 from sparkpoison.operators.clustering import connected_components
-from sparkpoison.session import checkpoint
+from sparkpoison.session import broadcast_if_small, checkpoint
 
 
 def unified_timeline(*findings: DataFrame) -> DataFrame:
@@ -32,40 +32,31 @@ def clusters(findings: DataFrame, minutes: int = 60, smallest: int = 2) -> DataF
     Two events belong together when they are less than ``minutes`` apart and share an entity
     or a stage. Time is cut into cells of that length: events of one key in one cell always
     belong together, and neighbouring cells do when the last event of one and the first of
-    the next are close enough. So events are first combined to one row per key and cell, and
-    components are found among those rows; no pair of events is formed, and a stage holding
-    most events costs no more rows than there are cells.
+    the next are close enough. Every event has a stage, so components are found among the
+    stages of the cells alone: an entity joins the stages that it has in a cell, and the least
+    of these with its least one of the next cell. No pair of events is formed, and what is
+    iterated over grows with the cells, not with the events.
     """
     events = findings.where(F.col("stage").isNotNull()).withColumn("_cell", _cell("ts", minutes))
-
-    def node(kind: str, key: Column, cell: Column) -> Column:
-        """A key and cell as one text; keys are quoted, so no two of them read the same. Null for a null key."""
-        return F.when(key.isNotNull(), F.to_json(F.struct(F.lit(kind).alias("k"), key.cast("string").alias("v"), cell.alias("c"))))
-
-    own = lambda kind, key: node(kind, F.col(key), F.col("_cell"))
-    events = events.withColumns({"_e": own("e", "entity_id"), "_s": own("s", "stage")})
-    # Every event has a stage; one without an entity correlates through its stage alone.
-    links = events.select(F.coalesce("_e", "_s").alias("u"), F.col("_s").alias("v")).distinct()
-    parts = [links]
-    for kind, key in (("e", "entity_id"), ("s", "stage")):
-        held = checkpoint(
-            events.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k"), "_cell")
-            .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        )
-        a, b = held.alias("a"), held.alias("b")
-        close = F.unix_micros("b.lo") - F.unix_micros("a.hi") < minutes * 60_000_000
-        name = lambda side: node(kind, F.col(f"{side}.k"), F.col(f"{side}._cell"))
-        parts.append(
-            a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("b._cell") == F.col("a._cell") + 1))
-            .where(close).select(name("a").alias("u"), name("b").alias("v"))
-        )
-    component = connected_components(reduce(DataFrame.union, parts))
-    placed = checkpoint(events.join(component, events["_s"] == component["node"]).drop("node"))
-    names = placed.groupBy("component").agg(F.min("event_id").alias("cluster_id"), F.count("*").alias("_n"))
-    return (
-        placed.join(names.where(F.col("_n") >= smallest), "component")
-        .drop("_cell", "_e", "_s", "component", "_n")
+    events = events.withColumn("_s", F.to_json(F.struct(F.col("stage").cast("string").alias("v"), F.col("_cell").alias("c"))))
+    own = events.groupBy("_s").agg(F.first("stage").alias("k"), F.first("_cell").alias("_cell"), F.min("ts").alias("lo"), F.max("ts").alias("hi"),
+                                   F.min("event_id").alias("least"), F.count("*").alias("n"))
+    own = checkpoint(own.withColumn("low", F.col("_s")))
+    held = checkpoint(
+        events.where(F.col("entity_id").isNotNull()).groupBy(F.col("entity_id").cast("string").alias("k"), "_cell")
+        .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.min("_s").alias("low"), F.collect_set("_s").alias("all"))
     )
+    parts = [own.select(F.col("_s").alias("u"), F.col("_s").alias("v")), held.select(F.col("low").alias("u"), F.explode("all").alias("v")).distinct()]
+    for rows in (own, held):
+        rows = rows.select("k", "_cell", "lo", "hi", "low")
+        after = rows.select("k", (F.col("_cell") - 1).alias("_cell"), F.col("lo").alias("_lo"), F.col("low").alias("v"))
+        close = F.unix_micros("_lo") - F.unix_micros("hi") < minutes * 60_000_000
+        parts.append(rows.join(after.hint("merge"), ["k", "_cell"]).where(close).select(F.col("low").alias("u"), "v").distinct())
+    component = checkpoint(connected_components(reduce(DataFrame.union, parts)))
+    placed = own.select("_s", "least", "n").join(component.withColumnRenamed("node", "_s"), "_s")
+    names = placed.groupBy("component").agg(F.min("least").alias("cluster_id"), F.sum("n").alias("_n")).where(F.col("_n") >= smallest)
+    named = broadcast_if_small(checkpoint(placed.join(names, "component").select("_s", "cluster_id")))
+    return events.join(named, "_s").drop("_cell", "_s")
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

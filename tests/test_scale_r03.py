@@ -1,9 +1,13 @@
 """Work that has to stay near the size of its input or output, on small tables."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 
-from sparkpoison.operators import clustering as cl, provenance as pv
+from sparkpoison.functions import catalogue as cat
+from sparkpoison.operators import clustering as cl, correlate, provenance as pv, vectors as vc
+from sparkpoison.plans.vectors import vector_dimensions
 from test_graphs import CYCLIC, graph, made
 
 
@@ -47,3 +51,21 @@ def test_clusters_in_many_tiles(spark, monkeypatch, block):
     near = {r.vec_id: r.neighbours for r in cl.neighbour_counts(df, 0.05, block).collect()}
     assert [near[i] for i in range(240)] == [int((1 - u @ u[i] <= 0.05).sum()) for i in range(240)]
     assert max(sent) <= 12 * len(x)
+
+
+def test_event_clusters_are_found_among_stages(spark, monkeypatch):
+    """What is iterated over does not grow with the entities."""
+    (a, _), (b, _) = [next((t, s) for t, s in cat.KILL_CHAIN.items() if s == stage) for stage in list(dict.fromkeys(cat.KILL_CHAIN.values()))[:2]]
+    start, seen = dt.datetime(2024, 1, 1), []
+    rows = [(i, f"e{i % 50}", a if i % 3 else b, start + dt.timedelta(minutes=i % 7 + 300 * (i % 2))) for i in range(400)]
+    kept = correlate.connected_components
+    monkeypatch.setattr(correlate, "connected_components", lambda e: (seen.append(e.count()), kept(e))[1])
+    events = correlate.classify(spark.createDataFrame(rows, "event_id long, entity_id string, technique string, ts timestamp"))
+    assert {r.event_id: r.cluster_id for r in correlate.clusters(events).collect()} == {i: i % 2 for i in range(400)}
+    assert seen[0] < 30
+
+
+def test_stored_batches_have_no_limit(spark):
+    df = spark.range(60_000).selectExpr("1 AS batch_id", "id AS vec_id", "array_repeat(1.0D, 64) AS embedding")
+    assert vector_dimensions(df).first().violations == ""
+    assert vc.check_dims(df).first().violations == ["too_many_vectors"]
