@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparkpoison.functions import catalogue as cat
-from sparkpoison.operators import clustering as cl, correlate, provenance as pv, vectors as vc
+from sparkpoison.operators import clustering as cl, correlate, graphs, provenance as pv, vectors as vc
 from sparkpoison.plans.vectors import vector_dimensions
 from test_graphs import CYCLIC, graph, made
 
@@ -69,3 +69,21 @@ def test_stored_batches_have_no_limit(spark):
     df = spark.range(60_000).selectExpr("1 AS batch_id", "id AS vec_id", "array_repeat(1.0D, 64) AS embedding")
     assert vector_dimensions(df).first().violations == ""
     assert vc.check_dims(df).first().violations == ["too_many_vectors"]
+
+
+def test_walks_broadcast_nothing(spark, monkeypatch):
+    """Sides of joins in loops grow with the graph, so none may go to the driver, however small it seems."""
+    plans = []
+    for module in (pv, graphs):
+        for name in ("checkpoint", "stored"):
+            if hasattr(module, name):
+                kept = getattr(module, name)
+                monkeypatch.setattr(module, name, lambda df, kept=kept: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    edges = graph(spark, [(n // 2, n) for n in range(1, 40)])
+    nodes = spark.createDataFrame([(n, 0.9 if n % 4 == 0 else 0.0) for n in range(40)], "node_id long, contamination_score double")
+    pv.reachable(edges, spark.createDataFrame([(1,)], "start_id long"))
+    pv.propagate(nodes, edges, nodes.selectExpr("node_id", "contamination_score AS score").where("score > 0"))
+    way = spark.createDataFrame([(0, n, n + 1, 1, n) for n in range(20)], "way int, node long, to long, steps long, low long")
+    graphs.leap(way, 20)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert len(joins) > 20 and all("strategy=merge" in line for line in joins), joins[:3]
