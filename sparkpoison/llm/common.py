@@ -58,10 +58,11 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
     return df.mapInArrow(run, schema)
 
 
-def map_cells(df: DataFrame, cell: list[str], schema: str, solve: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+def map_cells(df: DataFrame, cell: list[str], schema: str, solve: Callable[[pa.Table], pa.RecordBatch], several: bool = False) -> DataFrame:
     """``solve`` on the rows of each value of the whole-number columns ``cell``, which must be bounded groups.
 
     Cells lie one behind the other in a task, so many small ones share a batch and none is gathered with others.
+    With ``several``, ``solve`` gets the whole cells that an Arrow batch completes at once, not one at a time.
     """
     small_batches(df.sparkSession)
 
@@ -71,6 +72,12 @@ def map_cells(df: DataFrame, cell: list[str], schema: str, solve: Callable[[pa.T
         for batch in batches:
             at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in cell])
             cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            if several and len(cuts) > 2:  # the last cell may go on in the next batch
+                if held and tuple(at[:, 0]) != last:
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, cuts[-2])]))
+                held, last, cuts = [], None, cuts[-2:]
             for lo, hi in zip(cuts, cuts[1:]):
                 here = tuple(at[:, lo])
                 if held and here != last:

@@ -28,6 +28,8 @@ from sparkpoison.session import broadcast_if_small, checkpoint
 
 #: members of one block of a bucket, and pairs whose first meeting is looked up at once
 BLOCK, _PAIRS = 8192, 200_000
+#: members of a cell that is solved together with others, and pairs of such cells compared at once
+_SMALL, _SMALL_PAIRS = 64, 50_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -133,71 +135,113 @@ def _hashed(classes: DataFrame, plan: dict[int, tuple[int, int]], probes: int) -
     return classes.select("rep", "embedding", "lh").mapInArrow(run, f"rep {kind}, keys array<long>")
 
 
-class _Cell:
-    """Members of one bucket, or of two blocks of one."""
+def _first_here(keys: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether row i's bucket ``key`` is the smallest of those that a pair shares in the first table where it meets."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), _PAIRS):
+        here = i[lo : lo + _PAIRS]
+        a, b = keys[here], keys[j[lo : lo + _PAIRS]]
+        shared = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
+        first = shared.any(axis=2).argmax(axis=1)
+        rows = np.arange(len(a))
+        low = np.where(shared[rows, first], a[rows, first], np.iinfo(np.int64).max).min(axis=1)
+        out[lo : lo + _PAIRS] = low == key[here]
+    return out
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root``, the number of the smallest row reachable so far, after the links i - j."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+class _Rows:
+    """Members of one or several cells, sorted by cell and class."""
 
     def __init__(self, table: pa.Table, cosine: float, probes: int):
-        self.probes, self.cosine = probes, cosine
-        self.key = table["key"][0].as_py()
-        self.at = table["at"].to_numpy()
+        self.cosine = cosine
+        self.key, self.at, self.copies = (table[c].to_numpy() for c in ("key", "at", "copies"))
+        self.cross = table["i"].to_numpy() != table["j"].to_numpy()
         self.x = _unit(table["embedding"].combine_chunks())
         self.keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(table), -1, probes)
-        self.copies = table["copies"].to_numpy()
-        self.cross = len(np.unique(self.at)) > 1
 
-    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) at or above the cosine."""
+    def in_cell(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i < j) at or above the cosine, all rows being one cell."""
         n = len(self.x)
         step = max(1, 4_000_000 // n)
         for lo in range(0, n, step):
-            near = self.x[lo : lo + step] @ self.x.T >= self.cosine
-            i, j = np.nonzero(near)
+            i, j = np.nonzero(self.x[lo : lo + step] @ self.x.T >= self.cosine)
             i += lo
-            ok = (i < j) & ((self.at[i] != self.at[j]) if self.cross else True)
+            ok = (i < j) & (~self.cross[i] | (self.at[i] != self.at[j]))
             yield i[ok], j[ok]
 
-    def first_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether this bucket is the smallest of those that a pair shares in the first table where it meets."""
-        out = np.zeros(len(i), bool)
-        for lo in range(0, len(i), _PAIRS):
-            a, b = self.keys[i[lo : lo + _PAIRS]], self.keys[j[lo : lo + _PAIRS]]
-            shared = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
-            first = shared.any(axis=2).argmax(axis=1)
-            rows = np.arange(len(a))
-            low = np.where(shared[rows, first], a[rows, first], np.iinfo(np.int64).max).min(axis=1)
-            out[lo : lo + _PAIRS] = low == self.key
-        return out
-
-    def result(self) -> tuple[np.ndarray, np.ndarray]:
+    def in_cells(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i < j) at or above the cosine inside small cells of these sizes, without a step per cell."""
+        later = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.x)) - 1  # rows of the cell behind a row
+        for lo, hi in _spans(later, _SMALL_PAIRS):
+            many = later[lo:hi]
+            i = np.repeat(np.arange(lo, hi), many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            ok = ~self.cross[i] | (self.at[i] != self.at[j])
+            i, j = i[ok], j[ok]
+            near = np.einsum("ij,ij->i", self.x[i], self.x[j]) >= self.cosine
+            yield i[near], j[near]
+
+    def result(self, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """(links first met here, number of the smallest member that is reachable here) of every member."""
         n = len(self.x)
         count, root = np.zeros(n), np.arange(n)
-        for i, j in self.links():
-            new = self.first_here(i, j)
+        for i, j in links:
+            new = _first_here(self.keys, self.key, i, j)
             count += np.bincount(i[new], weights=self.copies[j[new]], minlength=n) + np.bincount(j[new], weights=self.copies[i[new]], minlength=n)
-            # Only pairs that still join something are kept for the components.
-            while True:
-                a, b = root[i], root[j]
-                open_ = a != b
-                if not open_.any():
-                    break
-                np.minimum.at(root, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
-                while not np.array_equal(root, root[root]):
-                    root = root[root]
+            root = _join(root, i, j)  # only what still joins something is kept for the components
         return count.astype(np.int64), root
 
 
+def _spans(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose weights add up to about ``most``."""
+    ends, lo = np.cumsum(weights), 0
+    while lo < len(weights):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _compare(members: DataFrame, cosine: float, probes: int) -> DataFrame:
-    """(u, v, n): links of class u first met in a cell, and v, the smallest class reachable from u in that cell."""
+    """(u, v, n): links of class u first met in a cell, and v, the smallest class reachable from u in that cell.
+
+    Most cells hold two or three classes, so the small cells of an Arrow batch are solved together.
+    """
     kind = members.schema["rep"].dataType.simpleString()
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        table = table.take(pa.compute.sort_indices(table, sort_keys=[("rep", "ascending")]))
-        count, root = _Cell(table, cosine, probes).result()
+        names = ["key", "i", "j"]
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in (*names, "rep")])).combine_chunks()
+        at = np.stack([table[c].to_numpy().astype(np.int64) for c in names])
+        starts = np.flatnonzero(np.r_[True, (at[:, 1:] != at[:, :-1]).any(axis=0)])
+        sizes = np.diff(np.r_[starts, len(table)])
+        width = table["embedding"].combine_chunks().value_lengths().to_numpy()[starts]
+        count, root = np.zeros(len(table), np.int64), np.arange(len(table))
+        small = sizes <= _SMALL
+        for lo, n in zip(starts[~small], sizes[~small]):
+            cell = _Rows(table.slice(lo, n), cosine, probes)
+            count[lo : lo + n], held = cell.result(cell.in_cell())
+            root[lo : lo + n] = held + lo
+        for d in np.unique(width[small]):
+            rows = np.flatnonzero(np.repeat(small & (width == d), sizes))
+            cells = _Rows(table.take(pa.array(rows)), cosine, probes)
+            count[rows], held = cells.result(cells.in_cells(sizes[small & (width == d)]))
+            root[rows] = rows[held]
         rep = table["rep"].combine_chunks()
         return pa.RecordBatch.from_arrays([rep, rep.take(pa.array(root)), pa.array(count)], ["u", "v", "n"])
 
-    return map_cells(members, ["key", "i", "j"], f"u {kind}, v {kind}, n long", solve)
+    return map_cells(members, ["key", "i", "j"], f"u {kind}, v {kind}, n long", solve, several=True)
 
 
 def near_duplicates(

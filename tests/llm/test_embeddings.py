@@ -90,3 +90,33 @@ def test_one_id_with_several_vectors(spark):
     assert {i for i, n in count.items() if n} == {i for i, *_ in links}
     got = sorted(map(tuple, E.near_duplicates(frame(spark, rows)).collect()))
     assert got == sorted((i, count[i], component[i], i == component[i]) for i, *_ in rows)
+
+
+def test_small_cells_are_solved_together(spark):
+    import pyarrow as pa
+
+    from sparkpoison.llm.common import map_cells
+
+    def solve(table):
+        cells = pa.TableGroupBy(table, ["key", "i"]).aggregate([([], "count_all")])
+        return pa.RecordBatch.from_arrays([pa.array([cells.num_rows]), pa.array([table.num_rows])], ["cells", "n"])
+
+    rows = spark.range(9000).selectExpr("id div 3 AS key", "0 AS i").union(spark.range(2500).selectExpr("-7L AS key", "1 AS i"))
+    got = map_cells(rows, ["key", "i"], "cells long, n long", solve, several=True).collect()
+    assert (sum(r.cells for r in got), sum(r.n for r in got)) == (3001, 11500)  # no cell is cut
+    assert len(got) < 60
+
+
+def test_small_and_large_cells_of_one_batch(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows, at = [], 0
+    for d in (3, 24):
+        for group in range(60):
+            centre = rng.normal(size=d)
+            for _ in range(90 if group == 7 else int(rng.integers(1, 5))):
+                rows.append((at, (centre + rng.normal(size=d) * 0.05).tolist(), group % 2))
+                at += 1
+    for small in (64, 4):
+        monkeypatch.setattr(E, "_SMALL", small)
+        monkeypatch.setattr(E, "_SMALL_PAIRS", 50)
+        assert sorted(map(tuple, E.near_duplicates(frame(spark, rows)).collect()), key=repr) == brute(rows)
