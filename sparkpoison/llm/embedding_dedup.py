@@ -26,6 +26,8 @@ from sparkpoison.llm.words import mix
 from sparkpoison.operators.clustering import connected_components
 from sparkpoison.session import broadcast_if_small, checkpoint
 
+#: members of a bucket that cost no more to compare, all with all, than to hash once more
+_CROWD = 256
 #: members of one block of a bucket, and pairs whose first meeting is looked up at once
 BLOCK, _PAIRS = 8192, 200_000
 #: members of a cell that is solved together with others, and pairs of such cells compared at once
@@ -33,44 +35,48 @@ _SMALL, _SMALL_PAIRS = 64, 50_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Rows times the Hadamard matrix; the number of columns is a power of two."""
-    x = x.copy()
+    """The Hadamard matrix times columns; the number of rows is a power of two."""
     step = 1
-    while step < x.shape[1]:
-        pairs = x.reshape(len(x), -1, 2, step)
-        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(x.shape)
+    while step < len(x):
+        pairs = x.reshape(-1, 2, step, x.shape[1])
+        x = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=x[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=x[:, 1])
+        x = x.reshape(-1, pairs.shape[3])
         step *= 2
     return x
 
 
 def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     """Three rounds of random signs and Hadamard transform, the same for a seed everywhere."""
-    size = x.shape[1]
+    x = np.ascontiguousarray(x.T)  # steps run along the vectors
+    size = len(x)
     for turn in range(3):
         bits = mix(np.arange(size, dtype=np.uint64) + np.uint64((seed * 3 + turn) << 20)) & np.uint64(1)
-        x = hadamard(x * (1.0 - 2.0 * bits.astype(float))) / math.sqrt(size)
-    return x
+        x = hadamard(x * (1.0 - 2.0 * bits.astype(float))[:, None]) / math.sqrt(size)
+    return np.ascontiguousarray(x.T)
 
 
 def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     """[vector, table, probe] bucket numbers of unit vectors: the own bucket first, then the nearest others."""
     n, d = x.shape
-    size = 1 << max(0, (d - 1).bit_length())
+    size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = x
+    rows = np.arange(n)
     out = np.zeros((n, tables, probes), np.uint64)
     for t in range(tables):
         best, second, loss = [], [], []
         for k in range(hashes):
             y = rotate(padded, t * hashes + k)
-            corner = np.concatenate([y, -y], axis=1)
-            two = np.argpartition(-corner, 1, axis=1)[:, :2] if corner.shape[1] > 2 else np.argsort(-corner, axis=1)[:, :2]
-            value = np.take_along_axis(corner, two, axis=1)
-            swap = value[:, 1] > value[:, 0]
-            two[swap] = two[swap][:, ::-1]
-            best.append(two[:, 0])
-            second.append(two[:, 1])
-            loss.append(np.abs(value[:, 0] - value[:, 1]))
+            value = np.abs(y)
+            one = value.argmax(axis=1)
+            top = value[rows, one]
+            value[rows, one] = -1.0
+            two = value.argmax(axis=1)
+            best.append(one + size * (y[rows, one] < 0))
+            second.append(two + size * (y[rows, two] < 0))
+            loss.append(top - value[rows, two])
         # Probes change the hashes whose second corner is nearest: one of them, then two, ...
         order = np.argsort(np.stack(loss, axis=1), axis=1)
         changes = sorted(range(1 << hashes), key=lambda m: (sum((i + 1) for i in range(hashes) if m >> i & 1), m))[:probes]
@@ -88,6 +94,12 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     return out
 
 
+def choose_hashes(n: int, d: int) -> int:
+    """Hashes of a table after which a bucket of ``n`` vectors holds _CROWD of them on average, or fewer."""
+    corners = 2 << max(1, (d - 1).bit_length())
+    return max(1, math.ceil(math.log(max(n, 1) / _CROWD) / math.log(corners)))
+
+
 def choose_tables(d: int, cosine: float, hashes: int, probes: int, miss: float = 1e-4, pairs: int = 2000) -> int:
     """Tables after which a pair at the cosine limit has met with probability 1 - miss, from made-up pairs of that cosine."""
     rng = np.random.default_rng(d)
@@ -137,15 +149,20 @@ def _hashed(classes: DataFrame, plan: dict[int, tuple[int, int]], probes: int) -
 
 def _first_here(keys: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether row i's bucket ``key`` is the smallest of those that a pair shares in the first table where it meets."""
-    out = np.zeros(len(i), bool)
-    for lo in range(0, len(i), _PAIRS):
-        here = i[lo : lo + _PAIRS]
-        a, b = keys[here], keys[j[lo : lo + _PAIRS]]
-        shared = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
-        first = shared.any(axis=2).argmax(axis=1)
-        rows = np.arange(len(a))
-        low = np.where(shared[rows, first], a[rows, first], np.iinfo(np.int64).max).min(axis=1)
-        out[lo : lo + _PAIRS] = low == key[here]
+    out, rest = np.zeros(len(i), bool), np.arange(len(i))
+    for t in range(keys.shape[1]):  # most pairs share a bucket of the first tables and are settled there
+        later = []
+        for lo in range(0, len(rest), _PAIRS):
+            at = rest[lo : lo + _PAIRS]
+            a, b = keys[i[at], t], keys[j[at], t]
+            shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
+            met = shared.any(axis=1)
+            low = np.where(shared, a, np.iinfo(np.int64).max).min(axis=1)
+            out[at[met]] = (low == key[i[at]])[met]
+            later.append(at[~met])
+        if not later:
+            break
+        rest = np.concatenate(later)
     return out
 
 
@@ -272,8 +289,7 @@ def near_duplicates(
     sizes = classes.groupBy("lh", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row per dimension
     plan = {}
     for r in sizes:
-        corners = 2 << max(0, (r["d"] - 1).bit_length())
-        hashes = max(1, round(math.log(max(r["n"], 2)) / math.log(corners)))
+        hashes = choose_hashes(r["n"], r["d"])
         plan[r["d"]] = (choose_tables(r["d"], cosine, hashes, probes, miss), hashes)
     keys = checkpoint(_hashed(classes, plan, probes))
     entries = keys.select("rep", F.explode(F.array_distinct("keys")).alias("key"))

@@ -120,3 +120,25 @@ def test_small_and_large_cells_of_one_batch(spark, monkeypatch):
         monkeypatch.setattr(E, "_SMALL", small)
         monkeypatch.setattr(E, "_SMALL_PAIRS", 50)
         assert sorted(map(tuple, E.near_duplicates(frame(spark, rows)).collect()), key=repr) == brute(rows)
+
+
+def test_growing_labels_are_not_hashed_more_often(spark, monkeypatch):
+    """A second hash a table, and the tables it takes, only where comparing whole buckets would cost more."""
+    asked, kept = [], E.choose_tables
+    monkeypatch.setattr(E, "choose_tables", lambda d, cosine, hashes, *more: (asked.append(hashes), kept(d, cosine, hashes, *more))[1])
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 64))
+    x[1::5] = x[::5] + rng.normal(size=(500, 64)) * 0.05
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: (int(i % 5 < 2), i - (i % 5 == 1)) for i in range(2500)}
+    assert asked == [1] and E.choose_hashes(100_000, 64) == 2
+
+
+def test_first_meeting():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 6, (40, 4, 2))
+    i, j = np.triu_indices(40, 1)
+    for key in range(6):
+        first = [next((min(set(a) & set(b)) for a, b in zip(keys[u].tolist(), keys[v].tolist()) if set(a) & set(b)), None) for u, v in zip(i, j)]
+        assert E._first_here(keys, np.full(40, key), i, j).tolist() == [f == key for f in first]
