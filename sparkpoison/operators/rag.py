@@ -44,12 +44,28 @@ def rag_scan(docs: DataFrame, profile: str = "service", deviation: str | None =
 
 
 def _service(docs: DataFrame, dev: Column) -> DataFrame:
+    return service_report(_service_scan(docs.withColumn("cosine_deviation", dev), ["cosine_deviation"]))
+
+
+def _service_scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     hidden, homoglyphs = service_counts("text")
-    local = docs.select("doc_id", "text", dev.alias("cosine_deviation"), hidden.alias("hidden"), homoglyphs.alias("homoglyphs"))
-    scanned = tx.text_stats(
-        local, ["perplexity", "coherence", "entropy_anomalies", "ngram_anomalies"],
-        keep=["cosine_deviation", "hidden", "homoglyphs"],
+    local = docs.select("doc_id", "text", *keep, hidden.alias("hidden"), homoglyphs.alias("homoglyphs"))
+    return tx.text_stats(
+        local, ["perplexity", "coherence", "entropy_anomalies", "ngram_anomalies"], keep=[*keep, "hidden", "homoglyphs"],
     )
+
+
+def service_scan(docs: DataFrame, deviations: DataFrame) -> DataFrame:
+    """The service report with the deviations ``(doc_id, cosine_deviation)`` of another table, 0 where it has none.
+
+    They join the statistics, a few numbers a document: texts and embeddings stay in the tasks that read them.
+    """
+    joined = _service_scan(docs, []).join(deviations, "doc_id", "left")
+    return service_report(joined.withColumn("cosine_deviation", F.coalesce("cosine_deviation", F.lit(0.0))))
+
+
+def service_report(scanned: DataFrame) -> DataFrame:
+    """Signals and risk from the statistics of the service profile and the cosine deviation."""
     d, ppl, coh = F.col("cosine_deviation"), F.col("perplexity"), F.col("coherence")
     signals = F.array_compact(
         F.array(

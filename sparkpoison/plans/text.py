@@ -362,9 +362,8 @@ def rag_risk_edge(docs: DataFrame) -> DataFrame:
 def rag_risk_service(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     from sparkpoison.operators import vectors as vc
 
-    embedded = docs.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
-    scored = rag.cosine_deviation(embedded, vc.centroid(vectors))
-    out = rag.rag_scan(scored, "service", "cosine_deviation")
+    scored = rag.cosine_deviation(vectors.withColumnRenamed("vec_id", "doc_id"), vc.centroid(vectors))
+    out = rag.service_scan(docs, scored.select("doc_id", "cosine_deviation"))
     return out.select(
         "doc_id", *[round_to(c, 6).alias(c) for c in ("cosine_deviation", "perplexity", "coherence", "risk_score")],
         "hidden", "homoglyphs", "entropy_anomalies", "ngram_anomalies",

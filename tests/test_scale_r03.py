@@ -87,3 +87,19 @@ def test_walks_broadcast_nothing(spark, monkeypatch):
     graphs.leap(way, 20)
     joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
     assert len(joins) > 20 and all("strategy=merge" in line for line in joins), joins[:3]
+
+
+def test_service_report_shuffles_no_text(spark, sf_dir):
+    """Only the statistics of the documents meet the deviations of their embeddings."""
+    from sparkpoison.operators import rag
+    from sparkpoison.plans.text import rag_risk_service
+    from sparkpoison.plans.views import table
+
+    docs, vectors = table(spark, sf_dir, "docs"), table(spark, sf_dir, "vectors")
+    plan = rag_risk_service(docs, vectors)._jdf.queryExecution().optimizedPlan().toString()
+    scan, join = plan.index("MapInArrow"), plan.index("Join LeftOuter, (doc_id")
+    assert join < scan
+    devs = rag.cosine_deviation(vectors.withColumnRenamed("vec_id", "doc_id"), vc.centroid(vectors)).select("doc_id", "cosine_deviation")
+    both = docs.join(devs, "doc_id", "left").na.fill(0.0, ["cosine_deviation"])
+    got = [sorted(map(str, df.select(sorted(df.columns)).collect())) for df in (rag.service_scan(docs, devs), rag.rag_scan(both, "service", "cosine_deviation"))]
+    assert got[0] == got[1] and len(got[0]) == docs.count()
