@@ -110,3 +110,23 @@ def test_pairs_are_bounded_by_the_vocabularies():
     v = T.Vocabularies(Path(A).read_text(encoding="utf-8"), Path(B).read_bytes())
     assert 50_000 < v.most_pairs() < 1_000_000
     print(v.most_pairs())
+
+
+def test_parts_share_a_call_of_the_byte_level_encoder():
+    """Parts are told from one another by their bytes, not by a call each; those with white space at an end stay apart."""
+    v = T.Vocabularies(Path(A).read_text(encoding="utf-8"), Path(B).read_bytes())
+    encode, calls = v.encode_a, []
+    v.encode_a = lambda text: (calls.append(text), encode(text))[1]
+    words = [f"w{i}'s{'é' * (i % 3)}\n{i}" for i in range(500)]
+    batch = [" ".join(words).encode(), b" a b\t", b"", " ".join(words[::-1]).encode(), "x  y z ".encode()]
+    aligner = T.Aligner(v)
+    numbers, per_text, right = aligner.parts(batch)
+    assert len(calls) <= 10 and right[0] and right[3]
+    assert [aligner.n_a[i] for i in numbers] == [len(encode(" " + p)) for t in batch for p in (T._CUT.split(t.decode()) if t else [])]
+    assert aligner.parts(batch)[0].tolist() == numbers.tolist() and len(calls) <= 10
+
+
+def test_plain_split_cuts_as_the_pattern():
+    for text in filter(None, [*texts(), " ", "a b\nc d", "a\tb c", "a \x1cb c", "a\x85 b", "a  b c d"]):
+        assert T._cut(text) == T._CUT.split(text), repr(text)
+    assert T._cut("") == []
