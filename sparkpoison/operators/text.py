@@ -7,9 +7,10 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkpoison.functions import catalogue as cat, textstats as ts
+from sparkpoison.functions import catalogue as cat, shingles as sh, textstats as ts
 from sparkpoison.functions.arrays import running
 from sparkpoison.functions.numeric import cap1, round_to
+from sparkpoison.session import checkpoint
 
 # --------------------------------------------------------------------------- statistics
 
@@ -429,7 +430,7 @@ def pattern_recurrence(docs: DataFrame, group: str = "source", text: str = "text
 
 def shingles(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Distinct word shingles of each document, as 128 bits of hash: no two of 10^13 shingles meet by chance."""
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    tokens = F.filter(F.split(F.lower(text), r"[ \t\n\f\r]+"), lambda w: w != "")
     grams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))),
         lambda i: F.array_join(F.slice("w", i, words), " "),
@@ -440,24 +441,31 @@ def shingles(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str =
     return each(worded, [doc_id], F.when(F.size("w") > 0, F.transform(F.array_distinct(grams), pair)), "shingle")
 
 
-def copy_recurrence(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+#: bytes of text behind one bucket of shingles
+_BUCKET_BYTES = 4 << 20
+
+
+def copy_recurrence(docs: DataFrame, words: int = 8, text: str = "text", doc_id: str = "doc_id", frequent: int = sh.FREQUENT) -> DataFrame:
     """Share of each document's shingles that other documents also contain.
 
-    Shingles are counted across documents with map-side combining and joined back by
-    shingle: linear in the number of shingles, no pair of documents is ever formed.
+    Hashes of the shingles are dealt to buckets as arrays and counted there; only documents of shingles met more than
+    once come out. No pair of documents is ever formed, no shingle is a row, and the text is read once.
     """
-    own = shingles(docs, words, text, doc_id)
-    seen = own.groupBy("shingle").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > 1)
-    return (
-        own.join(seen, "shingle", "left")
-        .groupBy(doc_id)
-        .agg(
-            F.count("*").alias("shingles"),
-            F.count("in_docs").alias("copied"),
-            F.coalesce(F.max("in_docs"), F.lit(1)).cast("bigint").alias("widest"),
-        )
-        .withColumn("copied_share", round_to(F.col("copied") / F.col("shingles"), 6))
-    )
+    kind = docs.schema[doc_id].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        names = checkpoint(docs.select(doc_id).distinct().withColumn("_n", F.monotonically_increasing_id()))
+        numbered = docs.join(names.withColumnRenamed(doc_id, "_name"), F.col(doc_id).eqNullSafe(F.col("_name"))).select("_n", text)
+        return copy_recurrence(numbered, words, text, "_n", frequent).join(names, "_n").select(doc_id, "shingles", "copied", "widest", "copied_share")
+    null = F.lit(-(2**63)).cast("bigint")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = min(max(size // _BUCKET_BYTES, 16), sh.MOST_BUCKETS)
+    lowered = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), null).alias("id"), F.lower(text).alias("t"))
+    dealt = lowered.mapInArrow(lambda batches: sh.deal(batches, words, buckets, frequent), sh.ROW)
+    found = dealt.groupBy("bucket").applyInArrow(sh.count, sh.FOUND)
+    rows = found.mapInArrow(sh.spread, "id bigint, shingles bigint, copied bigint, widest bigint")
+    out = rows.groupBy("id").agg(F.sum("shingles").alias("shingles"), F.sum("copied").alias("copied"), F.max("widest").alias("widest"))
+    out = out.withColumn("copied_share", round_to(F.col("copied") / F.col("shingles"), 6))
+    return out.select(F.nullif("id", null).cast(kind).alias(doc_id), "shingles", "copied", "widest", "copied_share")
 
 
 def generation_drift(stats: DataFrame, value: str, generation: str = "generation", by: Sequence[str] = ()) -> DataFrame:
