@@ -1,5 +1,7 @@
 """Lineage questions whose stored rows have to stay near the size of the graph."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,21 @@ def test_ancestors_that_are_no_nodes_are_not_counted(spark, monkeypatch, merged,
     monkeypatch.setattr(graphs, "_DENSE", dense, raising=False)
     checked(spark, made(2, 30, 85, False), 6, True, missing=(3, 7, 10))
     checked(spark, CYCLIC, 4, False, missing=(3, 6))
+
+
+@pytest.mark.parametrize("operator", [pv.lineage, pv.contamination_paths])
+def test_paths_leave_few_files_behind(spark, monkeypatch, operator):
+    """What paths are joined from is stored, less than the paths; the shuffles that it was made with are gone."""
+    kept, count = pv.stored, []
+    monkeypatch.setattr(pv, "stored", lambda df: (lambda out: (count.append(out.count()), out)[1])(kept(df)))
+    edges = graph(spark, [(n // 2, n) for n in range(1, 4000)] + [(n // 3, n) for n in range(3, 4000)]).localCheckpoint()
+    nodes = spark.range(4000).selectExpr("id AS node_id", "IF(id % 4 = 0, 0.9D, 0.0D) AS contamination_score")
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = list(env.blockManager().diskBlockManager().localDirsString())
+    left = lambda: sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*") if f.exists())
+    before = left()
+    rows = operator(nodes, edges, nodes.selectExpr("node_id AS start_id"), 10, everywhere=True, acyclic=True, text=">")
+    made = left() - before
+    assert made < 100_000
+    assert sum(count) < rows.count() > 100_000
